@@ -8,10 +8,11 @@ Jaccard distance is a metric, and at a radius ``r = 1 - threshold`` the join kee
    points within ``r`` differ in so few shingles that they meet in one of the first ``n - ceil(threshold n) + 1``
    regions of each, in the common order by corpus frequency.  Only shingles that two points share matter, so most
    points have no region with company and drop out.
-3. A region of few points is joined outright.  A larger one takes one of its points as pivot and measures all
-   others against it; those within ``r`` are linked to it, and hence to one another.  Points beyond ``r`` form the
-   next region, and a point inside is replicated into it only if the triangle inequality lets it be within ``r``
-   of one beyond: ``d(inside) + r >= min d(beyond)``.  That region is joined in the same way.
+3. The most central point of a region is its pivot, and the other points are measured against it; those within
+   ``r`` are linked to it, and hence to one another.  Of the rest, two points have to be compared only if they are
+   not yet connected, if the order of their shingles lets them share enough, and if the triangle inequality does:
+   ``|d(x, pivot) - d(y, pivot)| <= r``.  A region with few such pairs is joined outright, a larger one goes on
+   with further pivots in the same way.
 4. The links' connected components are the classes.
 
 No group of copies is expanded into pairs: exact copies are one point, and near copies are linked as stars.
@@ -23,7 +24,6 @@ of their copies, or null.  Repeated rows are returned as often as they come.  Ex
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +38,10 @@ from ridgeline.shared import drop_table, shuffle_partitions, stage_table
 
 #: Shingles that one block of the index holds before it is dealt over the buckets.
 BLOCK = 1_000_000
-#: Regions with at most this many pairs to look at are joined outright.
-LEAF_PAIRS = 512
+#: Regions with at most this many pairs of points in different components are joined outright.
+LEAF_PAIRS = 1_000_000
+#: Pivots that a larger region takes in each further round.
+PIVOTS = 64
 
 _POINTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
 _INDEX = pa.schema([("bucket", pa.int32()), ("sids", pa.binary()), ("sizes", pa.binary()), ("held", pa.binary()), ("grams", pa.binary())])
@@ -175,46 +177,69 @@ def jaccard_links(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
         .groupBy("sid", "n")
         .agg(entries.alias("e"))
         # Shingles that no other set holds come first in the order, and their regions have no company.
-        .select("sid", "n", F.expr("n - size(e)").alias("alone"), F.col("e.gram").alias("grams"))
+        .select("sid", "n", F.expr("n - size(e)").alias("alone"), F.col("e.gram").alias("grams"), F.col("e.df").alias("dfs"))
         .withColumn("reach", F.expr(f"cast(n - div({percent} * n + 99, 100) + 1 - alone as int)"))
         .where("reach > 0")
     )
     sets = stage_table(sets, "shingle-sets")
-    regions = sets.select(F.explode(F.slice("grams", F.lit(1), F.col("reach"))).alias("rid"), "sid", "n", F.expr("alone / n").alias("c"))
-    # Many shingles have the same points: one region for each set of points is enough.
-    marks = regions.groupBy("rid").agg(F.count("*").alias("cnt"), F.expr("bit_xor(xxhash64(sid))").alias("x"), F.expr("bit_xor(xxhash64(sid, 1))").alias("y"))
-    kept = marks.where("cnt > 1").groupBy("cnt", "x", "y").agg(F.min("rid").alias("rid")).select("rid")
-    members = stage_table(regions.join(kept, "rid", "left_semi").withColumn("guest", F.lit(False)), "regions")
+    held = sets.select("sid", "n", "alone", F.posexplode(F.slice(F.arrays_zip("dfs", "grams"), F.lit(1), F.col("reach"))).alias("i", "g"))
+    regions = held.select(F.col("g.grams").alias("rid"), F.col("g.dfs").alias("df"), "sid", "n", F.expr("n - alone - i").alias("rest"), F.expr("alone / n").alias("c"))
+    # Many shingles have the same points: the first region of each set of points is enough.
+    marks = regions.groupBy("rid", "df").agg(F.count("*").alias("cnt"), F.expr("bit_xor(xxhash64(sid))").alias("x"), F.expr("bit_xor(xxhash64(sid, 1))").alias("y"))
+    first = marks.where("cnt > 1").groupBy("cnt", "x", "y").agg(F.min(F.struct("df", "rid")).alias("f")).select("f.rid")
+    members = stage_table(regions.join(first, "rid", "left_semi").select("rid", "sid", "n", "rest", "c"), "regions")
 
-    radius = (100 - percent) / 100
     found = None
+    pivots = members.groupBy("rid").agg(F.min(F.struct("c", "sid", "n", "rest")).alias("p"))
     while True:
-        stats = members.groupBy("rid").agg(
-            F.count("*").alias("cnt"),
-            F.count_if(~F.col("guest")).alias("own"),
-            F.min(F.when(~F.col("guest"), F.struct("c", "sid"))).alias("p"),
-        )
-        stats = stage_table(stats.select("rid", "cnt", "own", F.col("p.sid").alias("pivot")), "pivots")
-        few = f"own * cnt <= {LEAF_PAIRS}"
-        leaf = members.join(stats.where(few).select("rid"), "rid")
-        l, r = leaf.alias("l"), leaf.alias("r")
-        near = (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent) & ~(F.col("l.guest") & F.col("r.guest"))
-        pairs = l.join(r, (F.col("l.rid") == F.col("r.rid")) & (F.col("l.sid") < F.col("r.sid")) & near).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b"))
-        large = salted_lookup(members, stats.where(f"not ({few})").select("rid", "pivot"), "rid").where("pivot is not null")
-        large = stage_table(large, "large-regions")
-        stars = large.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
-        measured = stage_table(_measure(pairs.unionByName(stars).distinct(), sets), "measured")
-        linked = f"100 * common >= {percent} * (na + nb - common)"
-        links = measured.where(linked).select("a", "b")
-        found = links if found is None else found.unionByName(links)
+        # The most central points (few shingles of their own) are pivots: every other point of the region is measured.
+        stars = salted_lookup(members, pivots, "rid").where("p is not null and sid <> p.sid")
+        stars = stars.where(_within(percent, "n", "rest", "p.n", "p.rest")).select("rid", "sid", F.col("p.sid").alias("pivot"))
+        stars = stage_table(stars, "stars")
+        measured = stage_table(_measure(_ordered(stars, "sid", "pivot"), sets), "measured")
+        found = _add(found, measured.where(_linked(percent)).select("a", "b"))
+        labels = stage_table(connected_components(found), "labels").withColumnRenamed("node", "sid")
+        members = members.drop("component").join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        members = stage_table(members.join(pivots.select("rid", F.col("p.sid").alias("sid")), ["rid", "sid"], "left_anti"), "regions")
+        # Pairs within a component need no look; of a region's others, how many are there?
+        parts = members.groupBy("rid", "component").agg(F.count("*").alias("m"))
+        left = stage_table(parts.groupBy("rid").agg(F.sum("m").alias("cnt"), F.expr("cast(sum(double(m) * m) as double)").alias("same")), "left").withColumn("pairs", F.expr("(double(cnt) * cnt - same) / 2")).where("pairs > 0")
+        # d(point, pivot) of the measured points: two points within the radius differ by no more than it.
+        d = measured.select(F.expr("1 - common / (na + nb - common)").alias("d"), "a", "b")
+        near = stars.withColumn("a", F.least("sid", "pivot")).withColumn("b", F.greatest("sid", "pivot")).join(d, ["a", "b"]).groupBy("rid", "sid").agg(F.min("d").alias("d"))
+        placed = members.join(left.where(f"pairs <= {LEAF_PAIRS}").select("rid"), "rid", "left_semi").join(near, ["rid", "sid"], "left")
+        l, r = placed.alias("l"), placed.alias("r")
+        window = F.coalesce(F.abs(F.col("l.d") - F.col("r.d")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+        test = (F.col("l.rid") == F.col("r.rid")) & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.component") != F.col("r.component"))
+        pairs = l.join(r, test & F.expr(_within(percent, "l.n", "l.rest", "r.n", "r.rest")) & window).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
+        leaf = stage_table(_measure(pairs, sets), "measured")
+        found = _add(found, leaf.where(_linked(percent)).select("a", "b"))
+        large = left.where(f"pairs > {LEAF_PAIRS}").select("rid")
         if large.isEmpty():
             return found
-        # d(member, pivot) for the members of the large regions.
-        d = measured.withColumn("near", F.expr(linked)).withColumn("d", F.expr("1 - common / (na + nb - common)"))
-        placed = large.where("sid <> pivot").withColumn("a", F.least("sid", "pivot")).withColumn("b", F.greatest("sid", "pivot")).join(d.select("a", "b", "near", "d"), ["a", "b"])
-        beyond = placed.where("not near and not guest").groupBy("rid").agg(F.min("d").alias("lo"))
-        kept = salted_lookup(placed, beyond, "rid").where("lo is not null").where((~F.col("near") & ~F.col("guest")) | (F.col("d") + radius + 1e-9 >= F.col("lo")))
-        members = stage_table(kept.select("rid", "sid", "n", "c", (F.col("guest") | F.col("near")).alias("guest")), "regions")
+        # Larger regions go on with further pivots, taken outside their largest component.
+        members = stage_table(members.join(large, "rid", "left_semi"), "regions")
+        main = parts.join(large, "rid", "left_semi").groupBy("rid").agg(F.max(F.struct("m", "component")).alias("w")).select("rid", F.col("w.component").alias("main"))
+        rest = salted_lookup(members, main, "rid").where("component <> main")
+        turn = F.pmod(F.xxhash64("sid"), F.lit(PIVOTS))
+        pivots = stage_table(rest.groupBy("rid", turn.alias("turn")).agg(F.min(F.struct("c", "sid", "n", "rest")).alias("p")).drop("turn"), "pivots")
+
+
+def _within(percent: int, n1: str, r1: str, n2: str, r2: str) -> str:
+    """Whether two sets may be within the radius: by size, and by the shingles from the common one on in the order."""
+    return f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and {100 + percent} * least({r1}, {r2}) >= {percent} * ({n1} + {n2})"
+
+
+def _linked(percent: int) -> str:
+    return f"100 * common >= {percent} * (na + nb - common)"
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _add(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    return links if found is None else found.unionByName(links)
 
 
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:

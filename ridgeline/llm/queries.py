@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ridgeline.llm import licences, media, ngram_join
+from ridgeline.llm import decontaminate, licences, media, ngram_join, packing, pages, quality, substring_dedup, tokens, toxicity
 from ridgeline.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +17,22 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(read(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(read(spark, sf_dir, "documents"), percent=75, k=5)
 
@@ -26,8 +41,32 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(read(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_media_columns, op6_ngram_jaccard_join, op7_licence_scan)}
+    every = (
+        op1_media_columns,
+        op2_quality_classifier,
+        op3_benchmark_decontamination,
+        op4_token_counts,
+        op5_html_extraction,
+        op6_ngram_jaccard_join,
+        op7_licence_scan,
+        op8_toxicity,
+        op9_substring_dedup,
+        op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
