@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ BINS = 16
 
 _UPPER, _DIGIT, _SPACE, _STOP = re.compile(rb"[A-Z]"), re.compile(rb"[0-9]"), re.compile(rb"[\x20\x09-\x0d]"), re.compile(rb"[.,;:!?'\"()\-]")
 _MARK = re.compile(rb"[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]")
-STATS = 14
+STATS = 16
 
 
 def _bin(value: float) -> int:
@@ -67,6 +68,8 @@ def structure(raw: bytes, words: list[bytes], distinct: int) -> list[int]:
         _bin(np.log2(1 + n / len(lines)) / 12),
         _bin(ends / some),
         _bin(4 * bare / some),
+        _bin(2 * sum(map(eq, words, words[1:])) / some),
+        _bin(sum(map(eq, words, words[1:])) / some),
     ]
 
 

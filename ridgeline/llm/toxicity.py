@@ -1,20 +1,21 @@
-"""Toxicity: class-conditional Kneser-Ney models over the symbols of words.
+"""Toxicity: class-conditional Kneser-Ney models of words, symbol by symbol.
 
-Two models of order 4, one of toxic and one of ordinary labelled texts, predict each symbol of a word (and its end)
-from the three before it.  Above order 3 a class has its own counts; below, both classes back off to one set of
-Kneser-Ney continuation counts, so that a rare expression that neither class has seen weighs nothing, while a rare
-inflection of a known stem keeps the weight of its stem.
+Two models, one of toxic and one of ordinary labelled texts, predict each symbol of a word (and its end) from all that
+came before it in the word, up to ``DEPTH`` symbols.  Each class has its own counts of these prefixes; both back off
+to one set of Kneser-Ney continuation counts (in how many different prefixes a symbol follows the two before it).  So
+a rare expression that neither class knows well weighs next to nothing, while a rare inflection keeps the weight of
+its stem.  A prefix counts once for each text that has it, and counts of one are wholly left to the backoff.
 
-Counts cover every labelled training row and are summed by Spark; symbols are folded to 64 codes, so that a table
-has at most 2^24 rows whatever the input.  A text's figures are the difference of its two log-likelihoods per
-symbol, and the strongest differences among its words, each divided by the root of the word's length.  A logistic
-function of them, fitted on at most ``CALIBRATION_ROWS`` labelled rows that the counts behind it have not seen,
-gives the score.
+Counts cover every labelled training row and are summed by Spark.  Prefixes are hashed to ``2 ** BITS`` rows, so that
+the tables that reach the driver and the executors are bounded whatever the input.  A text's figures are the
+difference of its two log-likelihoods per symbol, the strongest differences among its words, each divided by the root
+of the word's length, and the share of strong words.  A logistic function of them, fitted on at most
+``CALIBRATION_ROWS`` labelled rows that the counts behind it have not seen, gives the score.
 
 Nulls and ties: a null or empty text has the figures 0 and is scored as such.  Labels that are null or of an unknown
 document teach nothing; a document with several labels counts once for each.  Without labels of both classes every
 score is 0.  Repeated rows and null ids are scored like others (a null id is never held out).  Extra columns are
-ignored; long texts are scored whole, in pieces that share no memory.
+ignored; texts are scored whole, in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -33,7 +34,14 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Bound on the labelled rows that the logistic function is fitted on.
 CALIBRATION_ROWS = 4_000
-DISCOUNT = 0.75
+#: Symbols of a word that its prefixes reach.
+DEPTH = 8
+#: Bits of a prefix's row.
+BITS = 22
+#: Absolute discounts of counts of one, two, and three or more.
+DISCOUNTS = (1.0, 1.5, 1.8)
+#: Beyond this, a word's difference says no more.
+STRONGEST = 5.0
 #: Texts are gathered into pieces of about this many characters.
 PIECE = 500_000
 
@@ -57,66 +65,124 @@ def symbols(text: str) -> np.ndarray:
     return _code_of()[np.minimum(codes, 0xFFFF)]
 
 
-def grams(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the 4-grams of the words in ``s``, their places, and whether each begins a word."""
-    s = np.r_[s, np.uint8(0)].astype(np.int32)
-    back = lambda a: np.r_[np.int32(0), a[:-1]]
-    c1 = back(s)
-    c2 = np.where(c1 != 0, back(c1), 0)
-    c3 = np.where(c2 != 0, back(back(c1)), 0)
-    at = np.flatnonzero((s != 0) | (c1 != 0))
-    key = (c3 << 18 | c2 << 12 | c1 << 6 | s)[at]
-    return key, at, c1[at] == 0
+def word_starts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start in ``s`` and how long they are."""
+    inside = np.r_[False, s != 0, False]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2] - edge[::2]
+
+
+def _next(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Row of a prefix that is one symbol longer."""
+    h = (key.astype(np.uint64) * np.uint64(_CODES) + symbol.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
-    """``(key, c0 .. c3)``: 4-gram counts, by fold parity and class, of rows ``(text, part, toxic)``."""
+    """``(event, context, gram, c0 .. c3)``: texts with each prefix, by fold part and class.
+
+    ``labelled`` has rows ``(text, part, toxic)``; an event is a prefix, its context the prefix without the last symbol,
+    and gram the last three symbols.
+    """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, _CODES**4), np.uint32)
+        total = np.zeros((4, 1 << BITS), np.int32)
+        context, gram = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
         for batch in it:
             for text, part, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys, n = np.unique(grams(symbols(text))[0], return_counts=True)
-                total[2 * part + toxic, keys] += n.astype(np.uint32)
+                s = symbols(text)
+                start, length = word_starts(s)
+                s = np.r_[np.zeros(2, np.uint8), s, np.uint8(0)].astype(np.int64)
+                key = np.zeros(len(start), np.int64)
+                for t in range(DEPTH + 1):
+                    if not len(start):
+                        break
+                    at = start + t + 2
+                    event = _next(key, s[at])
+                    event, one = np.unique(event, return_index=True)
+                    total[2 * part + toxic, event] += 1
+                    context[event] = key[one]
+                    two, back = (s[at[one] - 2] if t > 1 else 0), (s[at[one] - 1] if t > 0 else 0)
+                    gram[event] = two << 12 | back << 6 | s[at[one]]
+                    # Words with one prefix go on together as far as their next symbols agree: keep them all.
+                    key = _next(key, s[at])
+                    more = length > t
+                    start, length, key = start[more], length[more], key[more]
         seen = np.flatnonzero(total.any(axis=0))
         for i in range(0, len(seen), 50_000):
             k = seen[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), *(pa.array(total[j, k].astype(np.int64)) for j in range(4))], names=["key", "c0", "c1", "c2", "c3"])
+            cells = (k, context[k], gram[k], *(total[j, k] for j in range(4)))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in cells], names=["event", "context", "gram", "c0", "c1", "c2", "c3"])
+
+    rows = labelled.select("text", "part", "toxic").mapInArrow(count, "event int, context int, gram int, c0 int, c1 int, c2 int, c3 int")
+    return rows.groupBy("event").agg(F.min("context").alias("context"), F.min("gram").alias("gram"), *(F.sum(f"c{j}").alias(f"c{j}") for j in range(4)))
 
-    rows = labelled.select("text", "part", "toxic").mapInArrow(count, "key int, c0 long, c1 long, c2 long, c3 long")
-    return rows.groupBy("key").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(4)))
 
+def _discount(n: np.ndarray) -> np.ndarray:
+    return np.where(n >= 3, DISCOUNTS[2], np.where(n >= 2, DISCOUNTS[1], np.where(n >= 1, DISCOUNTS[0], 0)))
 
-def ratio_table(key: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """log p(symbol | context, toxic) - log p(symbol | context, ordinary) for every 4-gram."""
-    cont3 = np.bincount(key & (_CODES**3 - 1), minlength=_CODES**3).astype(np.float32)  # distinct symbols before
+
+def ratio_tables(event: np.ndarray, context: np.ndarray, gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log p(symbol | prefix, toxic) - log p(symbol | prefix, ordinary).
+
+    The first table has it for each known event (NaN for others), the second for an unknown event after a known
+    context, where the shared backoff cancels.
+    """
+    shared = np.full(_CODES, 1 / _CODES)
+    cont3 = np.bincount(gram, minlength=_CODES**3).astype(float)  # different prefixes that end so
     g3 = np.flatnonzero(cont3)
-    cont2 = np.bincount(g3 & (_CODES**2 - 1), minlength=_CODES**2).astype(np.float32)
+    cont2 = np.bincount(g3 & (_CODES**2 - 1), minlength=_CODES**2).astype(float)
     g2 = np.flatnonzero(cont2)
-    cont1 = np.bincount(g2 & (_CODES - 1), minlength=_CODES).astype(np.float32)
-    shared = np.full(_CODES, 1 / _CODES, np.float32)
+    cont1 = np.bincount(g2 & (_CODES - 1), minlength=_CODES).astype(float)
     for counts in (cont1, cont2, cont3):
         shared = _smooth(counts, shared)
-    out = np.zeros(_CODES**4, np.float32)
+    low = shared[gram]
+    known, unknown = np.full(1 << BITS, np.nan, np.float32), np.zeros(1 << BITS, np.float32)
+    gain = np.zeros(len(event))
     for sign, n in ((1, toxic), (-1, ordinary)):
-        counts = np.zeros(_CODES**4, np.float32)
-        counts[key] = n
-        out += sign * np.log(_smooth(counts, shared))
-    return out
+        n = n.astype(float)
+        total = np.bincount(context, n, 1 << BITS)
+        spare = np.bincount(context, np.minimum(_discount(n), n), 1 << BITS)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.where(total > 0, spare / total, 1.0)
+            own = np.where(total[context] > 0, np.maximum(n - _discount(n), 0) / total[context], 0.0)
+        share = np.maximum(share, 1e-3)
+        gain += sign * np.log(own + share[context] * low)
+        unknown += (sign * np.log(share)).astype(np.float32)
+    known[event] = gain
+    return known, unknown
 
 
 def _smooth(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Interpolated absolute discounting over the last symbol; a context without counts takes ``lower``."""
     c = counts.reshape(-1, _CODES)
-    below = np.broadcast_to(lower.reshape(1, -1, _CODES), (max(1, c.size // lower.size), lower.size // _CODES, _CODES)).reshape(c.shape)
+    below = np.tile(lower.reshape(-1, _CODES), (max(1, c.size // lower.size), 1))
     total = c.sum(axis=1, keepdims=True)
     kinds = (c > 0).sum(axis=1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.maximum(c - DISCOUNT, 0) / total + (DISCOUNT * kinds / total) * below
-    return np.where(total > 0, p, below).astype(np.float32).ravel()
+        p = np.maximum(c - 0.75, 0) / total + (0.75 * kinds / total) * below
+    return np.where(total > 0, p, below).ravel()
 
 
-def figures(texts: list[str], table: np.ndarray) -> np.ndarray:
+def word_gains(s: np.ndarray, start: np.ndarray, length: np.ndarray, known: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """Log-likelihood difference of each word; it stops where neither class knows the prefix."""
+    out = np.zeros(len(start))
+    s = np.r_[s, np.uint8(0)].astype(np.int64)
+    key, rows = np.zeros(len(start), np.int64), np.arange(len(start))
+    for t in range(DEPTH + 1):
+        if not len(rows):
+            break
+        event = _next(key, s[start[rows] + t])
+        gain = known[event]
+        new = np.isnan(gain)
+        out[rows] += np.where(new, unknown[key], gain)
+        on = ~new & (length[rows] > t)
+        rows, key = rows[on], event[on]
+    return out
+
+
+def figures(texts: list[str], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Per text: log-likelihood difference per symbol, the three strongest words', the share of strong words."""
     out = np.zeros((len(texts), _FIGURES))
     piece, size = [], 0
@@ -129,27 +195,26 @@ def figures(texts: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def _figures(rows: list[int], parts: list[np.ndarray], table: np.ndarray, out: np.ndarray) -> None:
+def _figures(rows: list[int], parts: list[np.ndarray], table: tuple[np.ndarray, np.ndarray], out: np.ndarray) -> None:
     ends = np.cumsum([len(p) + 1 for p in parts])
     zero = np.zeros(1, np.uint8)
-    key, at, begins = grams(np.concatenate([x for p in parts for x in (p, zero)]))
-    if not len(key):
+    s = np.concatenate([x for p in parts for x in (p, zero)])
+    first, length = word_starts(s)
+    if not len(first):
         return
-    gain = table[key]
-    first = np.flatnonzero(begins)
-    length = np.diff(np.r_[first, len(key)])
-    word = np.add.reduceat(gain, first) / np.sqrt(length)
-    doc = np.searchsorted(ends, at[first], side="right")
+    gain = word_gains(s, first, length, *table)
+    word = gain / np.sqrt(np.minimum(length, DEPTH) + 1)
+    doc = np.searchsorted(ends, first, side="right")
     n_words = np.bincount(doc, minlength=len(parts))
-    n_symbols = np.bincount(doc, length, minlength=len(parts))
-    total = np.bincount(doc, np.add.reduceat(gain, first), minlength=len(parts))
-    strong = np.bincount(doc, word > 2, minlength=len(parts))
+    n_symbols = np.bincount(doc, length + 1, minlength=len(parts))
+    total = np.bincount(doc, gain, minlength=len(parts))
+    strong = np.bincount(doc, word > 1, minlength=len(parts))
     order = np.lexsort((-word, doc))
-    start = np.r_[0, np.cumsum(n_words)[:-1]]
-    rank = np.arange(len(order)) - start[doc[order]]
+    begin = np.r_[0, np.cumsum(n_words)[:-1]]
+    rank = np.arange(len(order)) - begin[doc[order]]
     for i in range(3):
         pick = order[rank == i]
-        out[np.asarray(rows)[doc[pick]], 1 + i] = word[pick]
+        out[np.asarray(rows)[doc[pick]], 1 + i] = np.minimum(word[pick], STRONGEST)
     out[rows, 0] = total / np.maximum(n_symbols, 1)
     out[rows, 4] = np.minimum(strong, 8) / 8
 
@@ -174,18 +239,16 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict | None:
     known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.withColumn("part", (fold(F.col("doc_id"), FOLDS) / 2).cast("int")).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     texts = id_and_text(docs).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counts = class_counts(texts.join(known, "doc_id")).toPandas()
-    key = counts["key"].to_numpy()
-    order = np.argsort(key)
-    key = key[order]
-    c = counts[["c0", "c1", "c2", "c3"]].to_numpy()[order]
+    counts = class_counts(texts.join(known, "doc_id")).toPandas().sort_values("event")
+    base = {c: counts[c].to_numpy() for c in ("event", "context", "gram")}
+    c = counts[["c0", "c1", "c2", "c3"]].to_numpy()
     ordinary, toxic = c[:, 0] + c[:, 2], c[:, 1] + c[:, 3]
     if not ordinary.any() or not toxic.any():
         return None
-    model = {"key": key, "ordinary": ordinary, "toxic": toxic}
+    model = {**base, "ordinary": ordinary, "toxic": toxic}
     # The logistic function is fitted where the counts of the other part judge.
     halves = c[:, 0].any() and c[:, 1].any() and c[:, 2].any() and c[:, 3].any()
-    half = {"key": key, "ordinary": c[:, 0], "toxic": c[:, 1]} if halves else model
+    half = _part(base, c[:, 0], c[:, 1]) if halves else model
     sample = known.where("part = 1") if halves else known
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(CALIBRATION_ROWS)
     judged = _scored(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), half, ["toxic"]).toPandas()
@@ -194,15 +257,21 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict | None:
     return model
 
 
+def _part(base: dict, ordinary: np.ndarray, toxic: np.ndarray) -> dict:
+    """The model of one part's counts."""
+    there = ordinary + toxic > 0
+    return {**{k: v[there] for k, v in base.items()}, "ordinary": ordinary[there], "toxic": toxic[there]}
+
+
 _TABLES: dict = {}
 
 
-def _table(model: dict) -> np.ndarray:
-    """The dense table of a model, made once in each worker."""
-    mark = (len(model["key"]), int(model["ordinary"].sum()), int(model["toxic"].sum()))
+def _table(model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The dense tables of a model, made once in each worker."""
+    mark = (len(model["event"]), int(model["ordinary"].sum()), int(model["toxic"].sum()))
     if mark not in _TABLES:
         _TABLES.clear()
-        _TABLES[mark] = ratio_table(model["key"], model["ordinary"], model["toxic"])
+        _TABLES[mark] = ratio_tables(*(model[k] for k in ("event", "context", "gram", "ordinary", "toxic")))
     return _TABLES[mark]
 
 
