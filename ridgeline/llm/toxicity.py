@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import fold, id_and_text
+from ridgeline.shared import stage_table
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -119,38 +120,52 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("event").agg(F.min("context").alias("context"), F.min("gram").alias("gram"), *(F.sum(f"c{j}").alias(f"c{j}") for j in range(4)))
 
 
-def _discount(n: np.ndarray) -> np.ndarray:
-    return np.where(n >= 3, DISCOUNTS[2], np.where(n >= 2, DISCOUNTS[1], np.where(n >= 1, DISCOUNTS[0], 0)))
+def _discounted(n: str) -> str:
+    """What the absolute discount takes from a count."""
+    return f"least({n}, if({n} >= 3, {DISCOUNTS[2]}, if({n} >= 2, {DISCOUNTS[1]}, {DISCOUNTS[0]})))"
 
 
-def ratio_tables(event: np.ndarray, context: np.ndarray, gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log p(symbol | prefix, toxic) - log p(symbol | prefix, ordinary).
+def shared_backoff(counts: DataFrame) -> np.ndarray:
+    """p(symbol | the two before it) for every three symbols, from the different prefixes that end so.
 
-    The first table has it for each known event (NaN for others), the second for an unknown event after a known
-    context, where the shared backoff cancels.
+    At most ``64 ** 3`` rows reach the driver.
     """
+    rows = counts.groupBy("gram").agg(F.count("*").cast("int").alias("n")).toArrow()
+    cont3 = np.zeros(_CODES**3)
+    cont3[rows["gram"].to_numpy()] = rows["n"].to_numpy()
+    cont2 = np.bincount(np.flatnonzero(cont3) & (_CODES**2 - 1), minlength=_CODES**2).astype(float)
+    cont1 = np.bincount(np.flatnonzero(cont2) & (_CODES - 1), minlength=_CODES).astype(float)
     shared = np.full(_CODES, 1 / _CODES)
-    cont3 = np.bincount(gram, minlength=_CODES**3).astype(float)  # different prefixes that end so
-    g3 = np.flatnonzero(cont3)
-    cont2 = np.bincount(g3 & (_CODES**2 - 1), minlength=_CODES**2).astype(float)
-    g2 = np.flatnonzero(cont2)
-    cont1 = np.bincount(g2 & (_CODES - 1), minlength=_CODES).astype(float)
-    for counts in (cont1, cont2, cont3):
-        shared = _smooth(counts, shared)
-    low = shared[gram]
+    for n in (cont1, cont2, cont3):
+        shared = _smooth(n, shared)
+    return shared
+
+
+def class_model(counts: DataFrame, shared: DataFrame, ordinary: str, toxic: str) -> dict[str, np.ndarray] | None:
+    """log p(symbol | prefix, toxic) - log p(symbol | prefix, ordinary), as sparse tables.
+
+    One table has it for the events that toxic texts have.  For other events after a context that they have, the
+    shared backoff nearly cancels, and the other table has the difference of the two backoff weights.  Beyond, toxic
+    texts know nothing.  None if a class has no counts.
+    """
+    rows = counts.select("event", "context", "gram", F.expr(ordinary).cast("double").alias("o"), F.expr(toxic).cast("double").alias("t"))
+    sums = [F.sum(c).alias(f"n{c}") for c in "ot"] + [F.sum(F.expr(_discounted(c))).alias(f"s{c}") for c in "ot"]
+    by = rows.groupBy("context").agg(*sums).where("nt > 0")
+    by = by.select("context", "no", "nt", F.expr("greatest(st / nt, 1e-3)").alias("wt"), F.expr("if(no > 0, greatest(so / no, 1e-3), 1d)").alias("wo"))
+    unknown = by.select("context", F.expr("cast(ln(wt) - ln(wo) as float)").alias("gain")).toArrow()
+    own = lambda c: f"if(n{c} > 0, ({c} - {_discounted(c)}) / n{c}, 0d)"
+    gain = f"cast(ln({own('t')} + wt * low) - ln({own('o')} + wo * low) as float)"
+    known = rows.where("t > 0").join(by, "context").join(F.broadcast(shared), "gram").select("event", F.expr(gain).alias("gain")).toArrow()
+    if not known.num_rows or rows.agg(F.sum("o")).first()[0] == 0:
+        return None
+    out = {"event": known["event"], "gain": known["gain"], "context": unknown["context"], "unknown": unknown["gain"]}
+    return {k: v.to_numpy() for k, v in out.items()}
+
+
+def dense_tables(model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     known, unknown = np.full(1 << BITS, np.nan, np.float32), np.zeros(1 << BITS, np.float32)
-    gain = np.zeros(len(event))
-    for sign, n in ((1, toxic), (-1, ordinary)):
-        n = n.astype(float)
-        total = np.bincount(context, n, 1 << BITS)
-        spare = np.bincount(context, np.minimum(_discount(n), n), 1 << BITS)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(total > 0, spare / total, 1.0)
-            own = np.where(total[context] > 0, np.maximum(n - _discount(n), 0) / total[context], 0.0)
-        share = np.maximum(share, 1e-3)
-        gain += sign * np.log(own + share[context] * low)
-        unknown += (sign * np.log(share)).astype(np.float32)
-    known[event] = gain
+    known[model["event"]] = model["gain"]
+    unknown[model["context"]] = model["unknown"]
     return known, unknown
 
 
@@ -166,7 +181,7 @@ def _smooth(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 def word_gains(s: np.ndarray, start: np.ndarray, length: np.ndarray, known: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-    """Log-likelihood difference of each word; it stops where neither class knows the prefix."""
+    """Log-likelihood difference of each word; it stops where toxic texts don't know the prefix."""
     out = np.zeros(len(start))
     s = np.r_[s, np.uint8(0)].astype(np.int64)
     key, rows = np.zeros(len(start), np.int64), np.arange(len(start))
@@ -235,32 +250,35 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, l2: float = 1e-
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Counts and logistic weights, or None where a class has no labelled training row."""
+    """Tables and logistic weights, or None where a class has no labelled training row."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.withColumn("part", (fold(F.col("doc_id"), FOLDS) / 2).cast("int")).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     texts = id_and_text(docs).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counts = class_counts(texts.join(known, "doc_id")).toPandas().sort_values("event")
-    base = {c: counts[c].to_numpy() for c in ("event", "context", "gram")}
-    c = counts[["c0", "c1", "c2", "c3"]].to_numpy()
-    ordinary, toxic = c[:, 0] + c[:, 2], c[:, 1] + c[:, 3]
-    if not ordinary.any() or not toxic.any():
+    counts = stage_table(class_counts(texts.join(known, "doc_id")), "prefix-counts")
+    low = shared_backoff(counts)
+    shared = docs.sparkSession.range(_CODES**3).select(F.col("id").cast("int").alias("gram")).mapInArrow(_column(low), "gram int, low double")
+    model = class_model(counts, shared, "c0 + c2", "c1 + c3")
+    if model is None:
         return None
-    model = {**base, "ordinary": ordinary, "toxic": toxic}
     # The logistic function is fitted where the counts of the other part judge.
-    halves = c[:, 0].any() and c[:, 1].any() and c[:, 2].any() and c[:, 3].any()
-    half = _part(base, c[:, 0], c[:, 1]) if halves else model
-    sample = known.where("part = 1") if halves else known
+    half = class_model(counts, shared, "c0", "c1")
+    sample = known if half is None else known.where("part = 1")
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(CALIBRATION_ROWS)
-    judged = _scored(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), half, ["toxic"]).toPandas()
-    x, y = np.array(judged["f"].tolist()), judged["toxic"].to_numpy().astype(float)
-    model["logistic"] = fit_logistic(x, y)
+    judged = _scored(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), half or model, ["toxic"]).toPandas()
+    if judged["toxic"].nunique() < 2:
+        return None
+    model["logistic"] = fit_logistic(np.array(judged["f"].tolist()), judged["toxic"].to_numpy().astype(float))
     return model
 
 
-def _part(base: dict, ordinary: np.ndarray, toxic: np.ndarray) -> dict:
-    """The model of one part's counts."""
-    there = ordinary + toxic > 0
-    return {**{k: v[there] for k, v in base.items()}, "ordinary": ordinary[there], "toxic": toxic[there]}
+def _column(values: np.ndarray):
+    """Adds the value of each row's number."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values[batch.column(0).to_numpy()])], names=["gram", "low"])
+
+    return run
 
 
 _TABLES: dict = {}
@@ -268,10 +286,10 @@ _TABLES: dict = {}
 
 def _table(model: dict) -> tuple[np.ndarray, np.ndarray]:
     """The dense tables of a model, made once in each worker."""
-    mark = (len(model["event"]), int(model["ordinary"].sum()), int(model["toxic"].sum()))
+    mark = (len(model["event"]), len(model["context"]), float(model["gain"].sum()))
     if mark not in _TABLES:
         _TABLES.clear()
-        _TABLES[mark] = ratio_tables(*(model[k] for k in ("event", "context", "gram", "ordinary", "toxic")))
+        _TABLES[mark] = dense_tables(model)
     return _TABLES[mark]
 
 
