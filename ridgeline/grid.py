@@ -173,7 +173,7 @@ def densify(points: DataFrame, shape: Sequence[int], mapping: CoordinateMapping
     inside = points.where(grid.valid([F.col(a) for a in axes])).select("grid_id", cell_id([F.col(a) for a in axes], shape).alias("cell_id"), "value")
     every = points.select("grid_id").distinct()
     rest = math.prod(shape[1:])
-    every = every.select("grid_id", F.explode(F.sequence(F.lit(0), F.lit(shape[0] - 1))).cast("long").alias("_r"))
+    every = every.select("grid_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shape[0] - 1).cast("long"))).alias("_r"))
     every = every.select("grid_id", F.explode(F.sequence(F.col("_r") * rest, F.col("_r") * rest + (rest - 1))).alias("cell_id"))
     cells = every.join(inside, ["grid_id", "cell_id"], "left").select(
         "grid_id", *(i.cast("long").alias(a) for i, a in zip(index_of(F.col("cell_id"), shape), axes, strict=True)), "cell_id", F.coalesce("value", F.lit(fill).cast(kind)).alias("value")
