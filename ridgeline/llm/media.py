@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ridgeline.llm.common import id_and_text
-from ridgeline.shared import scratch_path, stage_table
+from ridgeline.shared import scratch_path, shuffle_partitions, stage_table
 
 WIDTH = 192
 #: A shard is closed beyond this size.
@@ -133,8 +133,8 @@ _PLACES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest",
 def _read_ranges(root: str, extra: pa.Schema, values, only: int | None = None):
     """A mapInArrow function that adds columns made of the stored bytes that each row names.
 
-    Rows come in the order in which they were written, so that reads go forward through one shard at a time and
-    the rows of one image mostly meet; what an image gave is remembered for the shard at hand.
+    Rows best come in the order of shards and offsets, so that reads go forward through one shard at a time and the
+    rows of one image meet; what an image gave is remembered for the shard at hand.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +159,12 @@ def _read_ranges(root: str, extra: pa.Schema, values, only: int | None = None):
     return run
 
 
+def in_shard_order(places: DataFrame) -> DataFrame:
+    """The rows dealt evenly by shard and offset, each part in the order of its shards."""
+    parts = shuffle_partitions(places.sparkSession)
+    return places.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
+
+
 def _with(places: DataFrame, names: str, fn) -> DataFrame:
     have = ", ".join(f"{c} {t}" for c, t in places.dtypes)
     return places.where("shard is not null").mapInArrow(fn, f"{have}, {names}")
@@ -196,5 +202,5 @@ def payload_columns(places: DataFrame, root: str) -> DataFrame:
 def media_table(docs: DataFrame) -> DataFrame:
     """Writes the shards of ``docs`` and gives its media columns, one row for each row of ``docs``."""
     root = scratch_path(docs.sparkSession, "shards")
-    places = write_shards(docs, root)
+    places = in_shard_order(write_shards(docs, root))
     return payload_columns(header_columns(places, root), root)

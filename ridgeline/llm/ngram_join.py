@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WordHash, batches, id_and_text, salted_lookup, shingles
+from ridgeline.llm.common import WordHash, batches, free_name, id_and_text, salted_lookup, shingles
 from ridgeline.operators.components import connected_components
 from ridgeline.shared import drop_table, shuffle_partitions, stage_table
 
@@ -264,8 +264,10 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
 def keep_one_of_each_class(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their class: one document of each group stays.
 
-    Rows of equal doc_id and equal text are repeated rows, of which one stays; with unequal texts they stay or go together.
+    Rows of one doc_id stay or go together, and rows without a doc_id stay.
     """
     classes = jaccard_classes(docs, percent, k)
-    stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"] == F.col("_stay"), "left_semi")
+    name = free_name(docs, "_stay")
+    stay = classes.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(stay, docs["doc_id"] == stay[name], "left_semi")
+    return kept.unionByName(docs.where(docs["doc_id"].isNull()))

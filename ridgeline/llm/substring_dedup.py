@@ -9,7 +9,8 @@ Digests are pre-aggregated before they are shuffled, and units meet the digests
 staged tables, whose hot keys adaptive execution splits.  No group of units is gathered in one place.
 
 Nulls and ties: a null or empty text has no units; rows without a doc_id are left as they are and keep nothing from
-others.  Rows of one doc_id are one document: repeated rows do not cut each other.  Units under ``MIN_WORDS`` words
+others.  Rows of one doc_id are one document: repeated rows do not cut each other, and of rows with
+other texts under one id each is cut by its own offsets.  Units under ``MIN_WORDS`` words
 are never compared; they go only where the units on both sides of them go to neighbouring units of one document.
 Extra columns pass through; an empty table gives no spans.  Texts of any length are treated whole, in linear time.
 """
@@ -25,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import id_and_text
+from ridgeline.llm.common import free_name, id_and_text
 from ridgeline.shared import stage_table
 
 MIN_WORDS = 5
 
 _BREAK = re.compile(r"[.!?][^\w\s]*\s+|\n\s*")
 _MARKS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”„‘’…–—"
-_UNITS = pa.schema([("doc_id", pa.int64()), ("unit", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+_UNITS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("unit", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
 def normal(unit: str) -> str:
@@ -62,20 +63,20 @@ def text_units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, st
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, unit, start, stop, h1, h2)``: the units and their digests."""
+    """``(doc_id, version, unit, start, stop, h1, h2)``: the units and their digests; version is a hash of the text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in range(4)]
+        cols: list[list] = [[] for _ in range(5)]
         digests = bytearray()
         for batch in it:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, version in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, (start, stop, piece) in enumerate(text_units(text, min_words)):
-                    for col, cell in zip(cols, (doc_id, i, start, stop), strict=True):
+                    for col, cell in zip(cols, (doc_id, version, i, start, stop), strict=True):
                         col.append(cell)
                     digests += xxhash.xxh3_128_digest(piece)
                 if len(cols[0]) >= 50_000:
                     yield flush(cols, digests)
-                    cols, digests = [[] for _ in range(4)], bytearray()
+                    cols, digests = [[] for _ in range(5)], bytearray()
         if cols[0]:
             yield flush(cols, digests)
 
@@ -83,17 +84,17 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         h = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([*(pa.array(c, t.type) for c, t in zip(cols, _UNITS, strict=False)), pa.array(h[:, 0]), pa.array(h[:, 1])], schema=_UNITS)
 
-    rows = id_and_text(docs).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, unit int, start long, stop long, h1 long, h2 long")
+    rows = id_and_text(docs).where("doc_id is not null").withColumn("version", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, version long, unit int, start long, stop long, h1 long, h2 long")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, unit, start, stop, kept_doc_id, kept_unit)``: every unit of an earlier unit's text, by offset."""
+    """``(doc_id, version, unit, start, stop, kept_doc_id, kept_unit)``: every unit of an earlier unit's text, by offset."""
     found = stage_table(units(docs, min_words), "units")
     again = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "unit")).alias("kept"), F.max(F.struct("doc_id", "unit")).alias("last"))
     again = stage_table(again.where("kept <> last").select("h1", "h2", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit")), "repeats")
     met = found.join(again, ["h1", "h2"]).where("doc_id <> kept_doc_id or unit <> kept_unit")
-    return met.select("doc_id", "unit", "start", "stop", "kept_doc_id", "kept_unit").distinct()
+    return met.select("doc_id", "version", "unit", "start", "stop", "kept_doc_id", "kept_unit").distinct()
 
 
 def cut_spans(text: str, spans: list[dict]) -> str:
@@ -111,7 +112,8 @@ def cut_spans(text: str, spans: list[dict]) -> str:
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later occurrences of repeated units cut out of ``text``; every row stays."""
     spans = repeated_spans(docs, min_words)
-    lists = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("unit", "start", "stop", "kept_doc_id", "kept_unit")).alias("_spans"))
+    key, version, cuts = (free_name(docs, n) for n in ("_id", "_version", "_spans"))
+    lists = spans.groupBy(F.col("doc_id").alias(key), F.col("version").alias(version)).agg(F.collect_list(F.struct("unit", "start", "stop", "kept_doc_id", "kept_unit")).alias(cuts))
     columns, at = docs.columns, docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,4 +123,5 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             cells[at] = pa.array(cut, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cells, names=columns)
 
-    return docs.join(lists, docs["doc_id"] == F.col("_id"), "left").select(*columns, "_spans").mapInArrow(run, docs.schema)
+    same = (docs["doc_id"].cast("long") == lists[key]) & (F.xxhash64(docs["text"]) == lists[version])
+    return docs.join(lists, same, "left").select(*(docs[c] for c in columns), lists[cuts]).mapInArrow(run, docs.schema)
