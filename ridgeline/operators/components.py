@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ridgeline.shared import drop_table, stage_table
 
+#: Least number of neighbours from which a node's rows are not shuffled to one place.
+HOT = 1_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node that has an edge to another node; component is its smallest node.
@@ -25,7 +28,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if mark[0] == 0:
             break
         was, old = mark, pairs
-        pairs, mark = _round(_small_star(_large_star(pairs)), old)
+        pairs, mark = _round(_small_star(_large_star(pairs, max(HOT, mark[0] // 1000))), old)
         if mark == was:
             break
     else:
@@ -45,10 +48,16 @@ def _round(pairs: DataFrame, old: DataFrame | None) -> tuple[DataFrame, tuple]:
     return staged, tuple(mark)
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
+def _large_star(pairs: DataFrame, hot: int) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    # Nodes with very many neighbours are few (at most 2000, as `hot` is a thousandth of the edges), and their rows
+    # stay where they are; only the others meet in a shuffle.
+    centres = low.where(F.col("n") >= hot).select("u", F.col("m").alias("h"))
+    tagged = both.join(F.broadcast(centres), "u", "left")
+    spread = tagged.where("h is not null").select("u", "v", F.col("h").alias("m"))
+    joined = tagged.where("h is null").select("u", "v").join(low.where(F.col("n") < hot).select("u", "m"), "u").unionByName(spread)
+    return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:

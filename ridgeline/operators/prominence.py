@@ -19,6 +19,10 @@ from ridgeline.grid import Grid
 from ridgeline.operators import kernels
 from ridgeline.operators.regions import plateau_cells, plateaus
 from ridgeline.operators.stencil import neighbour_pairs, offsets
+from ridgeline.shared import drop_table, stage_table
+
+#: Cells of a grid whose ascent pointers are followed in one task.
+CLIMB_CELLS = 1 << 24
 
 BOUNDARIES = ("infinite_height", "infinite_depth")
 
@@ -50,8 +54,9 @@ def remove_boundary_artifacts(peaks: DataFrame, grid: Grid, distance: int) -> Da
 def basin_cells(grid: Grid, k: int = 1, cells: DataFrame | None = None) -> DataFrame:
     """``(grid_id, cell_id, value, plateau_id, basin)``: the peak that steepest ascent from each cell's plateau reaches.
 
-    A plateau climbs to its highest neighbour (ties: smallest plateau id).  Pointers are followed grid by grid on
-    plateaus, not cells.
+    A plateau climbs to its highest neighbour (ties: smallest plateau id).  Pointers of a grid of up to
+    ``CLIMB_CELLS`` cells are followed in one task, those of larger ones by doubling: each round is a join that
+    replaces a pointer by its target's pointer, so that a path of n plateaus takes log n rounds.
     """
     cells = plateau_cells(grid, k) if cells is None else cells
     own = cells.select("grid_id", "cell_id", "plateau_id")
@@ -59,6 +64,10 @@ def basin_cells(grid: Grid, k: int = 1, cells: DataFrame | None = None) -> DataF
     climbs = neighbour_pairs(grid, k).where("other > value").join(own, ["grid_id", "cell_id"]).join(other, ["grid_id", "other_id"])
     to = climbs.groupBy("grid_id", "plateau_id").agg(F.max(F.struct("other", (-F.col("other_plateau")).alias("o"))).alias("u")).select("grid_id", "plateau_id", (-F.col("u.o")).alias("up"))
 
+    if grid.size > CLIMB_CELLS:
+        top = _follow(to)
+        return cells.join(top, ["grid_id", "plateau_id"], "left").select("grid_id", "cell_id", "value", "plateau_id", F.coalesce("basin", "plateau_id").alias("basin"))
+
     def climb(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, where = np.unique(np.r_[pdf["plateau_id"], pdf["up"]], return_inverse=True)
         up = np.arange(len(ids))
@@ -71,6 +80,18 @@ def basin_cells(grid: Grid, k: int = 1, cells: DataFrame | None = None) -> DataF
     return cells.join(top, ["grid_id", "plateau_id"], "left").select("grid_id", "cell_id", "value", "plateau_id", F.coalesce("basin", "plateau_id").alias("basin"))
 
 
+def _follow(pointers: DataFrame) -> DataFrame:
+    """``(grid_id, plateau_id, basin)``: where the pointers ``(grid_id, plateau_id, up)`` lead in the end."""
+    now = stage_table(pointers, "ascent")
+    while True:
+        ahead = now.select("grid_id", F.col("plateau_id").alias("up"), F.col("up").alias("far"))
+        new = stage_table(now.join(ahead, ["grid_id", "up"], "left").select("grid_id", "plateau_id", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("moved")), "ascent")
+        drop_table(now)
+        if not new.where("moved").take(1):
+            return new.select("grid_id", "plateau_id", F.col("up").alias("basin"))
+        now = new.drop("moved")
+
+
 def basin_saddles(grid: Grid, k: int = 1, basins: DataFrame | None = None) -> DataFrame:
     """``(grid_id, peak_a, peak_b, saddle_height, saddle_cell)``: the highest pass between neighbouring basins."""
     basins = basin_cells(grid, k) if basins is None else basins
@@ -246,8 +267,6 @@ def descent_paths(grid: Grid, starts: DataFrame) -> DataFrame:
 
     Pointers are followed step by step as joins with the pointer table; values fall strictly, so paths end.
     """
-    from ridgeline.shared import stage_table
-
     down = stage_table(steepest_descent(grid), "descent")
     here = starts.select("grid_id", F.col("cell_id").alias("start")).distinct()
     here = here.join(down.withColumnRenamed("cell_id", "start"), ["grid_id", "start"]).select("grid_id", "start", F.lit(0).alias("step"), F.col("start").alias("cell_id"), "value", "down")

@@ -62,10 +62,11 @@ def brute_saddle(a, k, cells):
 CASES = [((40,), 1), ((9, 8), 1), ((9, 8), 2), ((4, 5, 4), 2)]
 
 
-@pytest.mark.parametrize("tile", [1 << 18, 9])
+@pytest.mark.parametrize("tile,climb", [(1 << 18, 1 << 24), (9, 1 << 24), (30, 10)])
 @pytest.mark.parametrize("shape,k", CASES)
-def test_against_brute_force(spark, monkeypatch, shape, k, tile):
+def test_against_brute_force(spark, monkeypatch, shape, k, tile, climb):
     monkeypatch.setattr(ridgeline.grid, "TILE_CELLS", tile)
+    monkeypatch.setattr(prom, "CLIMB_CELLS", climb)
     a = np.random.default_rng(len(shape) * 10 + k).integers(0, 5, shape)
     g = from_numpy(spark, a)
     flat = lambda c: int(np.ravel_multi_index(c, shape))
@@ -86,7 +87,9 @@ def test_against_brute_force(spark, monkeypatch, shape, k, tile):
     cells.unpersist()
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("hot", [1000, 5])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, hot):
+    monkeypatch.setattr("ridgeline.operators.components.HOT", hot)
     n = 300
     path = [(i, i + 1) for i in range(n)]
     star = [(1000, 1000 + i) for i in range(1, 200)]
