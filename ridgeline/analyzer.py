@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import warnings
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ridgeline.features.geometric import peak_cells
 from ridgeline.features.registry import Context, features
+from ridgeline.functions.helpers import ensure_list
 from ridgeline.grid import Grid
 from ridgeline.operators import prominence as prom
 from ridgeline.operators.regions import plateau_cells
@@ -29,6 +33,8 @@ def check_parameters(**given: Any) -> None:
         "radius": ((int, float), lambda v: v > 0),
         "boundary": (str, lambda v: v in prom.BOUNDARIES),
         "features": ((list, tuple), lambda v: all(isinstance(x, str) for x in v)),
+        "scale": ((int, float, list, tuple), lambda v: all(x > 0 for x in ensure_list(v))),
+        "strategy": (str, lambda v: v == "auto" or bool(STRATEGIES.get(v))),
     }
     for name, value in given.items():
         if value is None or name not in tests:
@@ -72,6 +78,8 @@ class PeakAnalyzer:
     def analyze_prominence(self, peaks: PeakFrame, wlen: float | None = None) -> DataFrame:
         check_parameters(wlen=wlen)
         c = peaks.context
+        if wlen is not None and wlen > max(c.grid.shape):
+            warnings.warn("wlen is larger than the grid", stacklevel=2)
         if wlen is None:
             return features(c, ["prominence"])
         return prom.prominence_within(c.grid, peaks.df, wlen, self.connectivity)
@@ -88,6 +96,16 @@ class PeakAnalyzer:
         return prom.virtual_peaks(c.tree, peaks.df, c.grid.ndim, max_link_distance)
 
 
+def benchmark_strategies(grid: Grid, names: list[str] | None = None) -> list[dict[str, Any]]:
+    """Time, peaks, peaks per million cells and mean height of each strategy."""
+    out = []
+    for name in names or STRATEGIES.names():
+        began = time.perf_counter()
+        row = PeakAnalyzer(strategy=name, min_boundary_distance=0).find_peaks(grid).df.agg(F.count("*").alias("n"), F.avg("height").alias("h")).first()
+        out.append({"name": name, "seconds": time.perf_counter() - began, "peaks": row.n, "peaks_per_million": row.n / grid.size * 1e6, "mean_height": row.h})
+    return out
+
+
 def analyze(grid: Grid, **options: Any) -> dict[str, Any]:
     """Validation, peaks, geometry, topography, neighbour lists of plateau cells, and statistics."""
     analyzer = PeakAnalyzer(**options)

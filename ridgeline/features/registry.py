@@ -7,12 +7,14 @@ for a column joins its family alone, so that nothing else is computed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from ridgeline.features import geometric, morphological, spread, topographic
 from ridgeline.grid import Grid
+from ridgeline.shared import drop_table, stage_table
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,7 @@ FAMILIES: dict[str, tuple[Builder, tuple[str, ...]]] = {
     "slopes": (lambda c: topographic.slopes(c.members, c.grid), ("gradient_mean", "gradient_max", "gradient_min", "gradient_std", "slope_angle", "drainage_density", "flow_consistency")),
     "aspect": (lambda c: topographic.aspect(c.peaks, c.grid), ("aspect_angle",)),
     "curvature": (lambda c: topographic.curvature(c.peaks, c.grid), ("mean_curvature", "sharpness", "gaussian_curvature", "principal_1", "principal_2")),
+    "directional": (lambda c: topographic.directional_slopes(c.peaks, c.grid), ("slope_0", "slope_1", "slope_2", "laplacian", "slope_variability")),
     "roughness": (lambda c: topographic.roughness(c.members), ("roughness",)),
     "tpi": (lambda c: topographic.topographic_position(c.peaks, c.grid), ("tpi",)),
     "tri": (lambda c: topographic.ruggedness(c.members, c.grid), ("tri",)),
@@ -96,3 +99,55 @@ def features(context: Context, names: list[str]) -> DataFrame:
         made = FAMILIES[f][0](context)
         out = out.join(made.select("grid_id", "peak_id", *(c for c in cols if c in made.columns)), ["grid_id", "peak_id"], "left")
     return out
+
+
+class FeatureStore:
+    """Feature families computed once and kept as tables, oldest first out.
+
+    ``PeakFrame`` plans features anew for each question; a store is for asking the same ones often.
+    """
+
+    def __init__(self, context: Context, most: int = 50) -> None:
+        self.context, self.most = context, most
+        self._kept: dict[str, DataFrame] = {}
+        self.hits = self.misses = 0
+
+    def family(self, name: str) -> DataFrame:
+        if name in self._kept:
+            self.hits += 1
+        else:
+            self.misses += 1
+            self._kept[name] = stage_table(FAMILIES[name][0](self.context), f"features-{name}")
+            while len(self._kept) > self.most:
+                drop_table(self._kept.pop(next(iter(self._kept))))
+        return self._kept[name]
+
+    def get(self, column: str) -> DataFrame:
+        name = family_of(column)
+        if name is None:
+            raise ValueError(f"no feature {column!r}")
+        return self.family(name).select("grid_id", "peak_id", column)
+
+    def precompute(self, names: list[str], progress: Callable[[int, int], None] | None = None, threads: int = 4) -> None:
+        """Computes families side by side; ``progress(done, all)`` is called after each."""
+        wanted = [n for n in dict.fromkeys(n if n in FAMILIES else family_of(n) for n in names) if n]
+        with ThreadPoolExecutor(threads) as pool:
+            for done, _ in enumerate(pool.map(self.family, wanted), 1):
+                if progress:
+                    progress(done, len(wanted))
+
+    def submit(self, name: str) -> Future:
+        """Computes a family in the background."""
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(self.family, name)
+        finally:
+            pool.shutdown(wait=False)
+
+    def statistics(self) -> dict[str, int]:
+        return {"families": len(self._kept), "hits": self.hits, "misses": self.misses}
+
+    def clear(self) -> None:
+        for table in self._kept.values():
+            drop_table(table)
+        self._kept.clear()

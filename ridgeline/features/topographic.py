@@ -150,6 +150,16 @@ def curvature(peaks: DataFrame, grid: Grid) -> DataFrame:
     return rows.select("grid_id", "peak_id", *out)
 
 
+def directional_slopes(peaks: DataFrame, grid: Grid) -> DataFrame:
+    """Gradient along each axis at the centre, the Laplacian there, and the spread of the slopes to face neighbours."""
+    n = grid.ndim
+    g = gradient(grid).select("grid_id", *grid.axes, *(F.col(f"g{d}").alias(f"slope_{d}") for d in range(n)))
+    near = neighbour_pairs(grid, 1).withColumn("_d", (F.col("other") - F.col("value")).cast("double"))
+    spread = near.groupBy("grid_id", "cell_id").agg(F.stddev_pop("_d").alias("slope_variability"), F.sum("_d").alias("laplacian"))
+    cells = grid.cells.select("grid_id", "cell_id", *grid.axes).join(spread, ["grid_id", "cell_id"]).join(g, ["grid_id", *grid.axes])
+    return at_centre(peaks, cells, grid).select("grid_id", "peak_id", *(f"slope_{d}" for d in range(n)), "laplacian", "slope_variability")
+
+
 def roughness(members: DataFrame) -> DataFrame:
     return members.groupBy("grid_id", "peak_id").agg(F.stddev_pop("value").alias("roughness"))
 

@@ -133,14 +133,26 @@ def grid_components(grid: Grid, condition: Callable[[Column, Column], Column] |
 
 
 class Components:
-    """Union-find questions answered on an edge table: one labelling, then look-ups by filter and count."""
+    """Union-find questions answered on an edge table: one labelling, then look-ups by filter and count.
+
+    Objects don't change: ``union``, ``merge`` and ``add`` give new ones.  The labelling runs when first asked for.
+    """
 
     def __init__(self, edges: DataFrame, nodes: DataFrame | None = None) -> None:
-        labels = connected_components(edges)
-        if nodes is not None:
-            alone = nodes.select(F.col(nodes.columns[0]).alias("node")).join(labels, "node", "left_anti")
-            labels = labels.unionByName(alone.select("node", F.col("node").alias("component")))
-        self.labels = labels
+        self.edges = edges.select(F.col(edges.columns[0]).alias("a"), F.col(edges.columns[1]).alias("b"))
+        self.nodes = None if nodes is None else nodes.select(F.col(nodes.columns[0]).alias("node"))
+        self._labels: DataFrame | None = None
+
+    @property
+    def labels(self) -> DataFrame:
+        """``(node, component)``; a node without edges is its own component."""
+        if self._labels is None:
+            labels = connected_components(self.edges)
+            ends = self.edges.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null")
+            every = ends if self.nodes is None else ends.unionByName(self.nodes)
+            alone = every.distinct().join(labels, "node", "left_anti")
+            self._labels = labels.unionByName(alone.select("node", F.col("node").alias("component")))
+        return self._labels
 
     def sizes(self) -> DataFrame:
         return self.labels.groupBy("component").agg(F.count("*").alias("size"))
@@ -159,6 +171,18 @@ class Components:
     def containing(self, node) -> DataFrame:
         return self.labels.where(F.col("component") == F.lit(self.find(node))).select("node")
 
+    def union(self, a, b) -> Components:
+        more = self.edges.sparkSession.createDataFrame([(a, b)], self.edges.schema)
+        return Components(self.edges.unionByName(more), self.nodes)
+
+    def merge(self, other: Components) -> Components:
+        nodes = [n for n in (self.nodes, other.nodes) if n is not None]
+        return Components(self.edges.unionByName(other.edges), nodes[0].unionByName(nodes[-1]).distinct() if nodes else None)
+
+    def add(self, nodes: DataFrame) -> Components:
+        new = nodes.select(F.col(nodes.columns[0]).alias("node"))
+        return Components(self.edges, new if self.nodes is None else self.nodes.unionByName(new).distinct())
+
 
 def merge_plateaus(cells: DataFrame, grid: Grid, k: int = 1, valid: str = "valid") -> DataFrame:
     """Plateaus of equal height that touch become one, valid if any part is; ``(grid_id, plateau_id, merged_id, valid)``."""

@@ -75,12 +75,19 @@ def range_query(points: DataFrame, coords: Sequence[str], low: Sequence[float],
     return points
 
 
-def grid_radius(grid: Grid, centre: Sequence[float], r: float) -> DataFrame:
-    """Cells within Euclid index distance ``r`` of a point in index space."""
+def choose_index(points: int, ndim: int) -> str:
+    """Which kind of query suits a number of points: ``scan``, ``tree`` or ``hash`` (Spark plans the join itself)."""
+    if points < 1_000:
+        return "scan"
+    return "tree" if ndim <= 3 and points < 100_000 else "hash"
+
+
+def grid_radius(grid: Grid, centre: Sequence[float], r: float, p: float = 2.0) -> DataFrame:
+    """Cells within Minkowski index distance ``r`` (Euclid by default) of a point in index space."""
     rows = grid.cells
     for a, c in zip(grid.axes, centre, strict=True):
         rows = rows.where(F.col(a).between(math.ceil(c - r), math.floor(c + r)))
-    d = distance([F.col(a).cast("double") for a in grid.axes], [F.lit(float(c)) for c in centre])
+    d = distance([F.col(a).cast("double") for a in grid.axes], [F.lit(float(c)) for c in centre], p)
     return rows.withColumn("d", d).where(F.col("d") <= r)
 
 

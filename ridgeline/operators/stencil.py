@@ -10,6 +10,7 @@ import itertools
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -256,9 +257,13 @@ def interpolate_missing(grid: Grid, method: str = "linear", missing: float | Non
 
     ``linear`` weighs the known cells on both sides by distance and repeats the nearest known one at an end;
     ``nearest`` takes the closer one, the earlier on a tie.  A line without known cells is left to the next axis.
+    ``cubic`` is for grids of one axis: a spline through the known cells of a grid, in one task a grid; beyond them
+    the nearest known cell is repeated, and fewer than four known cells are joined linearly.
     """
-    if method not in ("linear", "nearest"):
-        raise ValueError("method is 'linear' or 'nearest'")
+    if method not in ("linear", "nearest", "cubic"):
+        raise ValueError("method is 'linear', 'nearest' or 'cubic'")
+    if method == "cubic":
+        return _interpolate_cubic(grid, missing)
     value = F.col("value").cast("double")
     bad = value.isNull() | F.isnan(value) | ((value == missing) if missing is not None else F.lit(False))
     cells = grid.cells.withColumn("value", F.when(~bad, value))
@@ -277,6 +282,27 @@ def interpolate_missing(grid: Grid, method: str = "linear", missing: float | Non
     return grid.with_cells(cells.select("grid_id", *grid.axes, "cell_id", "value"))
 
 
+def _interpolate_cubic(grid: Grid, missing: float | None) -> Grid:
+    if grid.ndim != 1:
+        raise ValueError("cubic interpolation needs one axis")
+    from ridgeline.functions.helpers import cubic_spline
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i0", ignore_index=True)
+        x, y = pdf["i0"].to_numpy(), pdf["value"].to_numpy(float)
+        known = ~np.isnan(y) & ((y != missing) if missing is not None else True)
+        if known.any():
+            inner = (x > x[known][0]) & (x < x[known][-1])
+            new = np.interp(x, x[known], y[known])
+            if known.sum() > 3:
+                new[inner] = cubic_spline(x[known], y[known], x[inner])
+            pdf["value"] = np.where(known, y, new)
+        return pdf
+
+    cells = grid.cells.select("grid_id", "i0", "cell_id", F.col("value").cast("double").alias("value"))
+    return grid.with_cells(cells.groupBy("grid_id").applyInPandas(fill, cells.schema))
+
+
 def pad(grid: Grid, width: int | Sequence[int], mode: str = "constant", fill: float = 0.0) -> Grid:
     """A frame of ``width`` cells: ``constant``, ``edge`` or ``reflect`` (the face cell is not repeated)."""
     w = (width,) * grid.ndim if isinstance(width, int) else tuple(width)

@@ -219,6 +219,7 @@ _add(
         f"SELECT cell_id, {_r('CASE WHEN v IS NOT NULL THEN v WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (i0 - p0) / (p1 - p0) END', 'value')} FROM y",
     ),
 )
+_add("d8_interpolate_cubic", lambda s, f: stencil.interpolate_missing(fx.g_day(s, f), "cubic", 0).cells.select("cell_id", "value"))
 _W = [math.exp(-0.5 * (x / 0.5) ** 2) for x in range(3)]
 _W = [w / (_W[0] + 2 * sum(_W[1:])) for w in _W]
 _TAPS = ", ".join(f"({d}, {_W[abs(d)]!r}::DOUBLE)" for d in (-2, -1, 0, 1, 2))
@@ -477,6 +478,14 @@ _add(
     _on_peaks(topographic.aspect),
     S.statement(f"{_PEAKS}, {_CENTRE}, {_GRAD}, an AS (SELECT ct.peak_id, g0, g1, 90.0 - degrees(atan2(g1, g0)) AS t FROM ct JOIN gr ON gr.i0 = m0 AND gr.i1 = m1)", f"SELECT peak_id, {_r('CASE WHEN g0 <> 0 OR g1 <> 0 THEN t - 360 * floor(t / 360) END', 'aspect_angle')} FROM an"),
 )
+_add(
+    "h12_directional_slopes",
+    _on_peaks(topographic.directional_slopes),
+    S.statement(
+        f"{_PEAKS}, {_CENTRE}, {_GRAD}, nb AS (SELECT u, stddev_pop(hv - hu) AS s, sum(hv - hu) AS t FROM e GROUP BY 1)",
+        f"SELECT ct.peak_id, {_r('g0', 'slope_0')}, {_r('g1', 'slope_1')}, {_r('t', 'laplacian')}, {_r('s', 'slope_variability')} FROM ct JOIN gr ON gr.i0 = m0 AND gr.i1 = m1 JOIN nb ON nb.u = gr.cell_id",
+    ),
+)
 _add("h7_roughness", _on_members(lambda m, g: topographic.roughness(m), fx.g_ev), S.statement(_PEAKS_EV, f"SELECT peak_id, {_r('stddev_pop(value)', 'roughness')} FROM pc GROUP BY 1"))
 _AT = lambda a, b, n: f"LEFT JOIN g {n} ON {n}.i0 = ct.m0 + {a} AND {n}.i1 = ct.m1 + {b}"
 _add(

@@ -2,12 +2,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.analyzer import PeakAnalyzer, analyze, check_parameters
-from ridgeline.features import features, register_family
+from ridgeline.analyzer import PeakAnalyzer, analyze, benchmark_strategies, check_parameters
+from ridgeline.features import FeatureStore, features, register_family
 from ridgeline.features.registry import FAMILIES, family_of
 from ridgeline.features.spread import clusters
+from ridgeline.functions.helpers import ensure_list, ensure_tuple, profile_memory, timer, validate_array
 from ridgeline.grid import densify, from_numpy
 from ridgeline.operators import spatial, statistics, stencil
+from ridgeline.operators.regions import Components
 from ridgeline.plans.frame import parse_criterion
 from ridgeline.plans.strategy import STRATEGIES, Registry, Strategy, auto_configure, characteristics, chunk_side, decide, decide_column
 from ridgeline.sources.fixtures import test_pattern as pattern
@@ -83,7 +85,7 @@ def test_facade(grid):
         PeakAnalyzer(connectivity=3).find_peaks(grid)
 
 
-@pytest.mark.parametrize("bad,error", [({"connectivity": 0}, ValueError), ({"connectivity": "1"}, TypeError), ({"rel_height": 2.0}, ValueError), ({"boundary": "x"}, ValueError), ({"wlen": -1}, ValueError), ({"features": "a"}, TypeError)])
+@pytest.mark.parametrize("bad,error", [({"connectivity": 0}, ValueError), ({"connectivity": "1"}, TypeError), ({"rel_height": 2.0}, ValueError), ({"boundary": "x"}, ValueError), ({"wlen": -1}, ValueError), ({"features": "a"}, TypeError), ({"scale": [1, 0]}, ValueError), ({"strategy": "none"}, ValueError)])
 def test_parameter_checks(bad, error):
     with pytest.raises(error):
         check_parameters(**bad)
@@ -138,6 +140,58 @@ def test_interpolation_and_padding(spark):
         assert got == np.pad(a, 1, mode=mode, **kw).ravel().tolist()
 
 
+def test_cubic_interpolation(spark):
+    x = np.arange(12.0)
+    y = 0.5 * x**3 - 2 * x + 1  # a cubic is its own spline
+    holes = y.copy()
+    holes[[2, 5, 6, 9]] = np.nan
+    got = [r.value for r in stencil.interpolate_missing(from_numpy(spark, holes), "cubic").enumerate().collect()]
+    assert np.allclose(got, y)
+    with pytest.raises(ValueError):
+        stencil.interpolate_missing(from_numpy(spark, np.ones((2, 2))), "cubic")
+
+
+def test_helpers():
+    assert ensure_list(None) == [] and ensure_list(3) == [3] and ensure_tuple(2, 3) == (2, 2, 2) and ensure_list((1, 2)) == [1, 2]
+    with pytest.raises(ValueError):
+        ensure_tuple((1, 2), 3)
+    assert validate_array([1, 2], finite=True).tolist() == [1, 2]
+    for bad, error in ((["a"], TypeError), ([], ValueError), ([np.nan], ValueError), (1, ValueError)):
+        with pytest.raises(error):
+            validate_array(bad, finite=True)
+    fast = timer(lambda: 5)
+    assert fast() == 5 and fast.seconds >= 0
+    lean = profile_memory(lambda: 6)
+    assert lean() == 6 and lean.megabytes >= 0
+
+
+def test_feature_store(peaks):
+    store, seen = FeatureStore(peaks.context, most=2), []
+    store.precompute(["geometry", "tri"], lambda done, of: seen.append((done, of)))
+    assert seen == [(1, 2), (2, 2)] and store.get("tri").count() == 3 and store.submit("solidity").result().count() == 3
+    assert store.statistics() == {"families": 2, "hits": 1, "misses": 3}
+    store.clear()
+    assert store.statistics()["families"] == 0
+
+
+def test_union_find_questions(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 4), (9, 9)], "a long, b long")
+    c = Components(edges, spark.createDataFrame([(7,)], "node long"))
+    assert c.count() == 4 and c.find(2) == 1 and c.connected(3, 4) and not c.connected(1, 3) and c.find(8) is None
+    assert {r.component: r["size"] for r in c.sizes().collect()} == {1: 2, 3: 2, 7: 1, 9: 1}
+    joined = c.union(2, 3)
+    assert joined.count() == 3 and joined.connected(1, 4) and joined.containing(4).count() == 4
+    assert c.merge(Components(spark.createDataFrame([(4, 7)], "a long, b long"))).connected(3, 7)
+    assert c.add(spark.createDataFrame([(100,)], "n long")).count() == 5
+
+
+def test_strategies_agree(grid):
+    rows = benchmark_strategies(grid)
+    assert {r["peaks"] for r in rows} == {3} and len(rows) == 2
+    assert spatial.choose_index(10, 2) == "scan" and spatial.choose_index(5_000, 3) == "tree" and spatial.choose_index(5_000, 4) == "hash"
+    assert spatial.grid_radius(grid, [5, 5], 2, 1.0).count() == 13
+
+
 def test_points_queries(spark):
     rng = np.random.default_rng(1)
     pts = rng.random((200, 2))
