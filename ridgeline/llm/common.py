@@ -44,7 +44,7 @@ class WordHash(dict):
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
-    def trim(self, most: int = 1_000_000) -> None:
+    def trim(self, most: int = 200_000) -> None:
         if len(self) > most:
             self.clear()
 
@@ -75,11 +75,18 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(windows(words, min(k, len(words))))
 
 
+def small(it: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that few texts are Python objects at a time."""
+    for batch in it:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def batches(fn: Callable[[list, list], list | None], names: list[str], schema: pa.Schema):
     """A mapInArrow function: ``fn`` takes the named columns as Python lists and gives the output columns."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             if batch.num_rows:
                 out = fn(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
                 if out is not None:

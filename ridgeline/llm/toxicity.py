@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import fold, id_and_text
+from ridgeline.llm.common import fold, id_and_text, small
 from ridgeline.shared import stage_table
 
 FOLDS, HELD_OUT = 3, 1
@@ -36,7 +36,7 @@ THRESHOLD = 0.7
 #: Bound on the labelled rows that the logistic function is fitted on.
 CALIBRATION_ROWS = 4_000
 #: Symbols of a word that its prefixes reach.
-DEPTH = 8
+DEPTH = 6
 #: Bits of a prefix's row.
 BITS = 22
 #: Absolute discounts of counts of one, two, and three or more.
@@ -90,7 +90,7 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((4, 1 << BITS), np.int32)
         context, gram = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-        for batch in it:
+        for batch in small(it):
             for text, part, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = symbols(text)
                 start, length = word_starts(s)
@@ -254,6 +254,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict | None:
     known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.withColumn("part", (fold(F.col("doc_id"), FOLDS) / 2).cast("int")).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     texts = id_and_text(docs).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    texts = _maybe_labelled(texts, known)
     counts = stage_table(class_counts(texts.join(known, "doc_id")), "prefix-counts")
     low = shared_backoff(counts)
     shared = docs.sparkSession.range(_CODES**3).select(F.col("id").cast("int").alias("gram")).mapInArrow(_column(low), "gram int, low double")
@@ -271,6 +272,25 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict | None:
     return model
 
 
+#: Bits of the filter that keeps texts without a label from being shuffled.
+FILTER_BITS = 23
+
+
+def _maybe_labelled(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """``texts`` without most of those that have no label.
+
+    The ids' hashes set bits in a filter of fixed size, whose words (at most ``2 ** (FILTER_BITS - 6)`` rows) are sent
+    to all tasks.  It never loses a labelled text; where labels outgrow it, it passes more and more others, which
+    costs time alone, as the join by id decides.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    bit = known.select(place("doc_id").alias("h")).select((F.col("h") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("bit"))
+    words = bit.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    at = texts.withColumn("h", place("doc_id")).withColumn("word", (F.col("h") / 64).cast("int"))
+    met = at.join(F.broadcast(words), "word").where(F.expr("shiftrightunsigned(bits, cast(h % 64 as int)) & 1 = 1"))
+    return met.select("doc_id", "text")
+
+
 def _column(values: np.ndarray):
     """Adds the value of each row's number."""
 
@@ -299,7 +319,7 @@ def _scored(rows: DataFrame, model: dict, keep: list[str]) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(held.value)
-        for batch in it:
+        for batch in small(it):
             if batch.num_rows:
                 f = figures(batch.column(batch.schema.get_field_index("text")).to_pylist(), table)
                 cells = [batch.column(batch.schema.get_field_index(c)) for c in keep]
@@ -344,7 +364,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(held.value)
-        for batch in it:
+        for batch in small(it):
             f = figures([t or "" for t in batch.column(at).to_pylist()], table)
             yield batch.filter(pa.array(f @ slope + shift < cut))
 
