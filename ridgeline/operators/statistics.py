@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.grid import Grid
+from ridgeline.shared import lookup, stage_table
 
 PERCENTILES = (5, 25, 50, 75, 95)
 LEVELS = ("minimal", "standard", "strict", "custom")
@@ -20,8 +21,16 @@ def _finite(c: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def statistics(cells: DataFrame) -> DataFrame:
-    """One row a grid, over finite values: moments, extremes, linear percentiles, coefficient of variation, gaps."""
+def _percentiles(x: Column, shares: list[float], accuracy: int | None) -> Column:
+    return F.percentile(x, shares) if accuracy is None else F.percentile_approx(x, shares, accuracy)
+
+
+def statistics(cells: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """One row a grid, over finite values: moments, extremes, linear percentiles, coefficient of variation, gaps.
+
+    Exact percentiles keep a count for each different value of a grid in one task.  For grids with very many of them,
+    ``accuracy`` gives percentiles whose rank is off by no more than a share of ``1 / accuracy``, in bounded memory.
+    """
     ok = _finite(F.col("value"))
     x = F.when(ok, F.col("value").cast("double"))
     agg = cells.groupBy("grid_id").agg(
@@ -31,7 +40,7 @@ def statistics(cells: DataFrame) -> DataFrame:
         F.var_pop(x).alias("var"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
-        F.percentile(x, [p / 100 for p in PERCENTILES]).alias("_p"),
+        _percentiles(x, [p / 100 for p in PERCENTILES], accuracy).alias("_p"),
         F.when(F.var_pop(x) > 0, F.skewness(x)).alias("skewness"),
         F.when(F.var_pop(x) > 0, F.kurtosis(x)).alias("kurtosis"),
         F.count_if(~ok).alias("missing"),
@@ -44,20 +53,24 @@ def statistics(cells: DataFrame) -> DataFrame:
     return agg.drop("_p", "_all")
 
 
-def normalise(cells: DataFrame, method: str = "minmax", axes: Sequence[str] = ()) -> DataFrame:
-    """Values scaled over each grid, or over each combination of the other ``axes`` given; spreads of 0 count as 1."""
+def normalise(cells: DataFrame, method: str = "minmax", axes: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+    """Values scaled over each grid, or over each combination of the other ``axes`` given; spreads of 0 count as 1.
+
+    ``accuracy`` is that of ``statistics``, for the robust method.
+    """
     keys = ["grid_id", *axes]
     x = F.col("value").cast("double")
+    q = _percentiles(x, [0.25, 0.5, 0.75], accuracy)
     aggs = {
         "minmax": [F.min(x).alias("_a"), (F.max(x) - F.min(x)).alias("_b")],
         "zscore": [F.avg(x).alias("_a"), F.stddev_pop(x).alias("_b")],
-        "robust": [F.percentile(x, 0.5).alias("_a"), (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("_b")],
+        "robust": [q[1].alias("_a"), (q[2] - q[0]).alias("_b")],
         "unit": [F.lit(0.0).alias("_a"), F.sqrt(F.sum(x * x)).alias("_b")],
     }
     if method not in aggs:
         raise ValueError(f"method must be one of {sorted(aggs)}")
     by = cells.groupBy(*keys).agg(*aggs[method])
-    return cells.join(by, keys).withColumn("normalised", (x - F.col("_a")) / F.when(F.col("_b") == 0, 1.0).otherwise(F.col("_b"))).drop("_a", "_b")
+    return lookup(cells, by, keys).withColumn("normalised", (x - F.col("_a")) / F.when(F.col("_b") == 0, 1.0).otherwise(F.col("_b"))).drop("_a", "_b")
 
 
 @dataclass
@@ -97,7 +110,8 @@ def value_profile(cells: DataFrame, low: float | None = None, high: float | None
         F.count_if(below).alias("below"), F.count_if(above).alias("above"),
     )
     outside = F.abs(F.col("value").cast("double") - F.col("mean")) > 3 * F.sqrt("var")
-    out = cells.join(first.select("grid_id", "mean", "var"), "grid_id").groupBy("grid_id").agg(F.count_if(outside).alias("outliers"))
+    first = stage_table(first, "profile")
+    out = lookup(cells, first.select("grid_id", "mean", "var"), ["grid_id"]).groupBy("grid_id").agg(F.count_if(outside).alias("outliers"))
     return first.join(out, "grid_id")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.grid import Grid, densify
+from ridgeline.shared import lookup
 
 Offset = tuple[int, ...]
 
@@ -117,7 +118,7 @@ def strict_maxima(
         found = found.where(F.col("value") >= threshold_abs)
     if threshold_rel is not None:
         top = grid.cells.groupBy("grid_id").agg((F.max("value") * threshold_rel).alias("_floor"))
-        found = found.join(top, "grid_id").where(F.col("value") >= F.col("_floor"))
+        found = lookup(found, top, ["grid_id"]).where(F.col("value") >= F.col("_floor"))
     out = ["grid_id", *grid.axes, "cell_id", "value"]
     found = found.select(*out)
     apart = (min_distance,) * grid.ndim if isinstance(min_distance, int) else tuple(min_distance)
@@ -268,11 +269,7 @@ def interpolate_missing(grid: Grid, method: str = "linear", missing: float | Non
     bad = value.isNull() | F.isnan(value) | ((value == missing) if missing is not None else F.lit(False))
     cells = grid.cells.withColumn("value", F.when(~bad, value))
     for axis, a in enumerate(grid.axes):
-        others = [b for b in grid.axes if b != a]
-        order = Window.partitionBy("grid_id", *others).orderBy(a)
-        back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-        at = F.when(F.col("value").isNotNull(), F.col(a))
-        cells = cells.withColumns({"_v0": F.last("value", True).over(back), "_p0": F.last(at, True).over(back), "_v1": F.first("value", True).over(ahead), "_p1": F.first(at, True).over(ahead)})
+        cells = _known_on_both_sides(cells, a, ["grid_id", *(b for b in grid.axes if b != a)], grid.shape[axis])
         if method == "linear":
             between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(a) - F.col("_p0")) / (F.col("_p1") - F.col("_p0"))
         else:
@@ -282,6 +279,33 @@ def interpolate_missing(grid: Grid, method: str = "linear", missing: float | Non
     return grid.with_cells(cells.select("grid_id", *grid.axes, "cell_id", "value"))
 
 
+#: Cells of a line that one task orders.
+LINE_CELLS = 1 << 16
+
+
+def _known_on_both_sides(cells: DataFrame, a: str, keys: list[str], n: int) -> DataFrame:
+    """Adds value and position of the nearest known cell up to (``_v0, _p0``) and from (``_v1, _p1``) each cell.
+
+    A long line is cut into parts; what a part has to know of the others is its nearest known cells outside, which
+    come from a table of one row a part.
+    """
+    here = F.when(F.col("value").isNotNull(), F.struct(F.col(a).alias("p"), F.col("value").alias("v")))
+    parts = [*keys, "_part"]
+    cells = cells.withColumn("_part", F.floor(F.col(a) / LINE_CELLS)).withColumn("_k", here)
+    order = Window.partitionBy(*parts).orderBy(a)
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    near, far = F.last("_k", True).over(back), F.first("_k", True).over(ahead)
+    if n > LINE_CELLS:
+        ends = cells.groupBy(*parts).agg(F.min("_k").alias("_lo"), F.max("_k").alias("_hi"))
+        line = Window.partitionBy(*keys).orderBy("_part")
+        before = F.last("_hi", True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+        after = F.first("_lo", True).over(line.rowsBetween(1, Window.unboundedFollowing))
+        cells = cells.join(ends.select(*parts, before.alias("_before"), after.alias("_after")), parts)
+        near, far = F.coalesce(near, "_before"), F.coalesce(far, "_after")
+    cells = cells.withColumns({"_l": near, "_r": far})
+    return cells.withColumns({"_v0": F.col("_l.v"), "_p0": F.col("_l.p"), "_v1": F.col("_r.v"), "_p1": F.col("_r.p")}).drop("_part", "_k", "_l", "_r", "_before", "_after")
+
+
 def _interpolate_cubic(grid: Grid, missing: float | None) -> Grid:
     if grid.ndim != 1:
         raise ValueError("cubic interpolation needs one axis")

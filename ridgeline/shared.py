@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -48,5 +49,23 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows up to which a staged table is sent to all tasks.
+SMALL_ROWS = 200_000
+
+
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+    """Inner join of ``big`` with the rows of ``small``, one for each combination of keys.
+
+    A key may hold all of ``big`` (one grid), so the join must not deal ``big`` by key.  ``small`` is staged and
+    counted: up to ``SMALL_ROWS`` rows it is broadcast, beyond that its rows are repeated over salts.
+    """
+    staged = stage_table(small, "lookup")
+    if staged.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return big.join(F.broadcast(staged), keys)
+    salt = F.pmod(F.xxhash64(*(c for c in big.columns if c not in keys)), F.lit(salts)).cast("int")
+    spread = staged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("_salt", salt).join(spread, [*keys, "_salt"]).drop("_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

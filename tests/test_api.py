@@ -128,6 +128,28 @@ def test_validation(spark):
     assert statistics.completeness(holes.cells).first().coverage == 0.5
 
 
+@pytest.mark.parametrize("part", [1 << 16, 4])
+def test_interpolation_in_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(stencil, "LINE_CELLS", part)
+    rng = np.random.default_rng(8)
+    y = rng.random((3, 30))
+    y[rng.random(y.shape) < 0.7] = np.nan
+    y[:, 12] = 1.0
+    got = np.array([r.value for r in stencil.interpolate_missing(from_numpy(spark, y.T)).enumerate().collect()]).reshape(30, 3).T
+    x = np.arange(30)
+    assert np.allclose(got, [np.interp(x, x[~np.isnan(r)], r[~np.isnan(r)]) for r in y])
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_normalise_many_grids(spark, monkeypatch, rows):
+    monkeypatch.setattr("ridgeline.shared.SMALL_ROWS", rows)
+    cells = from_numpy(spark, np.arange(10)).cells.unionByName(from_numpy(spark, np.arange(10) * 3, "h").cells)
+    got = statistics.normalise(cells).groupBy("grid_id").agg(F.max("normalised").alias("m"), F.count("*").alias("n")).collect()
+    assert sorted((r.grid_id, r.m, r.n) for r in got) == [("g", 1.0, 10), ("h", 1.0, 10)]
+    rough = statistics.statistics(cells, accuracy=1000).where("grid_id = 'g'").first()
+    assert rough.median in (4, 5) and statistics.normalise(cells, "robust", accuracy=100).count() == 20
+
+
 def test_interpolation_and_padding(spark):
     line = from_numpy(spark, np.array([np.nan, 1.0, np.nan, np.nan, 4.0, np.nan]))
     lin = [r.value for r in stencil.interpolate_missing(line).enumerate().collect()]
