@@ -90,12 +90,13 @@ def merge_tree(tops: np.ndarray, height: np.ndarray, a: np.ndarray, b: np.ndarra
 
     ``tops`` are peaks with their ``height``; an edge joins the basins of peaks ``a`` and ``b`` (positions in
     ``tops``) at a saddle of some height and cell.  Gives for each peak
-    ``(saddle height, saddle cell, parent, joining saddle height, joining cell, group)``: the highest saddle towards
-    strictly higher terrain and the peak beyond it (None for the highest), the saddle that joins the peak to an
-    equal one before that, and the smallest peak of its group of equals.
+    ``(saddle height, saddle cell, parent, joining saddle height, joining cell, group, lead, lead height)``: the
+    highest saddle towards strictly higher terrain and the peak beyond it (None for the highest), the saddle that joins
+    the peak to an equal one before that, the smallest peak of its group of equals, and the smaller equal peak that
+    first takes the lead over it, with the height at which it does.
     """
     n = len(tops)
-    out: list[list] = [[None, None, None, None, None, int(tops[i])] for i in range(n)]
+    out: list[list] = [[None, None, None, None, None, int(tops[i]), None, None] for i in range(n)]
     root = list(range(n))
     best = height.tolist()
     open_tops: list[list[int]] = [[i] for i in range(n)]
@@ -156,6 +157,8 @@ def merge_tree(tops: np.ndarray, height: np.ndarray, a: np.ndarray, b: np.ndarra
             if len(equals) > 1:
                 for t in heads:
                     out[t][5] = parent
+                    if out[t][6] is None and t != heads[0]:
+                        out[t][6], out[t][7] = parent, w
             home = min(parts)
             for x in parts:
                 root[x] = home

@@ -2,8 +2,8 @@
 
 One merge tree over the basins of all peaks of a grid replaces a flood per peak: cells are contracted to plateaus,
 each plateau climbs to the peak of its steepest ascent, the highest saddle between two basins is an edge, and edges
-are taken from the highest down.  Contraction runs on DataFrames (labels by tile, saddles by a combined aggregate);
-only the basin graph of one grid, which has a node for each peak, is handled in one task.
+are taken from the highest down.  Contraction runs on DataFrames (labels by tile, saddles by a combined aggregate), and
+a large basin graph is contracted further by rounds, until what is left of it fits one task a grid.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from ridgeline.operators.regions import plateau_cells, plateaus
 from ridgeline.operators.stencil import neighbour_pairs, offsets
 from ridgeline.shared import drop_table, stage_table
 
+#: Saddles of all grids that go to the tree as they are; more are contracted first.
+MOST_SADDLES = 2_000_000
 #: Cells of a grid whose ascent pointers are followed in one task.
 CLIMB_CELLS = 1 << 24
 
@@ -157,9 +159,19 @@ def merge_tree(grid: Grid, k: int = 1, cells: DataFrame | None = None) -> DataFr
     """
     cells = plateau_cells(grid, k) if cells is None else cells
     tops, edges = _graph(grid, k, cells)
+    if grid.n_tiles == 1:
+        return _tree(tops, edges, dict(cells.dtypes)["value"]).drop("lead", "lead_height")
+    tops, edges, settled = _contract(stage_table(tops, "tops"), stage_table(edges, "saddles"))
+    rest = _tree(tops, edges, dict(cells.dtypes)["value"])
+    if settled is None:
+        return rest.drop("lead", "lead_height")
+    return _with_parents(settled, stage_table(rest, "tree"))
+
+
+def _tree(tops: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """Kruskal's algorithm, one grid a task."""
     nodes = tops.select("grid_id", F.col("peak_a").alias("a"), F.lit(None).cast("long").alias("b"), F.col("saddle_height").alias("h"), F.lit(None).cast("long").alias("cell"))
     links = edges.select("grid_id", F.col("peak_a").alias("a"), F.col("peak_b").alias("b"), F.col("saddle_height").alias("h"), F.col("saddle_cell").alias("cell"))
-    kind = dict(cells.dtypes)["value"]
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf[pdf["b"].isna()].sort_values("a", ignore_index=True)
@@ -167,16 +179,77 @@ def merge_tree(grid: Grid, k: int = 1, cells: DataFrame | None = None) -> DataFr
         ids, height = node["a"].to_numpy(), node["h"].to_numpy()
         a, b = np.searchsorted(ids, edge["a"].to_numpy(np.int64)), np.searchsorted(ids, edge["b"].to_numpy(np.int64))
         rows = kernels.merge_tree(ids, height, a, b, edge["h"].to_numpy(), edge["cell"].to_numpy(np.int64))
-        out = pd.DataFrame(rows, columns=["saddle_height", "saddle_cell", "parent", "join_height", "join_cell", "group_id"], dtype=object)
+        out = pd.DataFrame(rows, columns=["saddle_height", "saddle_cell", "parent", "join_height", "join_cell", "group_id", "lead", "lead_height"], dtype=object)
         out.insert(0, "height", height)
         out.insert(0, "peak_id", ids)
         out.insert(0, "grid_id", pdf["grid_id"].iloc[0])
         return out
 
-    names = f"grid_id string, peak_id long, height {kind}, saddle_height {kind}, saddle_cell long, parent long, join_height {kind}, join_cell long, group_id long"
+    names = f"grid_id string, peak_id long, height {kind}, saddle_height {kind}, saddle_cell long, parent long, join_height {kind}, join_cell long, group_id long, lead long, lead_height {kind}"
     return nodes.unionByName(links).groupBy("grid_id").applyInPandas(join, names)
 
 
+def _contract(tops: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Shrinks a basin graph of more than ``MOST_SADDLES`` saddles, and says which peaks that has settled.
+
+    In each round every component looks at its highest pass.  If that leads to a component with a higher top, its own
+    top is settled there and the component joins the other one: all other ways out are no higher, so nothing is lost.
+    Of several passes of one height, the cell of any may be named.
+    Tops ``(grid_id, peak_a, saddle_height)`` and saddles keep their form; settled peaks are
+    ``(grid_id, peak_id, height, saddle_height, saddle_cell, next)``.
+    """
+    settled = None
+    while edges.count() > MOST_SADDLES:
+        tall = tops.select("grid_id", F.col("peak_a").alias("y"), F.col("saddle_height").alias("hy"))
+        both = edges.select("grid_id", F.col("peak_a").alias("x"), F.col("peak_b").alias("y"), "saddle_height", "saddle_cell")
+        both = both.unionByName(both.select("grid_id", F.col("y").alias("x"), F.col("x").alias("y"), "saddle_height", "saddle_cell"))
+        best = both.join(tall, ["grid_id", "y"]).groupBy("grid_id", "x").agg(
+            F.max(F.struct("saddle_height", "hy", (-F.col("y")).alias("y"))).alias("m"),
+            F.max(F.struct("saddle_height", (-F.col("saddle_cell")).alias("c"))).alias("s"),
+        )
+        own = tall.select("grid_id", F.col("y").alias("x"), F.col("hy").alias("hx"))
+        done = best.join(own, ["grid_id", "x"]).where("m.hy > hx")
+        done = stage_table(done.select("grid_id", F.col("x").alias("peak_id"), F.col("hx").alias("height"), F.col("m.saddle_height").alias("saddle_height"), (-F.col("s.c")).alias("saddle_cell"), (-F.col("m.y")).alias("next")), "settled")
+        if done.isEmpty():
+            break
+        settled = done if settled is None else settled.unionByName(done)
+        into = _follow(done.select("grid_id", F.col("peak_id").alias("plateau_id"), F.col("next").alias("up")))
+        for end in ("peak_a", "peak_b"):
+            edges = edges.join(into.select("grid_id", F.col("plateau_id").alias(end), "basin"), ["grid_id", end], "left").withColumn(end, F.coalesce("basin", end)).drop("basin")
+        low, high, cell = F.least("peak_a", "peak_b"), F.greatest("peak_a", "peak_b"), (-F.col("saddle_cell")).alias("c")
+        pairs = edges.where("peak_a <> peak_b").select("grid_id", low.alias("peak_a"), high.alias("peak_b"), F.struct("saddle_height", cell).alias("s"))
+        pairs = pairs.groupBy("grid_id", "peak_a", "peak_b").agg(F.max("s").alias("s"))
+        edges = stage_table(pairs.select("grid_id", "peak_a", "peak_b", F.col("s.saddle_height").alias("saddle_height"), (-F.col("s.c")).alias("saddle_cell")), "saddles")
+        tops = stage_table(tops.join(done.select("grid_id", F.col("peak_id").alias("peak_a")), ["grid_id", "peak_a"], "left_anti"), "tops")
+    return tops, edges, settled
+
+
+def _with_parents(settled: DataFrame, rest: DataFrame) -> DataFrame:
+    """Settled peaks and the rest of the tree as one.
+
+    A settled peak's parent is the highest peak that can be reached without going below its saddle: from the peak next
+    to it on to that peak's parent, as long as the way there is no lower; of equal peaks on that height, the leading one.
+    """
+    steps = settled.select("grid_id", F.col("peak_id").alias("at"), F.col("saddle_height").alias("w"), F.col("next").alias("to"))
+    steps = steps.unionByName(rest.where("parent is not null").select("grid_id", F.col("peak_id").alias("at"), F.col("saddle_height").alias("w"), F.col("parent").alias("to")))
+    leads = rest.where("lead is not null").select("grid_id", F.col("peak_id").alias("at"), F.col("lead_height").alias("w"), F.col("lead").alias("to"))
+    now = settled
+    for table in (steps, leads):
+        table = stage_table(table, "steps")
+        while True:
+            ahead = table.select("grid_id", F.col("at").alias("next"), "w", "to")
+            new = now.join(ahead, ["grid_id", "next"], "left").withColumn("moved", F.coalesce(F.col("w") >= F.col("saddle_height"), F.lit(False)))
+            new = new.withColumn("next", F.when(F.col("moved"), F.col("to")).otherwise(F.col("next"))).drop("w", "to")
+            new = stage_table(new.select(*settled.columns, "moved"), "parents")
+            now = new.drop("moved")
+            if not new.where("moved").take(1):
+                break
+    none = F.lit(None)
+    kind = dict(rest.dtypes)["height"]
+    out = now.select("grid_id", "peak_id", "height", "saddle_height", "saddle_cell", F.col("next").alias("parent"), none.cast(kind).alias("join_height"), none.cast("long").alias("join_cell"), F.col("peak_id").alias("group_id"))
+    return rest.drop("lead", "lead_height").unionByName(out)
+
+
 def boundary_minimum(grid: Grid) -> DataFrame:
     """``(grid_id, face_min, face_min_cell, min_all)``: lowest value on the grid's faces (smallest cell), and of all cells."""
     face = F.lit(False)
