@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import id_and_text, windows
+from ridgeline.llm.common import id_and_text, small, windows
 
 WINDOW = 5
 PERCENT = 75
@@ -89,23 +89,11 @@ class Words(dict):
         row = self[word] = len(self.literal) - 1
         return row
 
-    def trim(self, most: int = 500_000) -> None:
-        if len(self) > most:
-            self.clear()
-            self.literal, self.inside, self.flags = [], [], []
-
 
 class Template:
     """Template words of a text: hashes, kinds and the words themselves."""
 
-    def __init__(self, text: str, words: Words) -> None:
-        words.trim()
-        raw = text.split()
-        rows = np.fromiter(map(words.__getitem__, raw), np.int64, len(raw))
-        tables = np.asarray(words.literal, np.uint64), np.asarray(words.inside, np.uint64), np.asarray(words.flags, np.uint8)
-        self._fill(raw, rows, *tables)
-
-    def _fill(self, raw: list[str], rows: np.ndarray, literal: np.ndarray, inside: np.ndarray, flags: np.ndarray) -> None:
+    def __init__(self, raw: list[str], rows: np.ndarray, literal: np.ndarray, inside: np.ndarray, flags: np.ndarray) -> None:
         f = flags[rows]
         real = np.flatnonzero(f & 1 == 0)
         f, rows = f[real], rows[real]
@@ -124,43 +112,36 @@ class Template:
 
 
 class Tables:
-    """Word tables kept as arrays, refreshed only when words were added."""
+    """Word tables kept as arrays with room to grow, and started anew beyond ``most`` words."""
 
-    def __init__(self) -> None:
-        self.words = Words()
-        self.arrays: tuple = ()
+    def __init__(self, most: int = 150_000) -> None:
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words, self.known = Words(), 0
+        self.room = tuple(np.zeros(1 << 16, k) for k in (np.uint64, np.uint64, np.uint8))
 
     def template(self, text: str) -> Template:
-        self.words.trim()
-        raw = text.split()
-        rows = np.fromiter(map(self.words.__getitem__, raw), np.int64, len(raw))
-        if not self.arrays or len(self.arrays[0]) != len(self.words.literal):
-            self._grow()
-        out = Template.__new__(Template)
-        out._fill(raw, rows, *self.arrays)
-        return out
-
-    def _grow(self) -> None:
-        w = self.words
-        have = len(self.arrays[0]) if self.arrays else 0
-        if have > len(w.literal):
-            have = 0
-        kinds = (np.uint64, np.uint64, np.uint8)
-        lists = (w.literal, w.inside, w.flags)
-        if not have:
-            self.room = tuple(np.zeros(max(1 << 16, 2 * len(w.literal)), k) for k in kinds)
-        elif len(w.literal) > len(self.room[0]):
-            self.room = tuple(np.r_[a, np.zeros(len(w.literal), k)] for a, k in zip(self.room, kinds, strict=True))
-        for a, values in zip(self.room, lists, strict=True):
-            a[have : len(values)] = values[have:]
-        self.arrays = tuple(a[: len(w.literal)] for a in self.room)
+        if len(self.words) > self.most:
+            self._clear()
+        raw, w = text.split(), self.words
+        rows = np.fromiter(map(w.__getitem__, raw), np.int64, len(raw))
+        n = len(w.literal)
+        if n > self.known:
+            if n > len(self.room[0]):
+                self.room = tuple(np.r_[a, np.zeros(n, a.dtype)] for a in self.room)
+            for a, values in zip(self.room, (w.literal, w.inside, w.flags), strict=True):
+                a[self.known : n] = values[self.known :]
+            self.known = n
+        return Template(raw, rows, *self.room)
 
 
 def benchmark_index(items: list[tuple[int, str]], k: int = WINDOW) -> dict:
     """Windows of a block of items: sorted hashes with item and position, a bit table for a first look."""
-    words, parts, held = Words(), [], {}
+    tables, parts, held = Tables(), [], {}
     for item, text in items:
-        t = Template(text or "", words)
+        t = tables.template(text or "")
         if not len(t.hashes):
             continue
         h = t.windows(k)
@@ -254,7 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, percent
 
         def run(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             tables = Tables()
-            for batch in it:
+            for batch in small(it):
                 rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in search(t, held.value, tables, k, percent)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _HITS, strict=True)], schema=_HITS)
@@ -272,7 +253,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = WINDOW, pe
 
         def run(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             tables = Tables()
-            for batch in it:
+            for batch in small(it):
                 yield batch.filter(pa.array([not search(t or "", held.value, tables, k, percent) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

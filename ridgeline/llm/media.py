@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ridgeline.llm.common import id_and_text
+from ridgeline.llm.common import id_and_text, small
 from ridgeline.shared import scratch_path, shuffle_partitions, stage_table
 
 WIDTH = 192
@@ -94,7 +94,7 @@ def write_shards(docs: DataFrame, root: str, shard_bytes: int = SHARD_BYTES) ->
         fs.create_dir(base, recursive=True)
         out, name, at, placed = None, "", 0, {}
         try:
-            for batch in it:
+            for batch in small(it):
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     payload = text.encode()

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WordHash, batches, free_name, id_and_text, salted_lookup, shingles
+from ridgeline.llm.common import WordHash, batches, free_name, id_and_text, salted_lookup, shingles, small
 from ridgeline.operators.components import connected_components
 from ridgeline.shared import drop_table, shuffle_partitions, stage_table
 
@@ -93,7 +93,7 @@ def _index_blocks(k: int, buckets: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sets, held = WordHash(), {}, 0
-        for batch in it:
+        for batch in small(it):
             for text in batch.column(0).to_pylist():
                 words.trim()
                 s = shingles(words.of(text.encode().lower().split()), k)

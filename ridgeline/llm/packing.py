@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import id_and_text
+from ridgeline.llm.common import id_and_text, small
 from ridgeline.llm.tokens import encoder, vocabulary
 from ridgeline.shared import stage_table
 
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, most: int = LENGTH, path: str | None = None) -> Data
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in it:
+        for batch in small(it):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.r_[encode(text), CLOSING_ID].astype("<u4")

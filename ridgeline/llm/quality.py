@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WordHash, fold, id_and_text
+from ridgeline.llm.common import WordHash, fold, id_and_text, small
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -80,7 +80,7 @@ class Vectors:
         self.words = WordHash()
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        self.words.trim(500_000)
+        self.words.trim()
         raw = text.encode()
         words = raw.lower().split()
         ids = (self.words.of(words) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
@@ -138,7 +138,7 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> dict:
 
     def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Vectors()
-        for batch in it:
+        for batch in small(it):
             made = [make(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([b.tobytes() for _, b in made], pa.binary()), batch.column(1)], names=["ids", "x", "quality"])
 
@@ -157,7 +157,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, model = Vectors(), held.value
-        for batch in it:
+        for batch in small(it):
             scores = [score(model, *make(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import free_name, id_and_text
+from ridgeline.llm.common import free_name, id_and_text, small
 from ridgeline.shared import stage_table
 
 MIN_WORDS = 5
@@ -68,7 +68,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in range(5)]
         digests = bytearray()
-        for batch in it:
+        for batch in small(it):
             for doc_id, text, version in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, (start, stop, piece) in enumerate(text_units(text, min_words)):
                     for col, cell in zip(cols, (doc_id, version, i, start, stop), strict=True):
@@ -117,7 +117,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     columns, at = docs.columns, docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in small(it):
             cut = [t if not s else cut_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)]
             cells = batch.columns[:-1]
             cells[at] = pa.array(cut, batch.schema.field(at).type)

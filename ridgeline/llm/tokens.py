@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ridgeline.llm.common import id_and_text
+from ridgeline.llm.common import id_and_text, small
 
 
 def vocabulary() -> str:
@@ -112,7 +112,7 @@ def section_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in it:
+        for batch in small(it):
             parts: list[list] = [[] for _ in _SECTIONS]
             held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
