@@ -69,5 +69,24 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in every}
 
 
+#: The join by counting shared shingles of all pairs: right, and quick enough for small tables.
+_JACCARD_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), n AS (SELECT doc_id, len(s) AS n FROM s),
+g AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+k AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+comp(u, r) USING KEY (u) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT l.b, min(comp.r) FROM comp JOIN l ON l.a = comp.u JOIN recurring.comp cur ON cur.u = l.b WHERE comp.r < cur.r GROUP BY l.b
+)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, comp.r AS component_id FROM n JOIN comp ON comp.u = n.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_ngram_jaccard_join": _JACCARD_SQL}

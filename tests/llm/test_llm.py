@@ -297,6 +297,18 @@ def test_page_article():
     assert pages.host_of("https://User@WWW.Example.org:80/a") == "www.example.org" and pages.host_of(None) == "" and pages.host_of("//x.y/z") == "x.y"
 
 
+def test_page_containers():
+    def text(page):
+        blocks, paths = pages.read_page(page)
+        return pages.main_text(blocks, [], pages.page_tokens(blocks, paths))
+
+    assert text('<body class="has-sidebar"><div class="with-sidebar wide"><main><h2>Lead</h2><article><p>Body</article><p>More</main></div>') == "Body"
+    assert text('<div id="main"><p>One<br>two</div><div class="menu">x</div>') == "One two"
+    assert text('<section id="comments"><article><p>Reply</article></section><article><header><h1>T</h1></header><p>B &lt; C</p></article>') == "T\n\nB < C"
+    assert text("<p>a<table><tr><td>1<td>2<tr><td>3</table><p>b") == "a\n\n1 2\n\n3\n\nb"
+    assert text("") == "" and text("plain text") == "plain text" and text("<p>cut off <b") == "cut off <b"
+
+
 def test_templates_drop_what_all_pages_of_a_host_share(spark):
     page = "<html><body><div><div>Welcome to the site</div><div>Latest offers</div><div><p>{}</p><p>{}</p></div><div>Contact us today</div></div></body></html>"
     rng = random.Random(2)
