@@ -46,7 +46,7 @@ def check_parameters(**given: Any) -> None:
             raise ValueError(f"{name}={value!r} is out of range")
 
 
-class PeakAnalyzer:
+class TerrainAnalyzer:
     def __init__(self, strategy: str = "auto", connectivity: int = 1, boundary: str = "infinite_height", minkowski_p: float = 2.0, min_boundary_distance: int = 1, noise_threshold: float = 0.0) -> None:
         check_parameters(connectivity=connectivity, boundary=boundary, minkowski_p=minkowski_p)
         if strategy != "auto":
@@ -101,14 +101,14 @@ def benchmark_strategies(grid: Grid, names: list[str] | None = None) -> list[dic
     out = []
     for name in names or STRATEGIES.names():
         began = time.perf_counter()
-        row = PeakAnalyzer(strategy=name, min_boundary_distance=0).find_peaks(grid).df.agg(F.count("*").alias("n"), F.avg("height").alias("h")).first()
+        row = TerrainAnalyzer(strategy=name, min_boundary_distance=0).find_peaks(grid).df.agg(F.count("*").alias("n"), F.avg("height").alias("h")).first()
         out.append({"name": name, "seconds": time.perf_counter() - began, "peaks": row.n, "peaks_per_million": row.n / grid.size * 1e6, "mean_height": row.h})
     return out
 
 
 def analyze(grid: Grid, **options: Any) -> dict[str, Any]:
     """Validation, peaks, geometry, topography, neighbour lists of plateau cells, and statistics."""
-    analyzer = PeakAnalyzer(**options)
+    analyzer = TerrainAnalyzer(**options)
     peaks = analyzer.find_peaks(grid)
     c = peaks.context
     near = neighbour_pairs(c.grid, c.grid.ndim).join(c.members.select("grid_id", "peak_id", "cell_id"), ["grid_id", "cell_id"])

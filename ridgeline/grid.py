@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.mapping import CoordinateMapping, axis_columns, isotropic
+from ridgeline.mapping import AxisMapping, axis_columns, isotropic
 
 #: Cells of a tile: what one task of a tile kernel holds.
 TILE_CELLS = 1 << 18
@@ -35,7 +35,7 @@ class Grid:
 
     cells: DataFrame
     shape: tuple[int, ...]
-    mapping: CoordinateMapping
+    mapping: AxisMapping
 
     def __post_init__(self) -> None:
         if len(self.shape) != self.mapping.ndim:
@@ -162,7 +162,7 @@ class Grid:
         return out.withColumn("core", F.col("tile") == own)
 
 
-def densify(points: DataFrame, shape: Sequence[int], mapping: CoordinateMapping | None = None, fill: float | int = 0) -> Grid:
+def densify(points: DataFrame, shape: Sequence[int], mapping: AxisMapping | None = None, fill: float | int = 0) -> Grid:
     """A dense grid from sparse ``(grid_id, i0 .., value)`` rows; absent cells get ``fill``, indices outside are left out.
 
     Cells come from a sequence per grid, so that the dense side is generated in parallel and never shuffled by itself.
@@ -181,7 +181,7 @@ def densify(points: DataFrame, shape: Sequence[int], mapping: CoordinateMapping
     return grid.with_cells(cells)
 
 
-def from_numpy(spark: SparkSession, array: np.ndarray, grid_id: str = "g", mapping: CoordinateMapping | None = None) -> Grid:
+def from_numpy(spark: SparkSession, array: np.ndarray, grid_id: str = "g", mapping: AxisMapping | None = None) -> Grid:
     array = np.asarray(array)
     if array.size == 0 or not np.issubdtype(array.dtype, np.number):
         raise ValueError("a grid needs numbers")

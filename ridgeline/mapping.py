@@ -32,7 +32,7 @@ def effective_scale(scale: float | Sequence[float] | None, ndim: int) -> tuple[f
 
 
 @dataclass(frozen=True)
-class CoordinateMapping:
+class AxisMapping:
     """coordinate = origin + index * scale, axis by axis."""
 
     scale: tuple[float, ...]
@@ -98,23 +98,23 @@ class CoordinateMapping:
             raise ValueError(f"no axis {axis}")
         return {"index": axis, "label": self.axis_labels[axis], "unit": self.units[axis], "scale": self.scale[axis], "origin": self.origin[axis]}
 
-    def with_scale(self, scale: float | Sequence[float]) -> CoordinateMapping:
+    def with_scale(self, scale: float | Sequence[float]) -> AxisMapping:
         return replace(self, scale=effective_scale(scale, self.ndim))
 
-    def with_origin(self, origin: float | Sequence[float]) -> CoordinateMapping:
+    def with_origin(self, origin: float | Sequence[float]) -> AxisMapping:
         return replace(self, origin=effective_scale(origin, self.ndim))
 
-    def with_axis_labels(self, labels: Sequence[str]) -> CoordinateMapping:
+    def with_axis_labels(self, labels: Sequence[str]) -> AxisMapping:
         return replace(self, axis_labels=tuple(labels))
 
-    def with_units(self, units: str | Sequence[str]) -> CoordinateMapping:
+    def with_units(self, units: str | Sequence[str]) -> AxisMapping:
         return replace(self, units=(units,) * self.ndim if isinstance(units, str) else tuple(units))
 
     def to_dict(self) -> dict[str, list]:
         return {k: list(getattr(self, k)) for k in ("scale", "origin", "axis_labels", "units")}
 
     @classmethod
-    def from_dict(cls, fields: dict[str, Sequence]) -> CoordinateMapping:
+    def from_dict(cls, fields: dict[str, Sequence]) -> AxisMapping:
         return cls(*(tuple(fields.get(k) or ()) for k in ("scale", "origin", "axis_labels", "units")))
 
     # Columns.
@@ -128,16 +128,16 @@ class CoordinateMapping:
         return [rule[round_mode]((c - F.lit(o)) / F.lit(s)).cast("long") for c, s, o in zip(coordinate, self.scale, self.origin, strict=True)]
 
 
-def isotropic(scale: float, ndim: int, origin: float = 0.0) -> CoordinateMapping:
-    return CoordinateMapping((scale,) * ndim, (origin,) * ndim)
+def isotropic(scale: float, ndim: int, origin: float = 0.0) -> AxisMapping:
+    return AxisMapping((scale,) * ndim, (origin,) * ndim)
 
 
-def anisotropic(scale: Sequence[float], origin: Sequence[float] = ()) -> CoordinateMapping:
-    return CoordinateMapping(tuple(scale), tuple(origin))
+def anisotropic(scale: Sequence[float], origin: Sequence[float] = ()) -> AxisMapping:
+    return AxisMapping(tuple(scale), tuple(origin))
 
 
-def physical(pixel_size: Sequence[float], unit: str, origin: Sequence[float] = (), axis_labels: Sequence[str] = ()) -> CoordinateMapping:
-    return CoordinateMapping(tuple(pixel_size), tuple(origin), tuple(axis_labels), (unit,) * len(pixel_size))
+def physical(pixel_size: Sequence[float], unit: str, origin: Sequence[float] = (), axis_labels: Sequence[str] = ()) -> AxisMapping:
+    return AxisMapping(tuple(pixel_size), tuple(origin), tuple(axis_labels), (unit,) * len(pixel_size))
 
 
 def distance(a: Sequence[Column], b: Sequence[Column], p: float = 2.0, scale: Sequence[float] | None = None) -> Column:

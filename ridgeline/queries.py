@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ridgeline.features import geometric, morphological, spread, topographic
 from ridgeline.features.registry import Context
 from ridgeline.grid import Grid
-from ridgeline.mapping import CoordinateMapping, distance
+from ridgeline.mapping import AxisMapping, distance
 from ridgeline.operators import prominence as prom
 from ridgeline.operators import regions, spatial, statistics, stencil
 from ridgeline.plans import sql as S
@@ -63,7 +63,7 @@ _PEAKS = S.peaks(2, fx.QD, S.QD_SRC)
 _PEAKS2 = S.peaks(2, fx.QD, S.QD_SRC, k=2)
 _PEAKS_EV = S.peaks(2, fx.EV, S.EV_SRC)
 
-MAPPING = CoordinateMapping((2.0, 0.5), (1.0, -3.0))
+MAPPING = AxisMapping((2.0, 0.5), (1.0, -3.0))
 
 
 def _mapped(spark: SparkSession, folder: str) -> Grid:
@@ -99,7 +99,7 @@ _add(
 for _mode, _rule in (("nearest", "round_even({}, 0)"), ("floor", "floor({})"), ("ceil", "ceil({})")):
     _add(
         f"b2_coord_to_index_{_mode}",
-        lambda s, f, m=_mode: _points(s, f).select("id", *(i.alias(f"i{d}") for d, i in enumerate(CoordinateMapping((0.05, 0.1, 0.2), (-1.0, 0.5, 0.0)).indices([F.col(f"x{d}") for d in range(3)], m)))),
+        lambda s, f, m=_mode: _points(s, f).select("id", *(i.alias(f"i{d}") for d, i in enumerate(AxisMapping((0.05, 0.1, 0.2), (-1.0, 0.5, 0.0)).indices([F.col(f"x{d}") for d in range(3)], m)))),
         f"WITH {_POINTS} SELECT id, {_b(_rule.format('(x0 + 1.0::DOUBLE) / 0.05::DOUBLE'), 'i0')}, {_b(_rule.format('(x1 - 0.5::DOUBLE) / 0.1::DOUBLE'), 'i1')}, {_b(_rule.format('(x2 - 0.0::DOUBLE) / 0.2::DOUBLE'), 'i2')} FROM p",
     )
 _add(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.grid import Grid, densify
-from ridgeline.mapping import CoordinateMapping
+from ridgeline.mapping import AxisMapping
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def rollup(
     shape: Sequence[int],
     measure: Column | None = None,
     grid_id: Column | str = "g",
-    mapping: CoordinateMapping | None = None,
+    mapping: AxisMapping | None = None,
 ) -> Grid:
     """One cell for each combination of axis values; rows with a null axis or an axis outside the shape are left out.
 
@@ -39,6 +39,6 @@ def write_cells(grid: Grid, path: str, mode: str = "errorifexists") -> None:
     grid.cells.write.mode(mode).partitionBy("grid_id").parquet(path)
 
 
-def read_cells(spark: SparkSession, path: str, shape: Sequence[int], mapping: CoordinateMapping) -> Grid:
+def read_cells(spark: SparkSession, path: str, shape: Sequence[int], mapping: AxisMapping) -> Grid:
     names = [f"i{d}" for d in range(len(shape))]
     return Grid(spark.read.parquet(path).select("grid_id", *names, "cell_id", "value"), tuple(shape), mapping)

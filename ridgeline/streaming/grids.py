@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ridgeline.grid import Grid, densify
-from ridgeline.mapping import CoordinateMapping
+from ridgeline.mapping import AxisMapping
 from ridgeline.shared import scratch_path
 
 Listener = Callable[[Grid, int], None]
@@ -23,7 +23,7 @@ Listener = Callable[[Grid, int], None]
 class GridStream:
     """Counts (or sums of ``measure``) by cell over everything that came so far."""
 
-    def __init__(self, spark: SparkSession, axes: Sequence[Column], shape: Sequence[int], measure: Column | None = None, grid_id: Column | str = "g", mapping: CoordinateMapping | None = None, folder: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, axes: Sequence[Column], shape: Sequence[int], measure: Column | None = None, grid_id: Column | str = "g", mapping: AxisMapping | None = None, folder: str | None = None) -> None:
         self.spark, self.axes, self.shape, self.mapping = spark, list(axes), tuple(shape), mapping
         self.measure = F.lit(1).cast("long") if measure is None else measure
         self.grid_id = F.lit(grid_id) if isinstance(grid_id, str) else grid_id

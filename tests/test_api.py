@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.analyzer import PeakAnalyzer, analyze, benchmark_strategies, check_parameters
+from ridgeline.analyzer import TerrainAnalyzer, analyze, benchmark_strategies, check_parameters
 from ridgeline.features import FeatureStore, features, register_family
 from ridgeline.features.registry import FAMILIES, family_of
 from ridgeline.features.spread import clusters
@@ -25,7 +25,7 @@ def grid(spark):
 
 @pytest.fixture(scope="module")
 def peaks(grid):
-    return PeakAnalyzer(boundary="infinite_height").find_peaks(grid)
+    return TerrainAnalyzer(boundary="infinite_height").find_peaks(grid)
 
 
 def test_filters(peaks):
@@ -75,14 +75,14 @@ def test_facade(grid):
     out = analyze(grid, boundary="infinite_depth")
     assert out["validation"].is_valid and len(out["peaks"]) >= 3
     assert out["geometric"].count() == len(out["peaks"]) and out["stats"].first()["count"] == 400
-    a = PeakAnalyzer(strategy="uf")
+    a = TerrainAnalyzer(strategy="uf")
     found = a.find_peaks(grid, min_area=1, height__gte=20)
     assert found.strategy == "union_find" and len(found) == 2
     assert a.analyze_prominence(found).count() >= 2 and a.analyze_prominence(found, wlen=3).count() == 2
     assert a.get_virtual_peaks(found).count() == 0
     assert a.calculate_features(found, ["volume", "tri"]).columns[2:] == ["volume", "tri"]
     with pytest.raises(ValueError):
-        PeakAnalyzer(connectivity=3).find_peaks(grid)
+        TerrainAnalyzer(connectivity=3).find_peaks(grid)
 
 
 @pytest.mark.parametrize("bad,error", [({"connectivity": 0}, ValueError), ({"connectivity": "1"}, TypeError), ({"rel_height": 2.0}, ValueError), ({"boundary": "x"}, ValueError), ({"wlen": -1}, ValueError), ({"features": "a"}, TypeError), ({"scale": [1, 0]}, ValueError), ({"strategy": "none"}, ValueError)])
