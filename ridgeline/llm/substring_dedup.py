@@ -1,7 +1,8 @@
 """Substring dedup: units of text are hashed, the earliest occurrence of each stays, later ones are cut out.
 
 A unit is a line, or within a line a run of whole sentences of at least ``MIN_WORDS`` words, so that a passage that
-stands inside different lines is still met unit by unit.  Units are normalised (case, white space, punctuation at the
+stands inside different lines is still met unit by unit; a run of more than ``LONG_WORDS`` words without an end of a
+sentence is cut after words that their hash picks, which copies have in common.  Units are normalised (case, white space, punctuation at the
 ends of words) and digested to 128 bits; per digest the lowest (doc_id, unit) is the one that stays.  What is cut is
 described by character offsets into the original text.
 
@@ -18,6 +19,7 @@ Extra columns pass through; an empty table gives no spans.  Texts of any length
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,10 @@ from ridgeline.llm.common import free_name, id_and_text, small
 from ridgeline.shared import stage_table
 
 MIN_WORDS = 5
+#: Longer units are cut further.
+LONG_WORDS = 40
 
+_WORD = re.compile(r"\S+")
 _BREAK = re.compile(r"[.!?][^\w\s]*\s+|\n\s*")
 _MARKS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”„‘’…–—"
 _UNITS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("unit", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
@@ -43,25 +48,45 @@ def normal(unit: str) -> str:
 
 def text_units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
     """``(start, stop, normalised)`` of the units of at least ``min_words`` words; stop is where the next one begins."""
-    out, start, words = [], 0, 0
-    at = 0
+    out: list[tuple[int, int, str]] = []
+    start = at = words = 0
     for m in _BREAK.finditer(text):
-        words += text.count(" ", at, m.end()) + 1
-        at = m.end()
-        line = "\n" in m[0]
-        if words >= min_words or line:
+        own = text.count(" ", at, m.end()) + 1
+        words += own
+        last, at = at, m.end()
+        if "\n" in m[0] or (words >= min_words and (own >= min_words or _ends_unit(text[max(last, text.rfind(" ", last, m.start()) + 1) : m.start()]))):
             if words >= min_words:
-                piece = normal(text[start:at])
-                if piece.count(" ") + 1 >= min_words:
-                    out.append((start, at, piece))
+                _close(text, start, at, min_words, out)
             start, words = at, 0
     if start < len(text):
-        piece = normal(text[start:])
-        if piece.count(" ") + 1 >= min_words:
-            out.append((start, len(text), piece))
+        _close(text, start, len(text), min_words, out)
     return out
 
 
+def _ends_unit(word: str) -> bool:
+    """Whether short sentences may be closed after this word: decided by the word, so that copies agree wherever they stand."""
+    return zlib.crc32(word.lower().strip(_MARKS).encode()) % 3 == 0
+
+
+def _close(text: str, start: int, stop: int, min_words: int, out: list) -> None:
+    piece = normal(text[start:stop])
+    n = piece.count(" ") + 1
+    if n <= LONG_WORDS:
+        if n >= min_words:
+            out.append((start, stop, piece))
+        return
+    # A run without an end of a sentence is cut where its words say so.
+    words = [(m.start(), m[0].lower().strip(_MARKS)) for m in _WORD.finditer(text, start, stop)]
+    first = 0
+    for i, (_, word) in enumerate(words):
+        ends = i + 1 == len(words)
+        if ends or (i + 1 - first >= 2 * min_words and zlib.crc32(word.encode()) % 8 == 0):
+            piece = " ".join(w for _, w in words[first : i + 1] if w)
+            if piece.count(" ") + 1 >= min_words:
+                out.append((words[first][0] if first else start, stop if ends else words[i + 1][0], piece))
+            first = i + 1
+
+
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, version, unit, start, stop, h1, h2)``: the units and their digests; version is a hash of the text."""
 
