@@ -254,9 +254,12 @@ def jaccard_classes(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     points = stage_table(shingle_points(docs, k), "points")
     labels = connected_components(jaccard_links(docs, percent, k))
     lowest = points.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("low"))
-    placed = lowest.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = stage_table(placed.select("sid", "component").join(least, "component").select("sid", "component_id"), "classes")
+    placed = stage_table(lowest.join(labels.withColumnRenamed("node", "sid"), "sid", "left"), "labels")
+    # Most sets are linked with none; a component that holds many of the others is dealt over salts.
+    linked = placed.where("component is not null")
+    least = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    classes = salted_lookup(linked, least, "component").select("sid", "component_id")
+    classes = stage_table(classes.unionByName(placed.where("component is null").select("sid", F.col("low").alias("component_id"))), "classes")
     own = salted_lookup(points, classes, "sid")
     return own.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
