@@ -30,7 +30,7 @@ from ridgeline.llm.common import WordHash, fold, id_and_text, small
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 #: Bound on the labelled rows that the machine is trained on.
-TRAINING_ROWS = 6_000
+TRAINING_ROWS = 4_000
 WORD_BITS = 16
 RANK = 4
 BINS = 16
@@ -93,7 +93,7 @@ class Vectors:
 WIDTH = (1 << WORD_BITS) + BINS * STATS
 
 
-def train(ids: list[np.ndarray], xs: list[np.ndarray], y: np.ndarray, rounds: int = 150, rate: float = 0.05, l2: float = 2e-5) -> dict:
+def train(ids: list[np.ndarray], xs: list[np.ndarray], y: np.ndarray, rounds: int = 90, rate: float = 0.08, l2: float = 2e-5) -> dict:
     """Adam on the logistic loss over all rows at once."""
     row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
     col, x = np.concatenate(ids), np.concatenate(xs)
