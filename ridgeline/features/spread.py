@@ -11,10 +11,57 @@ from pyspark.sql import functions as F
 
 from ridgeline.grid import Grid
 from ridgeline.mapping import distance
+from ridgeline.shared import stage_table
 
 RADII = (5.0, 10.0, 20.0, 50.0)
 
 
+#: Peaks up to which all pairs of a grid are looked at to find the nearest.
+FEW_PEAKS = 2_000
+
+
+def nearest_pairs(peaks: DataFrame, grid: Grid, k: int, p: float = 2.0, test: Column | None = None) -> DataFrame:
+    """``pair_distances`` of each peak's k nearest others that pass ``test`` (on the columns of that table), ties by id.
+
+    Many peaks are not paired with all others: rounds look within a radius, peaks that have found k there are done,
+    and the rest looks four times as far.  A round joins buckets of the radius' side with the 3^n buckets around a
+    peak; no Minkowski distance is less than the difference along an axis, so nothing nearer is missed.
+    """
+    test = F.lit(True) if test is None else test
+    w = Window.partitionBy("grid_id", "peak_id").orderBy("d", "other_id")
+    best = lambda pairs: pairs.where(test).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    n = grid.ndim
+    at = [f"_x{d}" for d in range(n)]
+    peaks = stage_table(peaks.select("grid_id", "peak_id", "height", *(f"c{d}" for d in range(n)), *((F.col(f"c{d}") * s).alias(a) for d, (a, s) in enumerate(zip(at, grid.mapping.scale, strict=True)))), "peaks")
+    count, *ends = peaks.agg(F.count("*"), *(F.max(a) - F.min(a) for a in at)).first()
+    if count <= FEW_PEAKS:
+        return best(pair_distances(peaks, grid, p))
+    widest = max([*ends, 1e-9])
+    far = widest * (n if p < 1 or math.isinf(1 / p) else n ** (1 / min(p, 2.0))) * 2 if not math.isinf(p) else widest * 2
+    r = widest * (4 * k / count) ** (1 / n)
+    buckets = [f"_b{d}" for d in range(n)]
+    todo, out = peaks, None
+    while True:
+        here = peaks.select("grid_id", F.col("peak_id").alias("other_id"), F.col("height").alias("other_height"), *(F.col(a).alias(f"{a}o") for a in at), *(F.floor(F.col(a) / r).alias(b) for a, b in zip(at, buckets, strict=True)))
+        near = todo
+        for a, b in zip(at, buckets, strict=True):
+            near = near.withColumn(b, F.explode(F.array(*(F.floor(F.col(a) / r) + o for o in (-1, 0, 1)))))
+        met = near.join(here, ["grid_id", *buckets]).where("peak_id <> other_id")
+        d = distance([F.col(a) for a in at], [F.col(f"{a}o") for a in at], p)
+        pairs = met.select("grid_id", "peak_id", "other_id", d.alias("d"), "height", "other_height")
+        last = r >= far
+        found = stage_table(best(pairs if last else pairs.where(F.col("d") <= r)), "nearest")
+        done = found.groupBy("grid_id", "peak_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("grid_id", "peak_id")
+        keep = found if last else found.join(done, ["grid_id", "peak_id"], "left_semi")
+        out = keep if out is None else out.unionByName(keep)
+        if last:
+            return out
+        todo = stage_table(todo.join(done, ["grid_id", "peak_id"], "left_anti"), "peaks")
+        if todo.isEmpty():
+            return out
+        r *= 4
+
+
 def pair_distances(peaks: DataFrame, grid: Grid, p: float = 2.0) -> DataFrame:
     """``(grid_id, peak_id, other_id, d, height, other_height)`` for each two different peaks of a grid.
 
@@ -30,8 +77,7 @@ def pair_distances(peaks: DataFrame, grid: Grid, p: float = 2.0) -> DataFrame:
 
 def nearest_neighbours(peaks: DataFrame, grid: Grid, k: int = 5, p: float = 2.0) -> DataFrame:
     """Nearest distance, and mean, std, max and list of the k nearest positive ones."""
-    w = Window.partitionBy("grid_id", "peak_id").orderBy("d", "other_id")
-    near = pair_distances(peaks, grid, p).where("d > 0").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    near = nearest_pairs(peaks, grid, k, p, F.col("d") > 0)
     return near.groupBy("grid_id", "peak_id").agg(
         F.min("d").alias("nearest"),
         F.avg("d").alias("mean_knn"),
@@ -150,9 +196,8 @@ def boundary_distances(peaks: DataFrame, grid: Grid) -> DataFrame:
 
 def nearest_peaks(peaks: DataFrame, grid: Grid, tolerance: float = 0.1, p: float = 2.0) -> DataFrame:
     """Nearest strictly higher peak, and nearest of similar height (within a share of the peak's own)."""
-    pairs = pair_distances(peaks, grid, p)
-    best = lambda test: F.min(F.when(test, F.struct("d", "other_id")))
-    higher = best(F.col("other_height") > F.col("height"))
-    similar = best(F.abs(F.col("other_height") - F.col("height")) <= F.abs(F.col("height")) * tolerance)
-    rows = pairs.groupBy("grid_id", "peak_id").agg(higher.alias("h"), similar.alias("s"))
-    return rows.select("grid_id", "peak_id", F.col("h.other_id").alias("higher_id"), F.col("h.d").alias("higher_distance"), F.col("s.other_id").alias("similar_id"), F.col("s.d").alias("similar_distance"))
+    higher = nearest_pairs(peaks, grid, 1, p, F.col("other_height") > F.col("height"))
+    similar = nearest_pairs(peaks, grid, 1, p, F.abs(F.col("other_height") - F.col("height")) <= F.abs(F.col("height")) * tolerance)
+    named = lambda pairs, x: pairs.select("grid_id", "peak_id", F.col("other_id").alias(f"{x}_id"), F.col("d").alias(f"{x}_distance"))
+    rows = peaks.select("grid_id", "peak_id").join(named(higher, "higher"), ["grid_id", "peak_id"], "left")
+    return rows.join(named(similar, "similar"), ["grid_id", "peak_id"], "left")

@@ -182,12 +182,14 @@ def isolation(peaks: DataFrame, grid: Grid, p: float = 2.0) -> DataFrame:
 
     ``isolation`` is 0 without one; ``topographic_isolation`` is then the distance to the farthest peak.
     """
-    n = grid.ndim
-    a = peaks.select("grid_id", "peak_id", "height", *(f"c{d}" for d in range(n))).alias("a")
-    b = peaks.select("grid_id", "peak_id", "height", *(f"c{d}" for d in range(n))).alias("b")
-    d = distance([F.col(f"a.c{i}") for i in range(n)], [F.col(f"b.c{i}") for i in range(n)], p, grid.mapping.scale)
-    met = a.join(b, (F.col("a.grid_id") == F.col("b.grid_id")) & (F.col("a.peak_id") != F.col("b.peak_id")), "left")
-    rows = met.groupBy(F.col("a.grid_id").alias("grid_id"), F.col("a.peak_id").alias("peak_id")).agg(F.min(F.when(F.col("b.height") >= F.col("a.height"), d)).alias("_near"), F.max(d).alias("_far"))
+    from ridgeline.features.spread import nearest_pairs
+
+    near = nearest_pairs(peaks, grid, 1, p, F.col("other_height") >= F.col("height")).select("grid_id", "peak_id", F.col("d").alias("_near"))
+    rows = peaks.select("grid_id", "peak_id", "height", *(f"c{d}" for d in range(grid.ndim))).join(near, ["grid_id", "peak_id"], "left")
+    # Only a grid's highest peak can be without one; its distances to all others are looked at.
+    alone, others = rows.where("_near is null").alias("a"), peaks.alias("b")
+    far = distance([F.col(f"a.c{i}") for i in range(grid.ndim)], [F.col(f"b.c{i}") for i in range(grid.ndim)], p, grid.mapping.scale)
+    met = alone.join(others, (F.col("a.grid_id") == F.col("b.grid_id")) & (F.col("a.peak_id") != F.col("b.peak_id")))
+    top = met.groupBy(F.col("a.grid_id").alias("grid_id"), F.col("a.peak_id").alias("peak_id")).agg(F.max(far).alias("_far"))
+    rows = rows.join(top, ["grid_id", "peak_id"], "left")
     return rows.select("grid_id", "peak_id", F.coalesce("_near", F.lit(0.0)).alias("isolation"), F.coalesce("_near", "_far").alias("topographic_isolation"))
-
-

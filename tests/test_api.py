@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ridgeline.analyzer import TerrainAnalyzer, analyze, benchmark_strategies, check_parameters
 from ridgeline.features import FeatureStore, features, register_family
 from ridgeline.features.registry import FAMILIES, family_of
+from ridgeline.features import spread, topographic
 from ridgeline.features.spread import clusters
 from ridgeline.functions.helpers import ensure_list, ensure_tuple, profile_memory, timer, validate_array
 from ridgeline.grid import densify, from_numpy
@@ -228,6 +229,30 @@ def test_points_queries(spark):
         spatial.radius_join(df, q, ["x", "y"], -1)
 
 
+@pytest.mark.parametrize("p", [2.0, 1.0, float("inf")])
+def test_nearest_peaks_in_rounds(spark, monkeypatch, p):
+    rng = np.random.default_rng(6)
+    at = np.r_[rng.random((60, 2)) * 5, rng.random((20, 2)) * 100]
+    height = rng.integers(0, 9, 80)
+    height[7] = 20
+    peaks = spark.createDataFrame([("g", i, int(h), float(x), float(y)) for i, ((x, y), h) in enumerate(zip(at, height, strict=True))], "grid_id string, peak_id long, height long, c0 double, c1 double")
+    g = from_numpy(spark, np.zeros((2, 2)))
+    monkeypatch.setattr(spread, "FEW_PEAKS", 0)
+    gap = np.abs(at[:, None] - at[None])
+    d = gap.max(axis=2) if np.isinf(p) else (gap**p).sum(axis=2) ** (1 / p)
+    np.fill_diagonal(d, np.inf)
+    got = {r.peak_id: r for r in spread.nearest_neighbours(peaks, g, 5, p).collect()}
+    assert len(got) == 80 and all(np.allclose(got[i].knn, np.sort(d[i])[:5]) for i in range(80))
+    iso = {r.peak_id: r for r in topographic.isolation(peaks, g, p).collect()}
+    higher = {r.peak_id: r.higher_id for r in spread.nearest_peaks(peaks, g, p=p).collect()}
+    for i in range(80):
+        up = np.where(height >= height[i], d[i], np.inf)
+        finite = d[i][np.isfinite(d[i])]
+        assert iso[i].topographic_isolation == pytest.approx(up.min() if np.isfinite(up.min()) else finite.max())
+        over = np.where(height > height[i], d[i], np.inf)
+        assert higher[i] == (int(over.argmin()) if np.isfinite(over.min()) else None)
+
+
 def test_ward_clusters(spark, grid):
     rows = [("g", i, 1, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (0, 1), (10, 10), (10, 11), (30, 30)])]
     df = spark.createDataFrame(rows, "grid_id string, peak_id long, height int, c0 double, c1 double")
