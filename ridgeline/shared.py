@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,10 @@ def shared_root(spark: SparkSession) -> str:
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
             spark._ridgeline_root = root
-    return root.rstrip("/")
+    # In full, as readers other than Spark know no default file system.
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
