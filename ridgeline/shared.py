@@ -26,9 +26,23 @@ def shared_root(spark: SparkSession) -> str:
     return re.sub("^file:/+", "file:///", full)
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_root(spark)}/ridgeline/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/ridgeline/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has staged, once its results have been written elsewhere.
+
+    Results are lazy and read staged tables when they run, so nothing is deleted before.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -45,11 +59,10 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession
-    root = f"{shared_root(spark)}/ridgeline/".removeprefix("file://")
-    jvm = spark._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if root in folder.replace("file:///", "/").replace("file:/", "/"):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
+    plain = lambda uri: re.sub("^file:/+", "file:///", uri)
+    for folder in {plain(f).rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.startswith(scratch_root(spark) + "/"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
