@@ -52,8 +52,7 @@ _MEASURE = re.compile(r"([+-]?\d[\d.,]*)([a-zA-Zµ°%]+)\Z")
 _LITERAL, _NUM, _NAME, _UNIT = range(4)
 
 
-def _mark(kind: int) -> int:
-    return xxhash.xxh3_64_intdigest(b"\0slot%d" % kind)
+_SLOTS = [xxhash.xxh3_64_intdigest(b"\0slot%d" % kind) for kind in range(4)]
 
 
 class Words(dict):
@@ -65,24 +64,27 @@ class Words(dict):
         self.flags: list[int] = []  # 1 empty, 2 ends a sentence, 4 number, 8 may be a unit, 16 name inside a sentence
 
     def __missing__(self, word: str) -> int:
-        bare = word.strip(_MARKS)
         flags = 0
-        if not bare:
-            flags = 1
-        tail = word[len(word.rstrip(_MARKS)) :]
-        if any(c in ".!?" for c in tail):
-            flags |= 2
+        if word.isalpha():  # most words
+            bare, tail = word, ""
+        elif word[:-1].isalpha() and word[-1] in _MARKS:
+            bare, tail = word[:-1], word[-1]
+        else:
+            bare, tail = word.strip(_MARKS), word[len(word.rstrip(_MARKS)) :]
+        if tail and ("." in tail or "!" in tail or "?" in tail):
+            flags = 2
         low = bare.lower()
-        literal = xxhash.xxh3_64_intdigest(low.encode())
-        inside = literal
-        if bare and (_NUMBER.match(bare) or _MEASURE.match(bare)):
+        literal = inside = xxhash.xxh3_64_intdigest(low)
+        if not bare:
+            flags |= 1
+        elif not bare.isalpha() and (_NUMBER.match(bare) or _MEASURE.match(bare)):
             flags |= 4
-            literal = inside = _mark(_NUM)
+            literal = inside = _SLOTS[_NUM]
         elif low in UNITS:
             flags |= 8
-        elif bare[:1].isupper() and not bare.isupper():
+        elif bare[0].isupper() and not bare.isupper():
             flags |= 16
-            inside = _mark(_NAME)
+            inside = _SLOTS[_NAME]
         self.literal.append(literal)
         self.inside.append(inside)
         self.flags.append(flags)
@@ -100,7 +102,7 @@ class Template:
         begins = np.r_[True, f[:-1] & 2 != 0][: len(f)]
         unit = (f & 8 != 0) & np.r_[False, f[:-1] & 4 != 0][: len(f)]
         name = (f & 16 != 0) & ~begins
-        self.hashes = np.where(unit, np.uint64(_mark(_UNIT)), np.where(begins, literal[rows], inside[rows]))
+        self.hashes = np.where(unit, np.uint64(_SLOTS[_UNIT]), np.where(begins, literal[rows], inside[rows]))
         self.kinds = np.where(f & 4 != 0, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, _LITERAL)))
         self.raw, self.at = raw, real
 
