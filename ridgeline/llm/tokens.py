@@ -13,8 +13,9 @@ whole, in one task.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,18 +42,26 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, "rb") as f:
+            added = json.load(f)["added_tokens"]
+        self.special = [t["content"] for t in added]
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.width = np.zeros(self.full.get_vocab_size(), np.int64)  # bytes of a token
+        self.width = np.zeros(max([len(ranks), *(t["id"] + 1 for t in added)]), np.int64)  # bytes of a token
         for token, rank in ranks.items():
             self.width[rank] = len(token)
-        for i, t in self.full.get_added_tokens_decoder().items():
-            self.width[i] = len(t.content.encode())
+        for t in added:
+            self.width[t["id"]] = len(t["content"].encode())
+
+    @cached_property
+    def full(self):
+        """The tokenizer file itself, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> np.ndarray:
         if text.isascii() or max(text) < "ɐ":  # the Latin blocks, whose classes have long been fixed
