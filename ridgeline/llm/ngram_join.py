@@ -11,8 +11,8 @@ Jaccard distance is a metric, and at a radius ``r = 1 - threshold`` the join kee
 3. The most central point of a region is its pivot, and the other points are measured against it; those within
    ``r`` are linked to it, and hence to one another.  Of the rest, two points have to be compared only if they are
    not yet connected, if the order of their shingles lets them share enough, and if the triangle inequality does:
-   ``|d(x, pivot) - d(y, pivot)| <= r``.  A region with few such pairs is joined outright, a larger one goes on
-   with further pivots in the same way.
+   ``|d(x, pivot) - d(y, pivot)| <= r`` for every pivot that both are measured against.  A region with few such
+   pairs is joined outright, a larger one goes on with further pivots in the same way.
 4. The links' connected components are the classes.
 
 No group of copies is expanded into pairs: exact copies are one point, and near copies are linked as stars.
@@ -190,11 +190,11 @@ def jaccard_links(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     members = stage_table(regions.join(first, "rid", "left_semi").select("rid", "sid", "n", "rest", "c"), "regions")
 
     found = None
-    pivots = members.groupBy("rid").agg(F.min(F.struct("c", "sid", "n", "rest")).alias("p"))
+    pivots, turns = members.groupBy("rid").agg(F.min(F.struct("c", "sid", "n", "rest")).alias("p")).withColumn("turn", F.lit(0)), 1
     while True:
         # The most central points (few shingles of their own) are pivots: every other point of the region is measured.
         stars = salted_lookup(members, pivots, "rid").where("p is not null and sid <> p.sid")
-        stars = stars.where(_within(percent, "n", "rest", "p.n", "p.rest")).select("rid", "sid", F.col("p.sid").alias("pivot"))
+        stars = stars.where(_within(percent, "n", "rest", "p.n", "p.rest")).select("rid", "sid", F.col("p.sid").alias("pivot"), "turn")
         stars = stage_table(stars, "stars")
         measured = stage_table(_measure(_ordered(stars, "sid", "pivot"), sets), "measured")
         found = _add(found, measured.where(_linked(percent)).select("a", "b"))
@@ -204,14 +204,8 @@ def jaccard_links(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
         # Pairs within a component need no look; of a region's others, how many are there?
         parts = members.groupBy("rid", "component").agg(F.count("*").alias("m"))
         left = stage_table(parts.groupBy("rid").agg(F.sum("m").alias("cnt"), F.expr("cast(sum(double(m) * m) as double)").alias("same")), "left").withColumn("pairs", F.expr("(double(cnt) * cnt - same) / 2")).where("pairs > 0")
-        # d(point, pivot) of the measured points: two points within the radius differ by no more than it.
-        d = measured.select(F.expr("1 - common / (na + nb - common)").alias("d"), "a", "b")
-        near = stars.withColumn("a", F.least("sid", "pivot")).withColumn("b", F.greatest("sid", "pivot")).join(d, ["a", "b"]).groupBy("rid", "sid").agg(F.min("d").alias("d"))
-        placed = members.join(left.where(f"pairs <= {LEAF_PAIRS}").select("rid"), "rid", "left_semi").join(near, ["rid", "sid"], "left")
-        l, r = placed.alias("l"), placed.alias("r")
-        window = F.coalesce(F.abs(F.col("l.d") - F.col("r.d")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-        test = (F.col("l.rid") == F.col("r.rid")) & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.component") != F.col("r.component"))
-        pairs = l.join(r, test & F.expr(_within(percent, "l.n", "l.rest", "r.n", "r.rest")) & window).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
+        placed = members.join(left.where(f"pairs <= {LEAF_PAIRS}").select("rid"), "rid", "left_semi").join(_near(stars, measured, turns), ["rid", "sid"], "left")
+        pairs = _open_pairs(placed, percent)
         leaf = stage_table(_measure(pairs, sets), "measured")
         found = _add(found, leaf.where(_linked(percent)).select("a", "b"))
         large = left.where(f"pairs > {LEAF_PAIRS}").select("rid")
@@ -221,8 +215,28 @@ def jaccard_links(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
         members = stage_table(members.join(large, "rid", "left_semi"), "regions")
         main = parts.join(large, "rid", "left_semi").groupBy("rid").agg(F.max(F.struct("m", "component")).alias("w")).select("rid", F.col("w.component").alias("main"))
         rest = salted_lookup(members, main, "rid").where("component <> main")
-        turn = F.pmod(F.xxhash64("sid"), F.lit(PIVOTS))
-        pivots = stage_table(rest.groupBy("rid", turn.alias("turn")).agg(F.min(F.struct("c", "sid", "n", "rest")).alias("p")).drop("turn"), "pivots")
+        turn, turns = F.pmod(F.xxhash64("sid"), F.lit(PIVOTS)).cast("int"), PIVOTS
+        pivots = stage_table(rest.groupBy("rid", turn.alias("turn")).agg(F.min(F.struct("c", "sid", "n", "rest")).alias("p")), "pivots")
+
+
+def _near(stars: DataFrame, measured: DataFrame, turns: int) -> DataFrame:
+    """``(rid, sid, d)``: a point's distance to each of its region's pivots, by the pivot's turn; null where not measured."""
+    d = measured.select(F.expr("1 - common / (na + nb - common)").alias("d"), "a", "b")
+    near = stars.withColumn("a", F.least("sid", "pivot")).withColumn("b", F.greatest("sid", "pivot")).join(d, ["a", "b"])
+    near = near.groupBy("rid", "sid").agg(F.map_from_entries(F.collect_list(F.struct("turn", "d"))).alias("m"))
+    return near.select("rid", "sid", F.expr(f"transform(sequence(0, {turns - 1}), t -> try_element_at(m, t))").alias("d"))
+
+
+def _open_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: the pairs of a region's points in different components that neither sizes nor pivots rule out.
+
+    Two points within the radius differ by no more than it in their distances to one pivot; distances to different
+    pivots say nothing.
+    """
+    l, r = placed.alias("l"), placed.alias("r")
+    apart = F.exists(F.zip_with("l.d", "r.d", lambda x, y: F.abs(x - y) > (100 - percent) / 100 + 1e-9), lambda far: far)
+    test = (F.col("l.rid") == F.col("r.rid")) & (F.col("l.sid") < F.col("r.sid")) & (F.col("l.component") != F.col("r.component"))
+    return l.join(r, test & F.expr(_within(percent, "l.n", "l.rest", "r.n", "r.rest")) & ~F.coalesce(apart, F.lit(False))).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
 
 
 def _within(percent: int, n1: str, r1: str, n2: str, r2: str) -> str:

@@ -392,6 +392,17 @@ def test_jaccard_classes(spark, monkeypatch, leaf, seed):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+def test_points_measured_against_different_pivots_stay_open(spark):
+    # Pivots 1 (80 shingles) and 2; 3 (100) holds 1 and lies in 4 (125); 4 and 1 fail the bound by size.  5 is as far from
+    # 2 as 4 is, and 6 lies near 2, which rules the pairs of 6 with 4 and 5 out.
+    stars = spark.createDataFrame([(9, 3, 1, 0), (9, 4, 2, 1), (9, 5, 2, 1), (9, 6, 2, 1)], "rid long, sid long, pivot long, turn int")
+    measured = spark.createDataFrame([(1, 3, 80, 100, 80), (2, 4, 125, 125, 23), (2, 5, 125, 125, 23), (2, 6, 125, 120, 100)], "a long, b long, na long, nb long, common long")
+    members = spark.createDataFrame([(9, i, n, n, i) for i, n in ((3, 100), (4, 125), (5, 125), (6, 120))], "rid long, sid long, n long, rest long, component long")
+    placed = members.join(ngram_join._near(stars, measured, 2), ["rid", "sid"], "left")
+    got = {(r.a, r.b) for r in ngram_join._open_pairs(placed, 75).collect()}
+    assert got == {(3, 4), (3, 5), (3, 6), (4, 5)}
+
+
 def test_jaccard_edges(spark):
     docs = odd_docs(spark, EDGE)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(docs).collect()), key=str)
