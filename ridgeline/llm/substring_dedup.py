@@ -51,12 +51,11 @@ def text_units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, st
     out: list[tuple[int, int, str]] = []
     start = at = words = 0
     for m in _BREAK.finditer(text):
-        own = text.count(" ", at, m.end()) + 1
+        own = len(text[at : m.end()].split())
         words += own
         last, at = at, m.end()
         if "\n" in m[0] or (words >= min_words and (own >= min_words or _ends_unit(text[max(last, text.rfind(" ", last, m.start()) + 1) : m.start()]))):
-            if words >= min_words:
-                _close(text, start, at, min_words, out)
+            _close(text, start, at, min_words, out)
             start, words = at, 0
     if start < len(text):
         _close(text, start, len(text), min_words, out)

@@ -468,6 +468,13 @@ def brute_repeats(rows):
     return out
 
 
+@pytest.mark.parametrize("space", ["\t", "\u00a0", "\u3000", " \t"])
+def test_units_of_lines_with_other_spaces(space):
+    row = space.join("alpha beta gamma delta epsilon zeta".split())
+    got = substring_dedup.text_units(f"{row}\n{row}\none{space}two\n{row}")
+    assert [(stop - start, piece) for start, stop, piece in got] == [(len(row) + 1, "alpha beta gamma delta epsilon zeta")] * 2 + [(len(row), "alpha beta gamma delta epsilon zeta")]
+
+
 def test_substring_dedup(spark):
     rng = random.Random(9)
     passage = ". ".join(words(rng, 15).capitalize() for _ in range(4)) + "."
