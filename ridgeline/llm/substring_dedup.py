@@ -1,9 +1,11 @@
 """Substring dedup: units of text are hashed, the earliest occurrence of each stays, later ones are cut out.
 
-A unit is a line, or within a line a run of whole sentences of at least ``MIN_WORDS`` words, so that a passage that
-stands inside different lines is still met unit by unit; a run of more than ``LONG_WORDS`` words without an end of a
-sentence is cut after words that their hash picks, which copies have in common.  Units are normalised (case, white space, punctuation at the
-ends of words) and digested to 128 bits; per digest the lowest (doc_id, unit) is the one that stays.  What is cut is
+A unit is a line, or a part of one: a line is cut after the words whose hash is the least among the ``MIN_WORDS - 1``
+words on both sides, where the last words of sentences come before all others, and never within ``MIN_WORDS`` words of
+the line's ends.  So whether a line is cut after a word depends on a few words around it alone, and a passage that
+stands inside different lines is met unit by unit.  Its first and last words, up to the first cut inside it and from
+the last one on, belong to units with other words and stay.  Units are normalised (case, white space, punctuation at
+the ends of words) and digested to 128 bits; per digest the lowest (doc_id, unit) is the one that stays.  What is cut is
 described by character offsets into the original text.
 
 Digests are pre-aggregated before they are shuffled, and units meet the digests that occur again in a join of two
@@ -32,58 +34,68 @@ from ridgeline.llm.common import free_name, id_and_text, small
 from ridgeline.shared import stage_table
 
 MIN_WORDS = 5
-#: Longer units are cut further.
-LONG_WORDS = 40
 
 _WORD = re.compile(r"\S+")
-_BREAK = re.compile(r"[.!?][^\w\s]*\s+|\n\s*")
+_LINE = re.compile(r"\n\s*")
+_ENDS = re.compile(r"[.!?][^\w\s]*\Z")
 _MARKS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”„‘’…–—"
 _UNITS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("unit", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
-def normal(unit: str) -> str:
-    """Lower case, single spaces, no punctuation at the ends of words."""
-    return " ".join(w for w in (x.strip(_MARKS) for x in unit.lower().split()) if w)
+class Words(dict):
+    """A word in lower case without punctuation at its ends, and its weight in the choice of cuts; remembered."""
 
+    def __missing__(self, word: str) -> tuple[str, int]:
+        bare = word.lower().strip(_MARKS)
+        found = self[word] = bare, zlib.crc32(bare.encode("utf-8", "replace")) + (0 if _ENDS.search(word) else 1 << 32)
+        return found
 
-def text_units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, str]]:
+    def trim(self, most: int = 150_000) -> None:
+        if len(self) > most:
+            self.clear()
+
+
+def text_units(text: str, min_words: int = MIN_WORDS, known: Words | None = None) -> list[tuple[int, int, str]]:
     """``(start, stop, normalised)`` of the units of at least ``min_words`` words; stop is where the next one begins."""
     out: list[tuple[int, int, str]] = []
-    start = at = words = 0
-    for m in _BREAK.finditer(text):
-        own = len(text[at : m.end()].split())
-        words += own
-        last, at = at, m.end()
-        if "\n" in m[0] or (words >= min_words and (own >= min_words or _ends_unit(text[max(last, text.rfind(" ", last, m.start()) + 1) : m.start()]))):
-            _close(text, start, at, min_words, out)
-            start, words = at, 0
-    if start < len(text):
-        _close(text, start, len(text), min_words, out)
+    known = Words() if known is None else known
+    at = 0
+    for m in _LINE.finditer(text):
+        _cut_line(text, at, m.end(), min_words, known, out)
+        at = m.end()
+    if at < len(text):
+        _cut_line(text, at, len(text), min_words, known, out)
     return out
 
 
-def _ends_unit(word: str) -> bool:
-    """Whether short sentences may be closed after this word: decided by the word, so that copies agree wherever they stand."""
-    return zlib.crc32(word.lower().strip(_MARKS).encode()) % 3 == 0
+def _cut_line(text: str, start: int, stop: int, min_words: int, known: Words, out: list) -> None:
+    at, words, weights = [], [], []
+    for m in _WORD.finditer(text, start, stop):
+        bare, weight = known[m[0]]
+        if bare:
+            at.append(m.start())
+            words.append(bare)
+            weights.append(weight)
+    n = len(words)
+    if n < min_words:
+        return
+    first, begin = 0, start
+    if n >= 2 * min_words:
+        for i in _cuts(np.array(weights, np.int64), min_words).tolist():
+            out.append((begin, at[i + 1], " ".join(words[first : i + 1])))
+            first, begin = i + 1, at[i + 1]
+    out.append((begin, stop, " ".join(words[first:])))
 
 
-def _close(text: str, start: int, stop: int, min_words: int, out: list) -> None:
-    piece = normal(text[start:stop])
-    n = piece.count(" ") + 1
-    if n <= LONG_WORDS:
-        if n >= min_words:
-            out.append((start, stop, piece))
-        return
-    # A run without an end of a sentence is cut where its words say so.
-    words = [(m.start(), m[0].lower().strip(_MARKS)) for m in _WORD.finditer(text, start, stop)]
-    first = 0
-    for i, (_, word) in enumerate(words):
-        ends = i + 1 == len(words)
-        if ends or (i + 1 - first >= 2 * min_words and zlib.crc32(word.encode()) % 8 == 0):
-            piece = " ".join(w for _, w in words[first : i + 1] if w)
-            if piece.count(" ") + 1 >= min_words:
-                out.append((words[first][0] if first else start, stop if ends else words[i + 1][0], piece))
-            first = i + 1
+def _cuts(weight: np.ndarray, min_words: int) -> np.ndarray:
+    """The words after which a line is cut: less than the ``min_words - 1`` before, not more than as many after."""
+    n, reach = len(weight), min_words - 1
+    least = np.ones(n, bool)
+    for d in range(1, reach + 1):
+        least[d:] &= weight[d:] < weight[:-d]
+        least[:-d] &= weight[:-d] <= weight[d:]
+    least[:reach] = least[n - min_words :] = False
+    return np.flatnonzero(least)
 
 
 def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -91,10 +103,11 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in range(5)]
-        digests = bytearray()
+        digests, known = bytearray(), Words()
         for batch in small(it):
+            known.trim()
             for doc_id, text, version in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i, (start, stop, piece) in enumerate(text_units(text, min_words)):
+                for i, (start, stop, piece) in enumerate(text_units(text, min_words, known)):
                     for col, cell in zip(cols, (doc_id, version, i, start, stop), strict=True):
                         col.append(cell)
                     digests += xxhash.xxh3_128_digest(piece)

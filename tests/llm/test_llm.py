@@ -475,6 +475,25 @@ def test_units_of_lines_with_other_spaces(space):
     assert [(stop - start, piece) for start, stop, piece in got] == [(len(row) + 1, "alpha beta gamma delta epsilon zeta")] * 2 + [(len(row), "alpha beta gamma delta epsilon zeta")]
 
 
+@pytest.mark.parametrize("n,mean,least", [(55, 0.75, 0.4), (80, 0.83, 0.6)])
+def test_units_of_a_passage_are_met_wherever_it_stands(n, mean, least):
+    rng = random.Random(4)
+
+    def prose(k):
+        return " ".join(w + rng.choice(["", "", "", "", "", ".", ","]) for w in words(rng, k).split())
+
+    shares = []
+    for _ in range(300):
+        passage = prose(n)
+        found = []
+        for _ in range(2):
+            text = f"{prose(rng.randint(0, 60))} {passage} {prose(rng.randint(0, 60))}".strip()
+            at = text.index(passage)
+            found.append({(max(a, at) - at, min(b, at + len(passage)) - at, p) for a, b, p in substring_dedup.text_units(text) if a >= at and b <= at + len(passage) + 1})
+        shares.append(sum(b - a for a, b, _ in found[0] & found[1]) / len(passage))
+    assert np.mean(shares) > mean and min(shares) > least
+
+
 def test_substring_dedup(spark):
     rng = random.Random(9)
     passage = ". ".join(words(rng, 15).capitalize() for _ in range(4)) + "."
