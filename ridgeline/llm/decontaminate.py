@@ -5,7 +5,12 @@ numbers, and names (capitalised words inside a sentence).  Windows of ``WINDOW``
 those of the benchmark by hash.  A document holds an item if, within a stretch not much longer than the item, at
 least ``PERCENT`` of the item's windows are met and the values in the placeholders are consistent: one value of the
 item always stands for the same value of the document and conversely.  So a question with other numbers and names is
-caught, and text that merely has its form with mixed-up values is not.
+caught, and text that merely has its form with mixed-up values is not.  A word after a line feed or a colon, or behind
+a quotation mark, may begin a sentence or not; it is read both ways.
+
+Besides, a document holds an item of which it has, within such a stretch, ``PERCENT`` of all windows word for word
+(case and punctuation aside), whatever the windows hold: so copies of items that are short, or nothing but numbers and
+names, are found too.
 
 The benchmark is the query set: it is read in blocks of bounded size, each sent to the executors, and every document
 is read against each block; documents are not shuffled.
@@ -47,6 +52,7 @@ UNITS = frozenset(
 )
 
 _MARKS = "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "«»“”„‘’…–—€£$"
+_QUOTES = "\"'`([«“„‘"
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th)?\Z")
 _MEASURE = re.compile(r"([+-]?\d[\d.,]*)([a-zA-Zµ°%]+)\Z")
 _LITERAL, _NUM, _NAME, _UNIT = range(4)
@@ -61,7 +67,9 @@ class Words(dict):
     def __init__(self) -> None:
         self.literal: list[int] = []
         self.inside: list[int] = []
-        self.flags: list[int] = []  # 1 empty, 2 ends a sentence, 4 number, 8 may be a unit, 16 name inside a sentence
+        self.exact: list[int] = []
+        # 1 empty, 2 ends a sentence, 4 number, 8 may be a unit, 16 name inside a sentence, 32 colon, 64 behind a quotation mark
+        self.flags: list[int] = []
 
     def __missing__(self, word: str) -> int:
         flags = 0
@@ -74,7 +82,11 @@ class Words(dict):
         if tail and ("." in tail or "!" in tail or "?" in tail):
             flags = 2
         low = bare.lower()
-        literal = inside = xxhash.xxh3_64_intdigest(low)
+        if ":" in tail:
+            flags |= 32
+        if word[0] in _QUOTES:
+            flags |= 64
+        exact = literal = inside = xxhash.xxh3_64_intdigest(low)
         if not bare:
             flags |= 1
         elif not bare.isalpha() and (_NUMBER.match(bare) or _MEASURE.match(bare)):
@@ -87,23 +99,35 @@ class Words(dict):
             inside = _SLOTS[_NAME]
         self.literal.append(literal)
         self.inside.append(inside)
+        self.exact.append(exact)
         self.flags.append(flags)
         row = self[word] = len(self.literal) - 1
         return row
 
 
 class Template:
-    """Template words of a text: hashes, kinds and the words themselves."""
+    """Template words of a text: hashes, kinds and the words themselves.
+
+    ``other`` has the hashes where all words that may begin a sentence do, and ``exact`` those of the words as they are.
+    """
 
-    def __init__(self, raw: list[str], rows: np.ndarray, literal: np.ndarray, inside: np.ndarray, flags: np.ndarray) -> None:
+    def __init__(self, raw: list[str], rows: np.ndarray, lines: list[int], literal: np.ndarray, inside: np.ndarray, exact: np.ndarray, flags: np.ndarray) -> None:
         f = flags[rows]
         real = np.flatnonzero(f & 1 == 0)
+        first = np.zeros(len(f) + 1, bool)
+        first[lines] = True  # of a line; a mark that stands alone hands it on
+        first = np.diff(np.cumsum(first[:-1])[real], prepend=0) > 0
+        opens = np.r_[0, f & 96]  # a mark that stands alone opens what follows, too
         f, rows = f[real], rows[real]
+        alone = opens[real] * (np.diff(real, prepend=-1) > 1) != 0
         begins = np.r_[True, f[:-1] & 2 != 0][: len(f)]
         unit = (f & 8 != 0) & np.r_[False, f[:-1] & 4 != 0][: len(f)]
         name = (f & 16 != 0) & ~begins
         self.hashes = np.where(unit, np.uint64(_SLOTS[_UNIT]), np.where(begins, literal[rows], inside[rows]))
         self.kinds = np.where(f & 4 != 0, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, _LITERAL)))
+        maybe = begins | first | alone | (f & 64 != 0) | np.r_[False, f[:-1] & 32 != 0][: len(f)]
+        self.other = np.where(unit, np.uint64(_SLOTS[_UNIT]), np.where(maybe, literal[rows], inside[rows]))
+        self.exact = exact[rows]
         self.raw, self.at = raw, real
 
     def word(self, i: int) -> str:
@@ -122,46 +146,52 @@ class Tables:
 
     def _clear(self) -> None:
         self.words, self.known = Words(), 0
-        self.room = tuple(np.zeros(1 << 16, k) for k in (np.uint64, np.uint64, np.uint8))
+        self.room = tuple(np.zeros(1 << 16, k) for k in (np.uint64, np.uint64, np.uint64, np.uint8))
 
     def template(self, text: str) -> Template:
         if len(self.words) > self.most:
             self._clear()
-        raw, w = text.split(), self.words
+        raw, lines, w = [], [], self.words
+        for line in text.split("\n"):
+            lines.append(len(raw))
+            raw += line.split()
         rows = np.fromiter(map(w.__getitem__, raw), np.int64, len(raw))
         n = len(w.literal)
         if n > self.known:
             if n > len(self.room[0]):
                 self.room = tuple(np.r_[a, np.zeros(n, a.dtype)] for a in self.room)
-            for a, values in zip(self.room, (w.literal, w.inside, w.flags), strict=True):
+            for a, values in zip(self.room, (w.literal, w.inside, w.exact, w.flags), strict=True):
                 a[self.known : n] = values[self.known :]
             self.known = n
-        return Template(raw, rows, *self.room)
+        return Template(raw, rows, lines, *self.room)
 
 
 def benchmark_index(items: list[tuple[int, str]], k: int = WINDOW) -> dict:
-    """Windows of a block of items: sorted hashes with item and position, a bit table for a first look."""
-    tables, parts, held = Tables(), [], {}
+    """Windows of a block of items, as templates and word for word: sorted hashes with item and position, a bit table for a first look."""
+    tables, parts, exact, held = Tables(), [], [], {}
     for item, text in items:
         t = tables.template(text or "")
         if not len(t.hashes):
             continue
-        h = t.windows(k)
+        h, e = t.windows(k), windows(t.exact, min(k, len(t.exact)))
         literal = np.convolve(t.kinds == _LITERAL, np.ones(min(k, len(t.kinds)), int), "valid")
         keep = np.flatnonzero(literal >= min(LITERALS, len(t.kinds)))
-        if not len(keep):
-            continue
         number = len(held)
         held[number] = (item, len(t.hashes), len(keep), t.kinds.tolist(), [t.word(i) for i in range(len(t.hashes))])
         parts.append((h[keep], np.full(len(keep), number), keep))
-    if not parts:
+        exact.append((e, np.full(len(e), number), np.arange(len(e))))
+    if not held:
         return {}
+    sizes = sorted({min(k, n) for _, n, *_ in held.values()})
+    return {"template": _sorted(parts), "exact": _sorted(exact), "items": held, "sizes": sizes}
+
+
+def _sorted(parts: list[tuple]) -> dict:
     h, number, at = (np.concatenate(p) for p in zip(*parts, strict=True))
     order = np.argsort(h, kind="stable")
     bits = np.zeros(1 << 20, bool)
     bits[h & np.uint64((1 << 20) - 1)] = True
-    sizes = sorted({min(k, n) for _, n, *_ in held.values()})
-    return {"hash": h[order], "item": number[order], "at": at[order], "bits": bits, "items": held, "sizes": sizes}
+    return {"hash": h[order], "item": number[order], "at": at[order], "bits": bits}
 
 
 def consistent(kinds: list[int], words: list[str], doc: Template, met: dict[int, int], k: int) -> bool:
@@ -181,40 +211,60 @@ def consistent(kinds: list[int], words: list[str], doc: Template, met: dict[int,
 def search(text: str, index: dict, tables: Tables, k: int = WINDOW, percent: int = PERCENT) -> list[tuple[int, int, int, int, int]]:
     """``(item, windows met, windows of the item, first word, last word)`` for each item that the text holds."""
     doc = tables.template(text)
-    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for size in index["sizes"]:
-        if len(doc.hashes) < size:
-            continue
-        h = windows(doc.hashes, size)
-        maybe = np.flatnonzero(index["bits"][h & np.uint64((1 << 20) - 1)])
-        lo = np.searchsorted(index["hash"], h[maybe], side="left")
-        hi = np.searchsorted(index["hash"], h[maybe], side="right")
-        for d, a, b in zip(maybe[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
-            for i in range(a, b):
-                hits[int(index["item"][i])].append((int(d), int(index["at"][i])))
-    out = []
+    hits: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    _meet(doc.hashes, index["template"], index["sizes"], hits)
+    if not np.array_equal(doc.hashes, doc.other):
+        _meet(doc.other, index["template"], index["sizes"], hits)
+    out, found = [], set()
     for number, places in hits.items():
         item, length, n, kinds, words = index["items"][number]
-        if 100 * len({p for _, p in places}) < percent * n:
-            continue
-        places.sort()
-        reach, lo, seen = length + length // 2 + k, 0, defaultdict(int)
-        for hi, (d, p) in enumerate(places):
-            seen[p] += 1
-            while places[lo][0] < d - reach:
-                q = places[lo][1]
-                seen[q] -= 1
-                if not seen[q]:
-                    del seen[q]
-                lo += 1
-            if 100 * len(seen) >= percent * n:
-                met = dict((p, d) for d, p in places[lo : hi + 1])
-                if consistent(kinds, words, doc, met, k):
-                    out.append((item, len(met), n, min(met.values()), max(met.values()) + min(k, length) - 1))
-                    break
+        for met in _stretches(places, length, n, k, percent):
+            if consistent(kinds, words, doc, met, k):
+                out.append((item, len(met), n, min(met.values()), max(met.values()) + min(k, length) - 1))
+                found.add(number)
+                break
+    hits = defaultdict(set)
+    _meet(doc.exact, index["exact"], index["sizes"], hits)
+    for number, places in hits.items():
+        item, length, *_ = index["items"][number]
+        n = length - min(k, length) + 1
+        if number not in found and (met := next(_stretches(places, length, n, k, percent), None)):
+            out.append((item, len(met), n, min(met.values()), max(met.values()) + min(k, length) - 1))
     return out
 
 
+def _meet(hashes: np.ndarray, table: dict, sizes: list[int], hits: dict[int, set[tuple[int, int]]]) -> None:
+    """Adds ``(document position, item position)`` of each window that an item of the table has."""
+    for size in sizes:
+        if len(hashes) < size:
+            continue
+        h = windows(hashes, size)
+        maybe = np.flatnonzero(table["bits"][h & np.uint64((1 << 20) - 1)])
+        lo = np.searchsorted(table["hash"], h[maybe], side="left")
+        hi = np.searchsorted(table["hash"], h[maybe], side="right")
+        for d, a, b in zip(maybe[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
+            for i in range(a, b):
+                hits[int(table["item"][i])].add((int(d), int(table["at"][i])))
+
+
+def _stretches(places: set[tuple[int, int]], length: int, n: int, k: int, percent: int) -> Iterator[dict[int, int]]:
+    """Item position to document position, for each stretch that has enough of an item's windows."""
+    if 100 * len({p for _, p in places}) < percent * n:
+        return
+    places = sorted(places)
+    reach, lo, seen = length + length // 2 + k, 0, defaultdict(int)
+    for hi, (d, p) in enumerate(places):
+        seen[p] += 1
+        while places[lo][0] < d - reach:
+            q = places[lo][1]
+            seen[q] -= 1
+            if not seen[q]:
+                del seen[q]
+            lo += 1
+        if 100 * len(seen) >= percent * n:
+            yield dict((p, d) for d, p in places[lo : hi + 1])
+
+
 _HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("windows_met", pa.int32()), ("item_windows", pa.int32()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
 

@@ -176,6 +176,22 @@ def test_decontamination_templates(spark):
     assert decontaminate.contaminated(odd_docs(spark, docs), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "item,text",
+    [
+        ("What is 48 * 3?", "so we ask what is 48 * 3? and go on"),
+        ("Who wrote Pride and Prejudice?", "some words Question: Who wrote Pride and Prejudice? Answer"),
+        ("When did the king of Norway leave London?", "a list\nWhen did the king of Sweden leave Paris? and more"),
+        ("Why does Alice meet Bob in Paris at noon?", "they say WHY DOES ALICE MEET BOB IN PARIS AT NOON? again"),
+        ("7 12 19", "count 7 12 19 now"),
+    ],
+)
+def test_decontamination_of_short_items(item, text):
+    index = decontaminate.benchmark_index([(1, item), (2, "none of these words stand there")])
+    assert [hit[0] for hit in decontaminate.search(text, index, decontaminate.Tables())] == [1]
+    assert decontaminate.search(words(random.Random(1), 50), index, decontaminate.Tables()) == []
+
+
 def test_decontamination_blocks_and_brute_force(spark, tables, monkeypatch):
     once = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(tables["documents"], tables["benchmark"]).collect()}
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 2000)
