@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -105,6 +106,12 @@ def test_quality(spark, tables):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
 
 
+def test_training_bound_is_the_documented_one():
+    with (Path(__file__).parents[2] / "README.md").open() as f:
+        bound = re.search(r"trained on at most ([\d,]+) labelled rows \(`TRAINING_ROWS`\)", f.read())[1]
+    assert quality.TRAINING_ROWS == int(bound.replace(",", ""))
+
+
 def test_factorisation_machine_identity():
     rng = np.random.default_rng(0)
     theta = rng.normal(size=(quality.WIDTH, quality.RANK + 1)).astype(np.float32) * 0.3
