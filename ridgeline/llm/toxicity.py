@@ -1,348 +1,353 @@
 """Toxicity: class-conditional Kneser-Ney models of words, symbol by symbol.
 
-Two models, one of toxic and one of ordinary labelled texts, predict each symbol of a word (and its end) from all that
-came before it in the word, up to ``DEPTH`` symbols.  Each class has its own counts of these prefixes; both back off
-to one set of Kneser-Ney continuation counts (in how many different prefixes a symbol follows the two before it).  So
-a rare expression that neither class knows well weighs next to nothing, while a rare inflection keeps the weight of
-its stem.  A prefix counts once for each text that has it, and counts of one are wholly left to the backoff.
-
-Counts cover every labelled training row and are summed by Spark.  Prefixes are hashed to ``2 ** BITS`` rows, so that
-the tables that reach the driver and the executors are bounded whatever the input.  A text's figures are the
-difference of its two log-likelihoods per symbol, the strongest differences among its words, each divided by the root
-of the word's length, and the share of strong words.  A logistic function of them, fitted on at most
-``CALIBRATION_ROWS`` labelled rows that the counts behind it have not seen, gives the score.
+Two models, one of toxic and one of ordinary labelled texts, predict every symbol of every word, and its end, from the
+``ORDER`` symbols before it in the word.  Each class has its own counts of these grams, from which an absolute
+discount is taken; what it takes goes to one backoff that both share, interpolated Kneser-Ney over the last three
+symbols: its counts are not occurrences but how many different grams end so.  So a rare expression that neither class
+knows well weighs next to nothing, while a rare inflection keeps the weight of its stem.  A word counts once for each
+text that has it, and grams counted once are wholly left to the backoff.
+
+A text's figures are differences of its log-likelihoods under the two models: that of the whole text, a symbol, and
+those of its ``STRONGEST`` words that speak most for toxicity, by the root of their length.  A logistic function of
+them, fitted on at most ``CALIBRATION_ROWS`` labelled texts that the counts behind it have not seen, gives the score.
+
+Texts are read once, into staged blocks: the distinct words of about ``BLOCK_CHARS`` characters of text, and which of
+them each text has how often.  Counts cover every labelled training row; they are summed by Spark under 64-bit
+digests, and model tables are DataFrames that grow with the input.  A block asks for the digests it has, each once, in
+a join, and gets their differences back.  Nothing but the calibration rows' figures reaches the driver.
 
 Nulls and ties: a null or empty text has the figures 0 and is scored as such.  Labels that are null or of an unknown
 document teach nothing; a document with several labels counts once for each.  Without labels of both classes every
 score is 0.  Repeated rows and null ids are scored like others (a null id is never held out).  Extra columns are
-ignored; texts are scored whole, in pieces of bounded size.
+ignored.  Texts and words are read whole; a text longer than a block is a block of its own.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import fold, id_and_text, small
-from ridgeline.shared import stage_table
+from ridgeline.llm.common import fold, id_and_text, mix, small, windows
+from ridgeline.shared import drop_table, stage_table
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Bound on the labelled rows that the logistic function is fitted on.
 CALIBRATION_ROWS = 4_000
-#: Symbols of a word that its prefixes reach.
-DEPTH = 6
-#: Bits of a prefix's row.
-BITS = 22
-#: Absolute discounts of counts of one, two, and three or more.
+#: Symbols before a predicted one that the class models know.
+ORDER = 8
+#: Absolute discounts of class counts of one, two, and three or more.
 DISCOUNTS = (1.0, 1.5, 1.8)
-#: Beyond this, a word's difference says no more.
-STRONGEST = 5.0
-#: Texts are gathered into pieces of about this many characters.
-PIECE = 500_000
-
-_CODES = 64
-_FIGURES = 5
-
-
-@lru_cache(1)
-def _code_of() -> np.ndarray:
-    """Symbol of a code point: 0 none (ends a word), 1 digit, 2 to 27 a to z, others share 28 to 63."""
-    out = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
-        ch = chr(c)
-        if ch.isalnum():
-            out[c] = 1 if ch.isdigit() else c - 95 if 97 <= c <= 122 else 28 + c % 36
-    return out
+#: Absolute discount of the shared continuation counts.
+SHARED_DISCOUNT = 0.75
+#: Words of a text whose differences are figures of their own.
+STRONGEST = 3
+#: A block of texts closes at this many characters.
+BLOCK_CHARS = 16 << 20
 
+_WORD = re.compile(r"[^\W_]+")
+_PAD, _END = "\0", "\1"
+_SYMBOL_BITS = 21
 
-def symbols(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    return _code_of()[np.minimum(codes, 0xFFFF)]
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits, in lower case."""
+    return _WORD.findall(text.lower())
 
-def word_starts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start in ``s`` and how long they are."""
-    inside = np.r_[False, s != 0, False]
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    return edge[::2], edge[1::2] - edge[::2]
 
+class WordIds(dict):
+    """Numbers of words, in the order in which they come."""
 
-def _next(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Row of a prefix that is one symbol longer."""
-    h = (key.astype(np.uint64) * np.uint64(_CODES) + symbol.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
-def class_counts(labelled: DataFrame) -> DataFrame:
-    """``(event, context, gram, c0 .. c3)``: texts with each prefix, by fold part and class.
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every symbol of the words, and of their ends: gram, context, last three symbols, number of the word.
 
-    ``labelled`` has rows ``(text, part, toxic)``; an event is a prefix, its context the prefix without the last symbol,
-    and gram the last three symbols.
+    Gram and context are digests of the symbol with the ``ORDER`` before it, and of those alone; what precedes a word
+    is padding.
     """
+    line = "".join([f"{_PAD * ORDER}{w}{_END}" for w in words])
+    codes = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    if not len(codes):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    at = np.flatnonzero(codes[ORDER:])
+    context = windows(codes, ORDER)[at]
+    symbol = codes[at + ORDER]
+    gram = mix(mix(context + symbol) + np.uint64(1))
+    last = codes[at + ORDER - 2] << np.uint64(2 * _SYMBOL_BITS) | codes[at + ORDER - 1] << np.uint64(_SYMBOL_BITS) | symbol
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    return gram.astype(np.int64), context.astype(np.int64), last.astype(np.int64), owner
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, 1 << BITS), np.int32)
-        context, gram = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-        for batch in small(it):
-            for text, part, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = symbols(text)
-                start, length = word_starts(s)
-                s = np.r_[np.zeros(2, np.uint8), s, np.uint8(0)].astype(np.int64)
-                key = np.zeros(len(start), np.int64)
-                for t in range(DEPTH + 1):
-                    if not len(start):
-                        break
-                    at = start + t + 2
-                    event = _next(key, s[at])
-                    event, one = np.unique(event, return_index=True)
-                    total[2 * part + toxic, event] += 1
-                    context[event] = key[one]
-                    two, back = (s[at[one] - 2] if t > 1 else 0), (s[at[one] - 1] if t > 0 else 0)
-                    gram[event] = two << 12 | back << 6 | s[at[one]]
-                    # Words with one prefix go on together as far as their next symbols agree: keep them all.
-                    key = _next(key, s[at])
-                    more = length > t
-                    start, length, key = start[more], length[more], key[more]
-        seen = np.flatnonzero(total.any(axis=0))
-        for i in range(0, len(seen), 50_000):
-            k = seen[i : i + 50_000]
-            cells = (k, context[k], gram[k], *(total[j, k] for j in range(4)))
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in cells], names=["event", "context", "gram", "c0", "c1", "c2", "c3"])
-
-    rows = labelled.select("text", "part", "toxic").mapInArrow(count, "event int, context int, gram int, c0 int, c1 int, c2 int, c3 int")
-    return rows.groupBy("event").agg(F.min("context").alias("context"), F.min("gram").alias("gram"), *(F.sum(f"c{j}").alias(f"c{j}") for j in range(4)))
 
+_BLOCK = pa.schema(
+    [("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("versions", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("words", pa.binary()), ("bag", pa.binary()), ("times", pa.binary())]
+)
 
-def _discounted(n: str) -> str:
-    """What the absolute discount takes from a count."""
-    return f"least({n}, if({n} >= 3, {DISCOUNTS[2]}, if({n} >= 2, {DISCOUNTS[1]}, {DISCOUNTS[0]})))"
 
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
-def shared_backoff(counts: DataFrame) -> np.ndarray:
-    """p(symbol | the two before it) for every three symbols, from the different prefixes that end so.
 
-    At most ``64 ** 3`` rows reach the driver.
-    """
-    rows = counts.groupBy("gram").agg(F.count("*").cast("int").alias("n")).toArrow()
-    cont3 = np.zeros(_CODES**3)
-    cont3[rows["gram"].to_numpy()] = rows["n"].to_numpy()
-    cont2 = np.bincount(np.flatnonzero(cont3) & (_CODES**2 - 1), minlength=_CODES**2).astype(float)
-    cont1 = np.bincount(np.flatnonzero(cont2) & (_CODES - 1), minlength=_CODES).astype(float)
-    shared = np.full(_CODES, 1 / _CODES)
-    for n in (cont1, cont2, cont3):
-        shared = _smooth(n, shared)
-    return shared
-
-
-def class_model(counts: DataFrame, shared: DataFrame, ordinary: str, toxic: str) -> dict[str, np.ndarray] | None:
-    """log p(symbol | prefix, toxic) - log p(symbol | prefix, ordinary), as sparse tables.
-
-    One table has it for the events that toxic texts have.  For other events after a context that they have, the
-    shared backoff nearly cancels, and the other table has the difference of the two backoff weights.  Beyond, toxic
-    texts know nothing.  None if a class has no counts.
+def _unpack(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of texts: ids, versions (hashes of the texts), distinct words, and each text's words with their times.
+
+    ``bag`` has word numbers and ``times`` how often each occurs, text after text; ``ends`` is where each text's end.
     """
-    rows = counts.select("event", "context", "gram", F.expr(ordinary).cast("double").alias("o"), F.expr(toxic).cast("double").alias("t"))
-    sums = [F.sum(c).alias(f"n{c}") for c in "ot"] + [F.sum(F.expr(_discounted(c))).alias(f"s{c}") for c in "ot"]
-    by = rows.groupBy("context").agg(*sums).where("nt > 0")
-    by = by.select("context", "no", "nt", F.expr("greatest(st / nt, 1e-3)").alias("wt"), F.expr("if(no > 0, greatest(so / no, 1e-3), 1d)").alias("wo"))
-    unknown = by.select("context", F.expr("cast(ln(wt) - ln(wo) as float)").alias("gain")).toArrow()
-    own = lambda c: f"if(n{c} > 0, ({c} - {_discounted(c)}) / n{c}, 0d)"
-    gain = f"cast(ln({own('t')} + wt * low) - ln({own('o')} + wo * low) as float)"
-    known = rows.where("t > 0").join(by, "context").join(F.broadcast(shared), "gram").select("event", F.expr(gain).alias("gain")).toArrow()
-    if not known.num_rows or rows.agg(F.sum("o")).first()[0] == 0:
-        return None
-    out = {"event": known["event"], "gain": known["gain"], "context": unknown["context"], "unknown": unknown["gain"]}
-    return {k: v.to_numpy() for k, v in out.items()}
-
-
-def dense_tables(model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    known, unknown = np.full(1 << BITS, np.nan, np.float32), np.zeros(1 << BITS, np.float32)
-    known[model["event"]] = model["gain"]
-    unknown[model["context"]] = model["unknown"]
-    return known, unknown
-
-
-def _smooth(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Interpolated absolute discounting over the last symbol; a context without counts takes ``lower``."""
-    c = counts.reshape(-1, _CODES)
-    below = np.tile(lower.reshape(-1, _CODES), (max(1, c.size // lower.size), 1))
-    total = c.sum(axis=1, keepdims=True)
-    kinds = (c > 0).sum(axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.maximum(c - 0.75, 0) / total + (0.75 * kinds / total) * below
-    return np.where(total > 0, p, below).ravel()
-
-
-def word_gains(s: np.ndarray, start: np.ndarray, length: np.ndarray, known: np.ndarray, unknown: np.ndarray) -> np.ndarray:
-    """Log-likelihood difference of each word; it stops where toxic texts don't know the prefix."""
-    out = np.zeros(len(start))
-    s = np.r_[s, np.uint8(0)].astype(np.int64)
-    key, rows = np.zeros(len(start), np.int64), np.arange(len(start))
-    for t in range(DEPTH + 1):
-        if not len(rows):
-            break
-        event = _next(key, s[start[rows] + t])
-        gain = known[event]
-        new = np.isnan(gain)
-        out[rows] += np.where(new, unknown[key], gain)
-        on = ~new & (length[rows] > t)
-        rows, key = rows[on], event[on]
-    return out
 
+    def close(ids: list, versions: list, ends: list, known: WordIds, bags: list, times: list) -> pa.RecordBatch:
+        one = lambda parts: _pack(np.concatenate(parts).astype("<u4").tobytes())
+        cells = (uuid.uuid4().int >> 65, ids, versions, ends, _pack(" ".join(known).encode()), one(bags), one(times))
+        return pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(cells, _BLOCK, strict=True)], schema=_BLOCK)
 
-def figures(texts: list[str], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Per text: log-likelihood difference per symbol, the three strongest words', the share of strong words."""
-    out = np.zeros((len(texts), _FIGURES))
-    piece, size = [], 0
-    for i, text in enumerate(texts):
-        piece.append(i)
-        size += len(text)
-        if size >= PIECE or i == len(texts) - 1:
-            _figures(piece, [symbols(texts[j]) for j in piece], table, out)
-            piece, size = [], 0
-    return out
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, versions, ends, known, bags, times, size, total = [], [], [], WordIds(), [], [], 0, 0
+        for batch in small(it):
+            for doc_id, text, version in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size + len(text) > BLOCK_CHARS and ids:
+                    yield close(ids, versions, ends, known, bags, times)
+                    ids, versions, ends, known, bags, times, size, total = [], [], [], WordIds(), [], [], 0, 0
+                found = Counter(words_of(text))
+                bags.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
+                times.append(np.fromiter(found.values(), np.int64, len(found)))
+                size, total = size + len(text), total + len(found)
+                ids.append(doc_id)
+                versions.append(version)
+                ends.append(total)
+        if ids:
+            yield close(ids, versions, ends, known, bags, times)
 
+    rows = id_and_text(docs).withColumn("version", F.xxhash64("text"))
+    return rows.mapInArrow(run, "block long, ids array<long>, versions array<long>, ends array<int>, words binary, bag binary, times binary")
 
-def _figures(rows: list[int], parts: list[np.ndarray], table: tuple[np.ndarray, np.ndarray], out: np.ndarray) -> None:
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    zero = np.zeros(1, np.uint8)
-    s = np.concatenate([x for p in parts for x in (p, zero)])
-    first, length = word_starts(s)
-    if not len(first):
-        return
-    gain = word_gains(s, first, length, *table)
-    word = gain / np.sqrt(np.minimum(length, DEPTH) + 1)
-    doc = np.searchsorted(ends, first, side="right")
-    n_words = np.bincount(doc, minlength=len(parts))
-    n_symbols = np.bincount(doc, length + 1, minlength=len(parts))
-    total = np.bincount(doc, gain, minlength=len(parts))
-    strong = np.bincount(doc, word > 1, minlength=len(parts))
-    order = np.lexsort((-word, doc))
-    begin = np.r_[0, np.cumsum(n_words)[:-1]]
-    rank = np.arange(len(order)) - begin[doc[order]]
-    for i in range(3):
-        pick = order[rank == i]
-        out[np.asarray(rows)[doc[pick]], 1 + i] = np.minimum(word[pick], STRONGEST)
-    out[rows, 0] = total / np.maximum(n_symbols, 1)
-    out[rows, 4] = np.minimum(strong, 8) / 8
 
+def _words(cell: bytes) -> list[str]:
+    line = _unpack(cell).decode()
+    return line.split(" ") if line else []
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, scale and weights (the last one is the constant), by Newton's method."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hess = z.T @ (z * (p * (1 - p))[:, None]) + (l2 * len(x) + 1e-6) * np.eye(len(w))
-        step = np.linalg.solve(hess, z.T @ (y - p) - l2 * len(x) * w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return mean, scale, w
 
+def _numbers(cell: bytes) -> np.ndarray:
+    return np.frombuffer(_unpack(cell), "<u4").astype(np.int64)
 
-def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Tables and logistic weights, or None where a class has no labelled training row."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.withColumn("part", (fold(F.col("doc_id"), FOLDS) / 2).cast("int")).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    texts = id_and_text(docs).where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    texts = _maybe_labelled(texts, known)
-    counts = stage_table(class_counts(texts.join(known, "doc_id")), "prefix-counts")
-    low = shared_backoff(counts)
-    shared = docs.sparkSession.range(_CODES**3).select(F.col("id").cast("int").alias("gram")).mapInArrow(_column(low), "gram int, low double")
-    model = class_model(counts, shared, "c0 + c2", "c1 + c3")
-    if model is None:
-        return None
-    # The logistic function is fitted where the counts of the other part judge.
-    half = class_model(counts, shared, "c0", "c1")
-    sample = known if half is None else known.where("part = 1")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(CALIBRATION_ROWS)
-    judged = _scored(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), half or model, ["toxic"]).toPandas()
-    if judged["toxic"].nunique() < 2:
-        return None
-    model["logistic"] = fit_logistic(np.array(judged["f"].tolist()), judged["toxic"].to_numpy().astype(float))
-    return model
 
+def _block_rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Blocks one at a time, as a batch may hold many large ones."""
+    for batch in small(it, 1):
+        yield from batch.to_pylist()
 
-#: Bits of the filter that keeps texts without a label from being shuffled.
-FILTER_BITS = 23
 
+def class_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """``(gram, context, last, c0 .. c3)``: counts of each gram, by fold part and class (ordinary 0 and 2, toxic 1 and 3).
 
-def _maybe_labelled(texts: DataFrame, known: DataFrame) -> DataFrame:
-    """``texts`` without most of those that have no label.
+    ``known`` has one row ``(doc_id, part, ordinary, toxic)`` for each labelled document, with its numbers of labels.
+    """
 
-    The ids' hashes set bits in a filter of fixed size, whose words (at most ``2 ** (FILTER_BITS - 6)`` rows) are sent
-    to all tasks.  It never loses a labelled text; where labels outgrow it, it passes more and more others, which
-    costs time alone, as the join by id decides.
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _block_rows(it):
+            words, bag, ends = _words(b["words"]), _numbers(b["bag"]), np.array(b["ends"], np.int64)
+            row, part, labels = (np.array([m[k] for m in b["marks"]], np.int64) for k in ("row", "part", "labels"))
+            labels = labels.reshape(-1, 2)
+            weight = np.zeros((4, len(ends)))
+            for j in range(4):
+                np.add.at(weight[j], row[part == j // 2], labels[part == j // 2, j % 2])
+            text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+            per_word = [np.bincount(bag, w[text], len(words)) for w in weight]
+            met = np.flatnonzero(sum(per_word))
+            gram, context, last, owner = word_grams([words[i] for i in met])
+            event, first, at = np.unique(gram, return_index=True, return_inverse=True)
+            cells = [event, context[first], last[first]] + [np.bincount(at, w[met][owner], len(event)).astype(np.int64) for w in per_word]
+            for i in range(0, len(event), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cells], names=["gram", "context", "last", "c0", "c1", "c2", "c3"])
+
+    texts = blocks.select("block", F.posexplode("ids").alias("row", "doc_id")).join(known, "doc_id")
+    marks = texts.groupBy("block").agg(F.collect_list(F.struct("row", "part", F.array("ordinary", "toxic").alias("labels"))).alias("marks"))
+    rows = blocks.select("block", "ends", "words", "bag").join(marks, "block").drop("block")
+    partial = rows.mapInArrow(count, "gram long, context long, last long, c0 long, c1 long, c2 long, c3 long")
+    return partial.groupBy("gram").agg(F.min("context").alias("context"), F.min("last").alias("last"), *(F.sum(f"c{j}").alias(f"c{j}") for j in range(4)))
+
+
+def shared_backoff(counts: DataFrame) -> DataFrame:
+    """``(last, low)``: p(symbol | the two before it), from how many different grams end so.
+
+    Interpolated over three, two and one symbols, and below these the same share for each symbol met and one unmet.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    bit = known.select(place("doc_id").alias("h")).select((F.col("h") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("bit"))
-    words = bit.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    at = texts.withColumn("h", place("doc_id")).withColumn("word", (F.col("h") / 64).cast("int"))
-    met = at.join(F.broadcast(words), "word").where(F.expr("shiftrightunsigned(bits, cast(h % 64 as int)) & 1 = 1"))
-    return met.select("doc_id", "text")
+    bits, d = _SYMBOL_BITS, f"{SHARED_DISCOUNT}D"
+    three = stage_table(counts.groupBy("last").agg(F.count("*").alias("n")).selectExpr("last", f"last & ((1L << {2 * bits}) - 1) as two", "n"), "endings")
+    two = three.groupBy("two").agg(F.count("*").alias("n")).selectExpr("two", f"two & ((1L << {bits}) - 1) as one", f"two >> {bits} as before", "n")
+    one = two.groupBy("one").agg(F.count("*").alias("n"))
+    # Symbols are code points, so the totals below are few rows.
+    total = one.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    one = one.crossJoin(F.broadcast(total)).selectExpr("one", f"(greatest(n - {d}, 0) + {d} * kinds / (kinds + 1)) / total as p1")
+    by_two = two.groupBy("before").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    two = two.join(by_two, "before").join(one, "one").selectExpr("two", f"(greatest(n - {d}, 0) + {d} * kinds * p1) / total as p2")
+    three = three.withColumn("before", F.expr(f"last >> {bits}"))
+    by_three = three.groupBy("before").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    return three.join(by_three, "before").join(two, "two").selectExpr("last", f"(greatest(n - {d}, 0) + {d} * kinds * p2) / total as low")
 
 
-def _column(values: np.ndarray):
-    """Adds the value of each row's number."""
+def _discounted(n: str) -> str:
+    """What the absolute discount takes from a count."""
+    return f"least({n}, if({n} >= 3, {DISCOUNTS[2]}D, if({n} >= 2, {DISCOUNTS[1]}D, {DISCOUNTS[0]}D)))"
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values[batch.column(0).to_numpy()])], names=["gram", "low"])
 
-    return run
+#: Class counts of the two models: of all training rows, and of one part, which judges the other.
+_CLASSES = {"o": "c0 + c2", "t": "c1 + c3", "ho": "c0", "ht": "c1"}
 
 
-_TABLES: dict = {}
+def probabilities(counts: DataFrame, shared: DataFrame) -> DataFrame:
+    """``(gram, context, p.., w..)`` for o, t, ho, ht: p(symbol | context) of each class and its weight of the backoff."""
+    rows = counts.select("gram", "context", "last", *(F.expr(e).cast("double").alias(c) for c, e in _CLASSES.items()))
+    sums = [F.sum(c).alias(f"n{c}") for c in _CLASSES] + [F.sum(F.expr(_discounted(c))).alias(f"s{c}") for c in _CLASSES]
+    weights = (f"if(n{c} > 0, s{c} / n{c}, 1d) as w{c}" for c in _CLASSES)
+    by = rows.groupBy("context").agg(*sums).selectExpr("context", *(f"n{c}" for c in _CLASSES), *weights)
+    own = (f"if(n{c} > 0, ({c} - {_discounted(c)}) / n{c}, 0d) + w{c} * low as p{c}" for c in _CLASSES)
+    return rows.join(by, "context").join(shared, "last").selectExpr("gram", "context", *own, *(f"w{c}" for c in _CLASSES))
 
 
-def _table(model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The dense tables of a model, made once in each worker."""
-    mark = (len(model["event"]), len(model["context"]), float(model["gain"].sum()))
-    if mark not in _TABLES:
-        _TABLES.clear()
-        _TABLES[mark] = dense_tables(model)
-    return _TABLES[mark]
+def differences(p: DataFrame) -> DataFrame:
+    """``(key, full, half)``: log p(toxic) - log p(ordinary) for each gram, and for other symbols after each context.
 
+    After a context that both classes have met without a symbol, the shared backoff cancels and its weights remain.
+    """
+    gap = lambda x: [F.expr(f"cast(ln({x}t) - ln({x}o) as float)").alias("full"), F.expr(f"cast(ln({x}ht) - ln({x}ho) as float)").alias("half")]
+    unmet = p.select("context", *(f"w{c}" for c in _CLASSES)).distinct().select(F.col("context").alias("key"), *gap("w")).where("full <> 0 or half <> 0")
+    return p.select(F.col("gram").alias("key"), *gap("p")).unionByName(unmet)
+
+
+def _block_keys(words: list[str]) -> tuple[np.ndarray, ...]:
+    gram, context, _, owner = word_grams(words)
+    grams, at_gram = np.unique(gram, return_inverse=True)
+    contexts, at_context = np.unique(context, return_inverse=True)
+    return grams, contexts, at_gram, at_context, owner
+
+
+def _asked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(block, at, key)``: the distinct grams and contexts of each block, in sorted order."""
+    for b in _block_rows(it):
+        grams, contexts, *_ = _block_keys(_words(b["words"]))
+        keys = np.concatenate([grams, contexts])
+        for i in range(0, len(keys), 50_000):
+            part = keys[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b["block"])), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part)], names=["block", "at", "key"])
+
+
+def word_gains(words: list[str], found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Difference of the log-likelihoods of each word, for each pair (positions among the block's keys, values); lengths."""
+    grams, contexts, at_gram, at_context, owner = _block_keys(words)
+    out = []
+    for at, value in found:
+        known = np.full(len(grams) + len(contexts), np.nan)
+        known[at] = value
+        own, unmet = known[: len(grams)][at_gram], np.nan_to_num(known[len(grams) :])[at_context]
+        out.append(np.bincount(owner, np.where(np.isnan(own), unmet, own), len(words)))
+    return out, np.bincount(owner, minlength=len(words))
+
+
+def figures(gain: np.ndarray, length: np.ndarray, bag: np.ndarray, times: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per text: difference of the log-likelihoods a symbol, and of the strongest words by the root of their length."""
+    n = len(ends)
+    out = np.zeros((n, 1 + STRONGEST))
+    text = np.repeat(np.arange(n), np.diff(ends, prepend=0))
+    out[:, 0] = np.bincount(text, gain[bag] * times, n) / np.maximum(np.bincount(text, length[bag] * times, n), 1)
+    word = (gain / np.sqrt(np.maximum(length, 1)))[bag]
+    order = np.lexsort((-word, text))
+    rank = np.arange(len(order)) - np.r_[0, ends[:-1]][text[order]]
+    for i in range(STRONGEST):
+        pick = order[rank == i]
+        out[text[pick], 1 + i] = np.maximum(word[pick], 0)
+    return out
 
-def _scored(rows: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and the figures ``f`` of ``text``."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(held.value)
-        for batch in small(it):
-            if batch.num_rows:
-                f = figures(batch.column(batch.schema.get_field_index("text")).to_pylist(), table)
-                cells = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*cells, pa.array(list(f), pa.list_(pa.float64()))], names=[*keep, "f"])
+_FIGURES = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("full", pa.list_(pa.float64())), ("half", pa.list_(pa.float64()))])
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", f array<double>")
+
+def _judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(doc_id, version, full, half)``: each text's figures under the two models."""
+    for batch in small(it, 1):
+        found = batch.column(batch.schema.get_field_index("found")).flatten()
+        cells = [found.field(k).to_numpy(zero_copy_only=False) for k in ("at", "full", "half")]
+        b = batch.drop_columns(["found"]).to_pylist()[0]
+        (full, half), length = word_gains(_words(b["words"]), [(cells[0], cells[1]), (cells[0], cells[2])])
+        bag, times, ends = _numbers(b["bag"]), _numbers(b["times"]), np.array(b["ends"], np.int64)
+        for i in range(0, len(ends), 10_000):
+            lo, hi = ends[i - 1] if i else 0, ends[min(i + 10_000, len(ends)) - 1]
+            f = [pa.array(list(figures(g, length, bag[lo:hi], times[lo:hi], ends[i : i + 10_000] - lo)), pa.list_(pa.float64())) for g in (full, half)]
+            yield pa.RecordBatch.from_arrays([pa.array(b["ids"][i : i + 10_000], pa.int64()), pa.array(b["versions"][i : i + 10_000], pa.int64()), *f], schema=_FIGURES)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Slopes and shift, by Newton's method on scaled figures."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.c_[(x - mean) / scale, np.ones(len(x))]
+    w = np.zeros(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        hess = z.T @ (z * (p * (1 - p))[:, None]) + (l2 * len(x) + 1e-6) * np.eye(len(w))
+        step = np.linalg.solve(hess, z.T @ (y - p) - l2 * len(x) * w)
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    slope = w[:-1] / scale
+    return slope, float(w[-1] - slope @ mean)
+
+
+def labelled(labels: DataFrame) -> DataFrame:
+    """``(doc_id, part, ordinary, toxic)``: the training labels of each document, and its part of two."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    known = known.groupBy("doc_id").agg(F.sum(1 - F.col("toxic")).alias("ordinary"), F.sum("toxic").alias("toxic"))
+    return known.withColumn("part", (fold(F.col("doc_id"), FOLDS) / 2).cast("int"))
+
+
+def text_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, version, score)`` for every row of ``docs``; version is a hash of the text."""
+    blocks = stage_table(text_blocks(docs), "text-blocks")
+    known = labelled(labels)
+    counts = stage_table(class_counts(blocks, known), "gram-counts")
+    most = counts.agg(*(F.max(F.expr(e)).alias(c) for c, e in _CLASSES.items())).first().asDict()
+    flat = blocks.select(F.explode(F.arrays_zip("ids", "versions")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.versions").alias("version"), F.lit(0.0).alias("score"))
+    if not (most["o"] and most["t"]):
+        return flat
+    shares = stage_table(probabilities(counts, shared_backoff(counts)), "gram-probabilities")
+    gains = stage_table(differences(shares), "gram-differences")
+    drop_table(counts)
+    drop_table(shares)
+    found = blocks.select("block", "words").mapInArrow(_asked, "block long, at int, key long").join(gains, "key")
+    found = found.groupBy("block").agg(F.collect_list(F.struct("at", "full", "half")).alias("found"))
+    empty = F.expr("cast(array() as array<struct<at: int, full: float, half: float>>)")
+    rows = blocks.join(found, "block", "left").select("ids", "versions", "ends", "words", "bag", "times", F.coalesce("found", empty).alias("found"))
+    judged = stage_table(rows.mapInArrow(_judged, "doc_id long, version long, full array<double>, half array<double>"), "figures")
+    # The logistic function is fitted where the counts of the other part judge.
+    halves = bool(most["ho"] and most["ht"])
+    sample = judged.join(known.where("part = 1") if halves else known, "doc_id").select("doc_id", "version", "half" if halves else "full", "ordinary", "toxic")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "version").limit(CALIBRATION_ROWS).toPandas()
+    y = (sample["toxic"] > sample["ordinary"]).to_numpy().astype(float)
+    if len(set(y)) < 2:
+        return flat
+    slope, shift = fit_logistic(np.array(sample.iloc[:, 2].tolist()), y)
+    line = F.lit(shift)
+    for i, s in enumerate(slope):
+        line = line + F.col("full")[i] * float(s)
+    return judged.select("doc_id", "version", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))))).alias("score"))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``."""
-    model = toxicity_model(docs, labels)
-    rows = id_and_text(docs)
-    if model is None:
-        scored = rows.select("doc_id", F.lit(0.0).alias("score"))
-    else:
-        mean, scale, w = model["logistic"]
-        slope, shift = w[:-1] / scale, float(w[-1] - (w[:-1] / scale * mean).sum())
-        line = F.lit(shift)
-        for i in range(_FIGURES):
-            line = line + F.col("f")[i] * float(slope[i])
-        scored = _scored(rows, model, ["doc_id"]).select("doc_id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), line))))).alias("score"))
-    return scored.select(
+    return text_scores(docs, labels).select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",
@@ -351,21 +356,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is not predicted toxic, scored in place (no join on ids)."""
-    model = toxicity_model(docs, labels)
-    if model is None:
-        return docs
-    columns = docs.columns
-    mean, scale, w = model["logistic"]
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    slope, shift = w[:-1] / scale, float(w[-1] - (w[:-1] / scale * mean).sum())
-    cut = float(np.log(THRESHOLD / (1 - THRESHOLD)))
-    at = columns.index("text")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(held.value)
-        for batch in small(it):
-            f = figures([t or "" for t in batch.column(at).to_pylist()], table)
-            yield batch.filter(pa.array(f @ slope + shift < cut))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of ``docs`` whose text is not predicted toxic."""
+    toxic = text_scores(docs, labels).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    toxic = stage_table(toxic, "toxic")
+    same = docs["doc_id"].cast("long").eqNullSafe(toxic["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == toxic["_version"])
+    return docs.join(toxic, same, "left_anti")

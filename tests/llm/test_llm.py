@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontaminate, licences, media, ngram_join, packing, pages, quality, substring_dedup, tokens, toxicity
-from ridgeline.shared import scratch_path
+from ridgeline.shared import scratch_path, stage_table
 
 DATA = "/root/testdata"
 ODD = "doc_id long, text string, lang string, sid long, _id string, _spans string, _stay int, grams string"
@@ -124,7 +124,7 @@ def test_toxicity(spark, tables):
     rows = toxicity.toxicity_scores(tables["documents"], tables["labels"]).collect()
     labels = {r.doc_id: r.toxic for r in tables["labels"].collect()}
     auc, accuracy = measured(rows, labels, "toxic")
-    assert len(rows) == 1000 and auc > 0.75 and accuracy > 0.88
+    assert len(rows) == 1000 and auc > 0.8 and accuracy > 0.9
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
 
@@ -149,6 +149,89 @@ def test_toxicity_separates_planted_stems(spark):
     assert left == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_reads_long_words_to_their_end(spark):
+    # Toxic and ordinary words share eleven letters, and letters beyond the basic plane tell two others apart.
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(600):
+        text = [rng.choice("lamp table green river stone window entertainment \U0001d4d0\U0001d4d1".split()) for _ in range(40)]
+        bad = i % 4 == 0
+        if bad:
+            for _ in range(3):
+                text[rng.randrange(40)] = rng.choice(["entertainmvile", "\U0001d4d0\U0001d4d2"])
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(bad)))
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [(got[i].predicted, bad) for i, _, bad in labels if got[i].held_out]
+    assert len(held) > 100 and all(p == b for p, b in held)
+
+
+def brute_kneser_ney(rows, order):
+    """Counts and probabilities of ``(text, class)`` rows by dictionaries; classes 0 and 1."""
+    seen = [Counter(), Counter()]
+    for text, c in rows:
+        for w in set(re.findall(r"[^\W_]+", text.lower())):
+            line = "\0" * order + w + "\1"
+            for i in range(order, len(line)):
+                seen[c][line[i - order : i], line[i]] += 1
+    grams = set(seen[0]) | set(seen[1])
+    three = Counter((context[-2:], s) for context, s in grams)
+    two = Counter((context[-1:], s) for context, s in three)
+    one = Counter(s for _, s in two)
+
+    def low(counts, context, s, below):
+        own = {x: n for (c, x), n in counts.items() if c == context}
+        if not own:
+            return below
+        return (max(own.get(s, 0) - 0.75, 0) + 0.75 * len(own) * below) / sum(own.values())
+
+    def shared(context, s):
+        p = low({("", x): n for x, n in one.items()}, "", s, 1 / (len(one) + 1))
+        return low(three, context[-2:], s, low(two, context[-1:], s, p))
+
+    def p(c, context, s):
+        own = {x: n for (k, x), n in seen[c].items() if k == context}
+        if not own:
+            return shared(context, s)
+        cut = {x: min(n, 1.8 if n >= 3 else 1.5 if n == 2 else 1.0) for x, n in own.items()}
+        return (own.get(s, 0) - cut.get(s, 0) + sum(cut.values()) * shared(context, s)) / sum(own.values())
+
+    return grams, [*one, "unmet"], p
+
+
+def test_toxicity_equals_brute_force_kneser_ney(spark):
+    rng = random.Random(12)
+    syllables = ["ka", "ri", "ko", "é", "mu", "\U0001d4d0"]
+    rows = [(i, " ".join("".join(rng.choice(syllables[: 3 + i % 4]) for _ in range(rng.randint(1, 5))) for _ in range(6)), i % 2) for i in range(24)]
+    train = [(t, c) for i, t, c in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    grams, symbols, p = brute_kneser_ney(train, toxicity.ORDER)
+    for context in sorted({c for c, _ in grams})[::7]:
+        for c in (0, 1):
+            assert sum(p(c, context, s) for s in symbols) == pytest.approx(1)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, c) for i, _, c in rows], "doc_id long, toxic int")
+    counts = toxicity.class_counts(stage_table(toxicity.text_blocks(docs), "blocks"), toxicity.labelled(labels))
+    got = toxicity.probabilities(counts, toxicity.shared_backoff(counts)).collect()
+    want = sorted((p(0, *g), p(1, *g)) for g in grams)
+    assert np.allclose(sorted((r.po, r.pt) for r in got), want)
+    # Words, met and unmet, by their log-likelihoods.
+    table = {r.key: r.full for r in toxicity.differences(toxicity.probabilities(counts, toxicity.shared_backoff(counts))).collect()}
+    for w in ["kariko", "kakakakakakaka", "zzz", "é\U0001d4d0é", "rikariko", "mu"]:
+        line = "\0" * toxicity.ORDER + w + "\1"
+        want = sum(np.log(p(1, line[i - toxicity.ORDER : i], line[i]) / p(0, line[i - toxicity.ORDER : i], line[i])) for i in range(toxicity.ORDER, len(line)))
+        keys = np.concatenate(toxicity._block_keys([w])[:2])
+        met = [(i, table[k]) for i, k in enumerate(keys.tolist()) if k in table]
+        gains, length = toxicity.word_gains([w], [(np.array([i for i, _ in met], int), np.array([v for _, v in met]))])
+        assert gains[0][0] == pytest.approx(want, abs=1e-4) and length[0] == len(w) + 1
+
+
+def test_toxicity_does_not_depend_on_blocks(spark, tables, monkeypatch):
+    docs = tables["documents"].where("doc_id < 300")
+    once = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, tables["labels"]).collect()}
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", 20_000)
+    assert once == pytest.approx({r.doc_id: r.score for r in toxicity.toxicity_scores(docs, tables["labels"]).collect()}, abs=1e-6)
+
+
 @pytest.mark.parametrize("scores,column", [(quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")])
 def test_classifier_edges(spark, scores, column):
     docs = odd_docs(spark, EDGE)
