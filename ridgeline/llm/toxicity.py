@@ -13,8 +13,8 @@ them, fitted on at most ``CALIBRATION_ROWS`` labelled texts that the counts behi
 
 Texts are read once, into staged blocks: the distinct words of about ``BLOCK_CHARS`` characters of text, and which of
 them each text has how often.  Counts cover every labelled training row; they are summed by Spark under 64-bit
-digests, and model tables are DataFrames that grow with the input.  A block asks for the digests it has, each once, in
-a join, and gets their differences back.  Nothing but the calibration rows' figures reaches the driver.
+digests of contexts, and model tables are DataFrames that grow with the input.  A block asks for the contexts it has,
+each once, in a join, and gets their differences back.  Nothing but the calibration rows' figures reaches the driver.
 
 Nulls and ties: a null or empty text has the figures 0 and is scored as such.  Labels that are null or of an unknown
 document teach nothing; a document with several labels counts once for each.  Without labels of both classes every
@@ -34,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import fold, id_and_text, mix, small, windows
-from ridgeline.shared import drop_table, stage_table
+from ridgeline.llm.common import fold, id_and_text, small, windows
+from ridgeline.shared import drop_table, shuffle_partitions, stage_table
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Bound on the labelled rows that the logistic function is fitted on.
 CALIBRATION_ROWS = 4_000
 #: Symbols before a predicted one that the class models know.
-ORDER = 8
+ORDER = 6
 #: Absolute discounts of class counts of one, two, and three or more.
 DISCOUNTS = (1.0, 1.5, 1.8)
 #: Absolute discount of the shared continuation counts.
@@ -50,7 +50,7 @@ SHARED_DISCOUNT = 0.75
 #: Words of a text whose differences are figures of their own.
 STRONGEST = 3
 #: A block of texts closes at this many characters.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 32 << 20
 
 _WORD = re.compile(r"[^\W_]+")
 _PAD, _END = "\0", "\1"
@@ -70,24 +70,23 @@ class WordIds(dict):
         return n
 
 
-def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every symbol of the words, and of their ends: gram, context, last three symbols, number of the word.
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every symbol of the words, and of their ends: context, last three symbols, number of the word.
 
-    Gram and context are digests of the symbol with the ``ORDER`` before it, and of those alone; what precedes a word
-    is padding.
+    A context is a digest of the ``ORDER`` symbols before; what precedes a word is padding.  With the symbol, the
+    lowest bits of the last three, it is a gram.
     """
     line = "".join([f"{_PAD * ORDER}{w}{_END}" for w in words])
     codes = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     if not len(codes):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none
     at = np.flatnonzero(codes[ORDER:])
     context = windows(codes, ORDER)[at]
     symbol = codes[at + ORDER]
-    gram = mix(mix(context + symbol) + np.uint64(1))
     last = codes[at + ORDER - 2] << np.uint64(2 * _SYMBOL_BITS) | codes[at + ORDER - 1] << np.uint64(_SYMBOL_BITS) | symbol
     owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    return gram.astype(np.int64), context.astype(np.int64), last.astype(np.int64), owner
+    return context.astype(np.int64), last.astype(np.int64), owner
 
 
 _BLOCK = pa.schema(
@@ -106,7 +105,8 @@ def _unpack(data: bytes) -> bytes:
 def text_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of texts: ids, versions (hashes of the texts), distinct words, and each text's words with their times.
 
-    ``bag`` has word numbers and ``times`` how often each occurs, text after text; ``ends`` is where each text's end.
+    ``bag`` has word numbers, in each text rising and kept as steps, and ``times`` how often each occurs, text after
+    text; ``ends`` is where each text's end.
     """
 
     def close(ids: list, versions: list, ends: list, known: WordIds, bags: list, times: list) -> pa.RecordBatch:
@@ -122,8 +122,10 @@ def text_blocks(docs: DataFrame) -> DataFrame:
                     yield close(ids, versions, ends, known, bags, times)
                     ids, versions, ends, known, bags, times, size, total = [], [], [], WordIds(), [], [], 0, 0
                 found = Counter(words_of(text))
-                bags.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
-                times.append(np.fromiter(found.values(), np.int64, len(found)))
+                bag, often = (np.fromiter(v, np.int64, len(found)) for v in (map(known.__getitem__, found), found.values()))
+                order = np.argsort(bag)
+                bags.append(np.diff(bag[order], prepend=0))
+                times.append(often[order])
                 size, total = size + len(text), total + len(found)
                 ids.append(doc_id)
                 versions.append(version)
@@ -144,6 +146,14 @@ def _numbers(cell: bytes) -> np.ndarray:
     return np.frombuffer(_unpack(cell), "<u4").astype(np.int64)
 
 
+def _bag(steps: bytes, ends: np.ndarray) -> np.ndarray:
+    """Word numbers of all texts of a block."""
+    total = np.cumsum(_numbers(steps))
+    length = np.diff(ends, prepend=0)
+    before = np.r_[0, total][ends - length]
+    return total - np.repeat(before, length)
+
+
 def _block_rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Blocks one at a time, as a batch may hold many large ones."""
     for batch in small(it, 1):
@@ -151,14 +161,15 @@ def _block_rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def class_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """``(gram, context, last, c0 .. c3)``: counts of each gram, by fold part and class (ordinary 0 and 2, toxic 1 and 3).
+    """``(context, last, c0 .. c3)``: counts of each gram, by fold part and class (ordinary 0 and 2, toxic 1 and 3).
 
     ``known`` has one row ``(doc_id, part, ordinary, toxic)`` for each labelled document, with its numbers of labels.
     """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _block_rows(it):
-            words, bag, ends = _words(b["words"]), _numbers(b["bag"]), np.array(b["ends"], np.int64)
+            words, ends = _words(b["words"]), np.array(b["ends"], np.int64)
+            bag = _bag(b["bag"], ends)
             row, part, labels = (np.array([m[k] for m in b["marks"]], np.int64) for k in ("row", "part", "labels"))
             labels = labels.reshape(-1, 2)
             weight = np.zeros((4, len(ends)))
@@ -167,17 +178,22 @@ def class_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
             text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
             per_word = [np.bincount(bag, w[text], len(words)) for w in weight]
             met = np.flatnonzero(sum(per_word))
-            gram, context, last, owner = word_grams([words[i] for i in met])
-            event, first, at = np.unique(gram, return_index=True, return_inverse=True)
-            cells = [event, context[first], last[first]] + [np.bincount(at, w[met][owner], len(event)).astype(np.int64) for w in per_word]
-            for i in range(0, len(event), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cells], names=["gram", "context", "last", "c0", "c1", "c2", "c3"])
+            context, last, owner = word_grams([words[i] for i in met])
+            order = np.lexsort((last, context))
+            context, last, owner = context[order], last[order], owner[order]
+            first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (last[1:] != last[:-1])][: len(context)])
+            if not len(first):
+                continue
+            cells = [context[first], last[first]] + [np.add.reduceat(w[met][owner], first).astype(np.int64) for w in per_word]
+            for i in range(0, len(first), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in cells], names=["context", "last", "c0", "c1", "c2", "c3"])
 
     texts = blocks.select("block", F.posexplode("ids").alias("row", "doc_id")).join(known, "doc_id")
     marks = texts.groupBy("block").agg(F.collect_list(F.struct("row", "part", F.array("ordinary", "toxic").alias("labels"))).alias("marks"))
     rows = blocks.select("block", "ends", "words", "bag").join(marks, "block").drop("block")
-    partial = rows.mapInArrow(count, "gram long, context long, last long, c0 long, c1 long, c2 long, c3 long")
-    return partial.groupBy("gram").agg(F.min("context").alias("context"), F.min("last").alias("last"), *(F.sum(f"c{j}").alias(f"c{j}") for j in range(4)))
+    partial = rows.mapInArrow(count, "context long, last long, c0 long, c1 long, c2 long, c3 long")
+    # Blocks have summed their own; dealt by context, no sum over the grams of a context needs another shuffle.
+    return partial.repartition(shuffle_partitions(blocks.sparkSession), "context").groupBy("context", "last").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(4)))
 
 
 def shared_backoff(counts: DataFrame) -> DataFrame:
@@ -209,52 +225,70 @@ _CLASSES = {"o": "c0 + c2", "t": "c1 + c3", "ho": "c0", "ht": "c1"}
 
 
 def probabilities(counts: DataFrame, shared: DataFrame) -> DataFrame:
-    """``(gram, context, p.., w..)`` for o, t, ho, ht: p(symbol | context) of each class and its weight of the backoff."""
-    rows = counts.select("gram", "context", "last", *(F.expr(e).cast("double").alias(c) for c, e in _CLASSES.items()))
+    """``(context, last, p.., w..)`` for o, t, ho, ht: p(symbol | context) of each class and its weight of the backoff."""
+    rows = counts.select("context", "last", *(F.expr(e).cast("double").alias(c) for c, e in _CLASSES.items()))
     sums = [F.sum(c).alias(f"n{c}") for c in _CLASSES] + [F.sum(F.expr(_discounted(c))).alias(f"s{c}") for c in _CLASSES]
     weights = (f"if(n{c} > 0, s{c} / n{c}, 1d) as w{c}" for c in _CLASSES)
     by = rows.groupBy("context").agg(*sums).selectExpr("context", *(f"n{c}" for c in _CLASSES), *weights)
     own = (f"if(n{c} > 0, ({c} - {_discounted(c)}) / n{c}, 0d) + w{c} * low as p{c}" for c in _CLASSES)
-    return rows.join(by, "context").join(shared, "last").selectExpr("gram", "context", *own, *(f"w{c}" for c in _CLASSES))
+    return rows.join(by, "context").join(shared, "last").selectExpr("context", "last", *own, *(f"w{c}" for c in _CLASSES))
 
 
 def differences(p: DataFrame) -> DataFrame:
-    """``(key, full, half)``: log p(toxic) - log p(ordinary) for each gram, and for other symbols after each context.
+    """``(context, full, half, met)``: log p(toxic) - log p(ordinary) of the symbols met after a context, and of others.
 
-    After a context that both classes have met without a symbol, the shared backoff cancels and its weights remain.
+    Of a symbol that no class has met there the shared backoff cancels, and its weights remain; so it is with symbols
+    that were met once.  Contexts without any difference are left out.
     """
-    gap = lambda x: [F.expr(f"cast(ln({x}t) - ln({x}o) as float)").alias("full"), F.expr(f"cast(ln({x}ht) - ln({x}ho) as float)").alias("half")]
-    unmet = p.select("context", *(f"w{c}" for c in _CLASSES)).distinct().select(F.col("context").alias("key"), *gap("w")).where("full <> 0 or half <> 0")
-    return p.select(F.col("gram").alias("key"), *gap("p")).unionByName(unmet)
+    gap = lambda x, y: [f"cast(ln({x}t) - ln({x}o) as float) as {y}full", f"cast(ln({x}ht) - ln({x}ho) as float) as {y}half"]
+    rows = p.selectExpr("context", f"cast(last & ((1L << {_SYMBOL_BITS}) - 1) as int) as symbol", *gap("w", ""), *gap("p", "p_"))
+    entry = F.when(F.expr("abs(p_full - full) > 1e-6 or abs(p_half - half) > 1e-6"), F.struct("symbol", F.col("p_full").alias("full"), F.col("p_half").alias("half")))
+    rows = rows.groupBy("context").agg(F.first("full").alias("full"), F.first("half").alias("half"), F.collect_list(entry).alias("met"))
+    return rows.where("full <> 0 or half <> 0 or size(met) > 0")
 
 
 def _block_keys(words: list[str]) -> tuple[np.ndarray, ...]:
-    gram, context, _, owner = word_grams(words)
-    grams, at_gram = np.unique(gram, return_inverse=True)
-    contexts, at_context = np.unique(context, return_inverse=True)
-    return grams, contexts, at_gram, at_context, owner
+    """Distinct contexts; each symbol's context among them, symbol, and word."""
+    context, last, owner = word_grams(words)
+    contexts, at = np.unique(context, return_inverse=True)
+    return contexts, at, last & ((1 << _SYMBOL_BITS) - 1), owner
 
 
 def _asked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(block, at, key)``: the distinct grams and contexts of each block, in sorted order."""
+    """``(block, at, context)``: the distinct contexts of each block, in sorted order."""
     for b in _block_rows(it):
-        grams, contexts, *_ = _block_keys(_words(b["words"]))
-        keys = np.concatenate([grams, contexts])
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b["block"])), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part)], names=["block", "at", "key"])
+        contexts = np.unique(word_grams(_words(b["words"]))[0])
+        for i in range(0, len(contexts), 50_000):
+            part = contexts[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b["block"])), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part)], names=["block", "at", "context"])
 
 
-def word_gains(words: list[str], found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Difference of the log-likelihoods of each word, for each pair (positions among the block's keys, values); lengths."""
-    grams, contexts, at_gram, at_context, owner = _block_keys(words)
+def word_gains(words: list[str], found: pa.StructArray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Differences of the log-likelihoods of each word, under both pairs of models, and the words' lengths.
+
+    ``found`` has the rows of ``differences`` for the words' contexts, with ``at``, their places in sorted order.
+    """
+    contexts, at, symbol, owner = _block_keys(words)
+    length = np.bincount(owner, minlength=len(words))
+    place = found.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
+    lists = found.field("met")
+    entries = lists.flatten()
+    many = np.diff(lists.offsets.to_numpy())
+    key = np.repeat(place, many) << _SYMBOL_BITS | entries.field("symbol").to_numpy(zero_copy_only=False)
+    order = np.argsort(key)
+    key = key[order]
+    mine = at << _SYMBOL_BITS | symbol
+    hit = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
+    met = key[hit] == mine if len(key) else np.zeros(len(mine), bool)
     out = []
-    for at, value in found:
-        known = np.full(len(grams) + len(contexts), np.nan)
-        known[at] = value
-        own, unmet = known[: len(grams)][at_gram], np.nan_to_num(known[len(grams) :])[at_context]
-        out.append(np.bincount(owner, np.where(np.isnan(own), unmet, own), len(words)))
-    return out, np.bincount(owner, minlength=len(words))
+    for k in ("full", "half"):
+        unmet = np.zeros(len(contexts))
+        unmet[place] = found.field(k).to_numpy(zero_copy_only=False)
+        gain = unmet[at]
+        if len(key):
+            gain = np.where(met, entries.field(k).to_numpy(zero_copy_only=False)[order][hit], gain)
+        out.append(np.bincount(owner, gain, len(words)))
+    return out, length
 
 
 def figures(gain: np.ndarray, length: np.ndarray, bag: np.ndarray, times: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -276,13 +310,13 @@ _FIGURES = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("full",
 
 
 def _judged(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(doc_id, version, full, half)``: each text's figures under the two models."""
+    """``(doc_id, version, full, half)``: each text's figures under the two pairs of models."""
     for batch in small(it, 1):
         found = batch.column(batch.schema.get_field_index("found")).flatten()
-        cells = [found.field(k).to_numpy(zero_copy_only=False) for k in ("at", "full", "half")]
         b = batch.drop_columns(["found"]).to_pylist()[0]
-        (full, half), length = word_gains(_words(b["words"]), [(cells[0], cells[1]), (cells[0], cells[2])])
-        bag, times, ends = _numbers(b["bag"]), _numbers(b["times"]), np.array(b["ends"], np.int64)
+        (full, half), length = word_gains(_words(b["words"]), found)
+        times, ends = _numbers(b["times"]), np.array(b["ends"], np.int64)
+        bag = _bag(b["bag"], ends)
         for i in range(0, len(ends), 10_000):
             lo, hi = ends[i - 1] if i else 0, ends[min(i + 10_000, len(ends)) - 1]
             f = [pa.array(list(figures(g, length, bag[lo:hi], times[lo:hi], ends[i : i + 10_000] - lo)), pa.list_(pa.float64())) for g in (full, half)]
@@ -326,9 +360,9 @@ def text_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     gains = stage_table(differences(shares), "gram-differences")
     drop_table(counts)
     drop_table(shares)
-    found = blocks.select("block", "words").mapInArrow(_asked, "block long, at int, key long").join(gains, "key")
-    found = found.groupBy("block").agg(F.collect_list(F.struct("at", "full", "half")).alias("found"))
-    empty = F.expr("cast(array() as array<struct<at: int, full: float, half: float>>)")
+    found = blocks.select("block", "words").mapInArrow(_asked, "block long, at int, context long").join(gains, "context")
+    found = found.groupBy("block").agg(F.collect_list(F.struct("at", "full", "half", "met")).alias("found"))
+    empty = F.expr("cast(array() as array<struct<at: int, full: float, half: float, met: array<struct<symbol: int, full: float, half: float>>>>)")
     rows = blocks.join(found, "block", "left").select("ids", "versions", "ends", "words", "bag", "times", F.coalesce("found", empty).alias("found"))
     judged = stage_table(rows.mapInArrow(_judged, "doc_id long, version long, full array<double>, half array<double>"), "figures")
     # The logistic function is fitted where the counts of the other part judge.

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,13 +216,13 @@ def test_toxicity_equals_brute_force_kneser_ney(spark):
     want = sorted((p(0, *g), p(1, *g)) for g in grams)
     assert np.allclose(sorted((r.po, r.pt) for r in got), want)
     # Words, met and unmet, by their log-likelihoods.
-    table = {r.key: r.full for r in toxicity.differences(toxicity.probabilities(counts, toxicity.shared_backoff(counts))).collect()}
+    table = {r.context: r for r in toxicity.differences(toxicity.probabilities(counts, toxicity.shared_backoff(counts))).collect()}
+    kind = pa.struct([("at", pa.int32()), ("full", pa.float32()), ("half", pa.float32()), ("met", pa.list_(pa.struct([("symbol", pa.int32()), ("full", pa.float32()), ("half", pa.float32())])))])
     for w in ["kariko", "kakakakakakaka", "zzz", "é\U0001d4d0é", "rikariko", "mu"]:
         line = "\0" * toxicity.ORDER + w + "\1"
         want = sum(np.log(p(1, line[i - toxicity.ORDER : i], line[i]) / p(0, line[i - toxicity.ORDER : i], line[i])) for i in range(toxicity.ORDER, len(line)))
-        keys = np.concatenate(toxicity._block_keys([w])[:2])
-        met = [(i, table[k]) for i, k in enumerate(keys.tolist()) if k in table]
-        gains, length = toxicity.word_gains([w], [(np.array([i for i, _ in met], int), np.array([v for _, v in met]))])
+        rows = [{"at": i, **table[c].asDict(True)} for i, c in enumerate(toxicity._block_keys([w])[0].tolist()) if c in table]
+        gains, length = toxicity.word_gains([w], pa.array(rows, kind))
         assert gains[0][0] == pytest.approx(want, abs=1e-4) and length[0] == len(w) + 1
 
 
