@@ -31,18 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import fold, id_and_text, small, windows
-from ridgeline.shared import drop_table, shuffle_partitions, stage_table
+from ridgeline.shared import drop_table, scratch_path, shuffle_partitions, stage_table
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Bound on the labelled rows that the logistic function is fitted on.
 CALIBRATION_ROWS = 4_000
 #: Symbols before a predicted one that the class models know.
-ORDER = 6
+ORDER = 5
 #: Absolute discounts of class counts of one, two, and three or more.
 DISCOUNTS = (1.0, 1.5, 1.8)
 #: Absolute discount of the shared continuation counts.
@@ -95,7 +95,7 @@ _BLOCK = pa.schema(
 
 
 def _pack(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
 
 
 def _unpack(data: bytes) -> bytes:
@@ -110,7 +110,8 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     """
 
     def close(ids: list, versions: list, ends: list, known: WordIds, bags: list, times: list) -> pa.RecordBatch:
-        one = lambda parts: _pack(np.concatenate(parts).astype("<u4").tobytes())
+        # All lowest bytes of the numbers first, and so on: most of the others are 0.
+        one = lambda parts: _pack(np.concatenate(parts).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
         cells = (uuid.uuid4().int >> 65, ids, versions, ends, _pack(" ".join(known).encode()), one(bags), one(times))
         return pa.RecordBatch.from_arrays([pa.array([c], t.type) for c, t in zip(cells, _BLOCK, strict=True)], schema=_BLOCK)
 
@@ -137,13 +138,21 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block long, ids array<long>, versions array<long>, ends array<int>, words binary, bag binary, times binary")
 
 
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Blocks as a table of the shared folder, bucketed by ``block``: joins with them shuffle the other side alone."""
+    spark = blocks.sparkSession
+    name = f"text_blocks_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(shuffle_partitions(spark), "block").option("path", scratch_path(spark, "text-blocks")).saveAsTable(name)
+    return spark.table(name)
+
+
 def _words(cell: bytes) -> list[str]:
     line = _unpack(cell).decode()
     return line.split(" ") if line else []
 
 
 def _numbers(cell: bytes) -> np.ndarray:
-    return np.frombuffer(_unpack(cell), "<u4").astype(np.int64)
+    return np.frombuffer(_unpack(cell), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
 def _bag(steps: bytes, ends: np.ndarray) -> np.ndarray:
@@ -160,10 +169,19 @@ def _block_rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
+def _discounted(n: str) -> str:
+    """What the absolute discount takes from a count."""
+    return f"least({n}, if({n} >= 3, {DISCOUNTS[2]}D, if({n} >= 2, {DISCOUNTS[1]}D, {DISCOUNTS[0]}D)))"
+
+
+#: Class counts of the two models: of all training rows, and of one part, which judges the other.
+_CLASSES = {"o": "c0 + c2", "t": "c1 + c3", "ho": "c0", "ht": "c1"}
+
+
 def class_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """``(context, last, c0 .. c3)``: counts of each gram, by fold part and class (ordinary 0 and 2, toxic 1 and 3).
+    """``(context, last, o, t, ho, ht, n.., s..)``: counts of each gram by model, with those of its context.
 
-    ``known`` has one row ``(doc_id, part, ordinary, toxic)`` for each labelled document, with its numbers of labels.
+    n is the sum of a context's counts, and s what the discount takes from them.  ``known`` has one row ``(doc_id, part, ordinary, toxic)`` for each labelled document, with its numbers of labels.
     """
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +211,11 @@ def class_counts(blocks: DataFrame, known: DataFrame) -> DataFrame:
     rows = blocks.select("block", "ends", "words", "bag").join(marks, "block").drop("block")
     partial = rows.mapInArrow(count, "context long, last long, c0 long, c1 long, c2 long, c3 long")
     # Blocks have summed their own; dealt by context, no sum over the grams of a context needs another shuffle.
-    return partial.repartition(shuffle_partitions(blocks.sparkSession), "context").groupBy("context", "last").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(4)))
+    counts = partial.repartition(shuffle_partitions(blocks.sparkSession), "context").groupBy("context", "last").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(4)))
+    counts = counts.selectExpr("context", "last", *(f"{e} as {c}" for c, e in _CLASSES.items()))
+    context = Window.partitionBy("context")
+    totals = [F.sum(c).over(context).alias(f"n{c}") for c in _CLASSES] + [F.sum(F.expr(_discounted(c))).over(context).alias(f"s{c}") for c in _CLASSES]
+    return counts.select("*", *totals)
 
 
 def shared_backoff(counts: DataFrame) -> DataFrame:
@@ -215,36 +237,38 @@ def shared_backoff(counts: DataFrame) -> DataFrame:
     return three.join(by_three, "before").join(two, "two").selectExpr("last", f"(greatest(n - {d}, 0) + {d} * kinds * p2) / total as low")
 
 
-def _discounted(n: str) -> str:
-    """What the absolute discount takes from a count."""
-    return f"least({n}, if({n} >= 3, {DISCOUNTS[2]}D, if({n} >= 2, {DISCOUNTS[1]}D, {DISCOUNTS[0]}D)))"
-
-
-#: Class counts of the two models: of all training rows, and of one part, which judges the other.
-_CLASSES = {"o": "c0 + c2", "t": "c1 + c3", "ho": "c0", "ht": "c1"}
-
-
 def probabilities(counts: DataFrame, shared: DataFrame) -> DataFrame:
     """``(context, last, p.., w..)`` for o, t, ho, ht: p(symbol | context) of each class and its weight of the backoff."""
-    rows = counts.select("context", "last", *(F.expr(e).cast("double").alias(c) for c, e in _CLASSES.items()))
-    sums = [F.sum(c).alias(f"n{c}") for c in _CLASSES] + [F.sum(F.expr(_discounted(c))).alias(f"s{c}") for c in _CLASSES]
-    weights = (f"if(n{c} > 0, s{c} / n{c}, 1d) as w{c}" for c in _CLASSES)
-    by = rows.groupBy("context").agg(*sums).selectExpr("context", *(f"n{c}" for c in _CLASSES), *weights)
+    rows = counts.select("*", *(F.expr(f"if(n{c} > 0, s{c} / n{c}, 1d)").alias(f"w{c}") for c in _CLASSES))
     own = (f"if(n{c} > 0, ({c} - {_discounted(c)}) / n{c}, 0d) + w{c} * low as p{c}" for c in _CLASSES)
-    return rows.join(by, "context").join(shared, "last").selectExpr("context", "last", *own, *(f"w{c}" for c in _CLASSES))
+    return rows.join(shared, "last").selectExpr("context", "last", *own, *(f"w{c}" for c in _CLASSES))
 
 
 def differences(p: DataFrame) -> DataFrame:
-    """``(context, full, half, met)``: log p(toxic) - log p(ordinary) of the symbols met after a context, and of others.
+    """``(context, gaps)``: log p(toxic) - log p(ordinary) of the symbols after a context, under both pairs of models.
 
-    Of a symbol that no class has met there the shared backoff cancels, and its weights remain; so it is with symbols
-    that were met once.  Contexts without any difference are left out.
+    The first of ``gaps`` is that of symbols no class has met there: the shared backoff cancels, and its weights remain.
+    It holds for symbols met once, too; the others follow.  Each is a number of 64 bits: the symbol, and two fixed-point
+    numbers of 20 bits in steps of ``2 ** -14``.  Contexts without any difference are left out.
     """
-    gap = lambda x, y: [f"cast(ln({x}t) - ln({x}o) as float) as {y}full", f"cast(ln({x}ht) - ln({x}ho) as float) as {y}half"]
-    rows = p.selectExpr("context", f"cast(last & ((1L << {_SYMBOL_BITS}) - 1) as int) as symbol", *gap("w", ""), *gap("p", "p_"))
-    entry = F.when(F.expr("abs(p_full - full) > 1e-6 or abs(p_half - half) > 1e-6"), F.struct("symbol", F.col("p_full").alias("full"), F.col("p_half").alias("half")))
-    rows = rows.groupBy("context").agg(F.first("full").alias("full"), F.first("half").alias("half"), F.collect_list(entry).alias("met"))
-    return rows.where("full <> 0 or half <> 0 or size(met) > 0")
+    fixed = lambda x, y: f"cast(rint((ln({x}) - ln({y})) * {_STEPS}) as bigint) & {_LOW}"
+    pair = lambda x: f"shiftleft({fixed(f'{x}t', f'{x}o')}, {_GAP_BITS}) | ({fixed(f'{x}ht', f'{x}ho')})"
+    symbol = f"shiftleft(last & {(1 << _SYMBOL_BITS) - 1}, {2 * _GAP_BITS})"
+    rows = p.selectExpr("context", f"{pair('w')} as unmet", f"{pair('p')} as own", f"{symbol} as symbol").where("unmet <> 0 or own <> unmet")
+    met = F.when(F.expr("own <> unmet"), F.expr("symbol | own"))
+    rows = rows.groupBy("context").agg(F.min("unmet").alias("unmet"), F.collect_list(met).alias("met"))
+    return rows.select("context", F.expr("concat(array(unmet), met)").alias("gaps"))
+
+
+#: Bits of a difference, and its steps.
+_GAP_BITS, _STEPS = 20, 1 << 14
+_LOW = (1 << _GAP_BITS) - 1
+
+
+def _gap(packed: np.ndarray, which: int) -> np.ndarray:
+    """The first or second difference of packed numbers."""
+    x = (packed >> (_GAP_BITS * (1 - which))) & _LOW
+    return (x - ((x >> (_GAP_BITS - 1)) << _GAP_BITS)) / _STEPS
 
 
 def _block_keys(words: list[str]) -> tuple[np.ndarray, ...]:
@@ -271,24 +295,22 @@ def word_gains(words: list[str], found: pa.StructArray) -> tuple[list[np.ndarray
     contexts, at, symbol, owner = _block_keys(words)
     length = np.bincount(owner, minlength=len(words))
     place = found.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
-    lists = found.field("met")
-    entries = lists.flatten()
-    many = np.diff(lists.offsets.to_numpy())
-    key = np.repeat(place, many) << _SYMBOL_BITS | entries.field("symbol").to_numpy(zero_copy_only=False)
+    lists = found.field("gaps")
+    gaps, begin = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    begin = begin - begin[0] if len(begin) else begin
+    unmet = np.zeros(len(contexts), np.int64)
+    unmet[place] = gaps[begin[:-1]]
+    own = np.ones(len(gaps), bool)
+    own[begin[:-1]] = False
+    key = np.repeat(place, np.diff(begin))[own] << _SYMBOL_BITS | gaps[own] >> (2 * _GAP_BITS)
     order = np.argsort(key)
-    key = key[order]
+    key, own = key[order], gaps[own][order]
     mine = at << _SYMBOL_BITS | symbol
-    hit = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
-    met = key[hit] == mine if len(key) else np.zeros(len(mine), bool)
-    out = []
-    for k in ("full", "half"):
-        unmet = np.zeros(len(contexts))
-        unmet[place] = found.field(k).to_numpy(zero_copy_only=False)
-        gain = unmet[at]
-        if len(key):
-            gain = np.where(met, entries.field(k).to_numpy(zero_copy_only=False)[order][hit], gain)
-        out.append(np.bincount(owner, gain, len(words)))
-    return out, length
+    gap = unmet[at]
+    if len(key):
+        hit = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+        gap = np.where(key[hit] == mine, own[hit], gap)
+    return [np.bincount(owner, _gap(gap, i), len(words)) for i in (0, 1)], length
 
 
 def figures(gain: np.ndarray, length: np.ndarray, bag: np.ndarray, times: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -349,20 +371,18 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def text_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, version, score)`` for every row of ``docs``; version is a hash of the text."""
-    blocks = stage_table(text_blocks(docs), "text-blocks")
+    blocks = _dealt(text_blocks(docs))
     known = labelled(labels)
     counts = stage_table(class_counts(blocks, known), "gram-counts")
-    most = counts.agg(*(F.max(F.expr(e)).alias(c) for c, e in _CLASSES.items())).first().asDict()
+    most = counts.agg(*(F.max(c).alias(c) for c in _CLASSES)).first().asDict()
     flat = blocks.select(F.explode(F.arrays_zip("ids", "versions")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.versions").alias("version"), F.lit(0.0).alias("score"))
     if not (most["o"] and most["t"]):
         return flat
-    shares = stage_table(probabilities(counts, shared_backoff(counts)), "gram-probabilities")
-    gains = stage_table(differences(shares), "gram-differences")
+    gains = stage_table(differences(probabilities(counts, shared_backoff(counts))), "gram-differences")
     drop_table(counts)
-    drop_table(shares)
     found = blocks.select("block", "words").mapInArrow(_asked, "block long, at int, context long").join(gains, "context")
-    found = found.groupBy("block").agg(F.collect_list(F.struct("at", "full", "half", "met")).alias("found"))
-    empty = F.expr("cast(array() as array<struct<at: int, full: float, half: float, met: array<struct<symbol: int, full: float, half: float>>>>)")
+    found = found.groupBy("block").agg(F.collect_list(F.struct("at", "gaps")).alias("found"))
+    empty = F.expr("cast(array() as array<struct<at: int, gaps: array<bigint>>>)")
     rows = blocks.join(found, "block", "left").select("ids", "versions", "ends", "words", "bag", "times", F.coalesce("found", empty).alias("found"))
     judged = stage_table(rows.mapInArrow(_judged, "doc_id long, version long, full array<double>, half array<double>"), "figures")
     # The logistic function is fitted where the counts of the other part judge.

@@ -217,13 +217,13 @@ def test_toxicity_equals_brute_force_kneser_ney(spark):
     assert np.allclose(sorted((r.po, r.pt) for r in got), want)
     # Words, met and unmet, by their log-likelihoods.
     table = {r.context: r for r in toxicity.differences(toxicity.probabilities(counts, toxicity.shared_backoff(counts))).collect()}
-    kind = pa.struct([("at", pa.int32()), ("full", pa.float32()), ("half", pa.float32()), ("met", pa.list_(pa.struct([("symbol", pa.int32()), ("full", pa.float32()), ("half", pa.float32())])))])
+    kind = pa.struct([("at", pa.int32()), ("gaps", pa.list_(pa.int64()))])
     for w in ["kariko", "kakakakakakaka", "zzz", "é\U0001d4d0é", "rikariko", "mu"]:
         line = "\0" * toxicity.ORDER + w + "\1"
         want = sum(np.log(p(1, line[i - toxicity.ORDER : i], line[i]) / p(0, line[i - toxicity.ORDER : i], line[i])) for i in range(toxicity.ORDER, len(line)))
         rows = [{"at": i, **table[c].asDict(True)} for i, c in enumerate(toxicity._block_keys([w])[0].tolist()) if c in table]
         gains, length = toxicity.word_gains([w], pa.array(rows, kind))
-        assert gains[0][0] == pytest.approx(want, abs=1e-4) and length[0] == len(w) + 1
+        assert gains[0][0] == pytest.approx(want, abs=1e-3) and length[0] == len(w) + 1
 
 
 def test_toxicity_does_not_depend_on_blocks(spark, tables, monkeypatch):
