@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.shared import scratch_path, shuffle_partitions
+
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.  bytes.split() uses the same set.
 #: bytes.lower() changes A-Z alone, so that both rules act on UTF-8 bytes without decoding.
 MASK = (1 << 64) - 1
@@ -32,6 +35,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` as a table of the shared folder, bucketed by ``key``: joins on it shuffle the other side alone."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), key).option("path", scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -2,7 +2,9 @@
 
 Jaccard distance is a metric, and at a radius ``r = 1 - threshold`` the join keeps to small regions of it:
 
-1. Documents with one shingle set are one point of the space.
+1. Documents with one shingle set are one point of the space.  In the common order of the shingles' hashes, two points
+   within the radius share one of the first ``n - ceil(threshold n) + 1`` of each; points that share none of these
+   with another one are linked with nothing, and only the others' whole sets are looked at.
 2. Every shingle is a pivot (the set that holds it alone).  A point lies in the Voronoi region of its rarest
    shingle, and the window that the radius allows replicates it into the regions of its next rarest ones: two
    points within ``r`` differ in so few shingles that they meet in one of the first ``n - ceil(threshold n) + 1``
@@ -15,7 +17,10 @@ Jaccard distance is a metric, and at a radius ``r = 1 - threshold`` the join kee
    pairs is joined outright, a larger one goes on with further pivots in the same way.
 4. The links' connected components are the classes.
 
-No group of copies is expanded into pairs: exact copies are one point, and near copies are linked as stars.
+No group of copies is expanded into pairs: exact copies are one point, and near copies are linked as stars.  Shingles
+are dealt over buckets by hash, and a bucket is read as a stream against the distinct shingles in it, so that one
+which very many documents hold takes no more memory than others.  Sets are compared by 64-bit digests of words'
+digests, of which 58 bits are kept: sets are equal, and their sizes right, but for collisions of these.
 
 Nulls and ties: a null text is an empty one.  Empty texts, and texts of white space, have no shingles and link with
 nothing; each is its own class.  Rows with a null doc_id count as documents but name no class: they take the class
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WordHash, batches, free_name, id_and_text, salted_lookup, shingles, small
+from ridgeline.llm.common import WordHash, batches, bucketed_table, free_name, id_and_text, mix, salted_lookup, shingles, small
 from ridgeline.operators.components import connected_components
 from ridgeline.shared import drop_table, shuffle_partitions, stage_table
 
@@ -43,43 +48,54 @@ LEAF_PAIRS = 1_000_000
 #: Pivots that a larger region takes in each further round.
 PIVOTS = 64
 
-_POINTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
+_POINTS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
 _INDEX = pa.schema([("bucket", pa.int32()), ("sids", pa.binary()), ("sizes", pa.binary()), ("held", pa.binary()), ("grams", pa.binary())])
-_SHARED = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("gram", pa.int64()), ("df", pa.int32())])
+#: Bits of a shingle's digest beside the six of its frequency's order.
+_GRAM_BITS = 58
+
+
+def _versioned(docs: DataFrame) -> DataFrame:
+    return id_and_text(docs).withColumn("version", F.xxhash64("text"))
 
 
 def shingle_points(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``(doc_id, n, sid)``: the size and the 64-bit digest of each document's shingle set; sid is null if empty."""
+    """``(doc_id, version, n, sid)``: a hash of the text, and size and digest of its shingle set; sid is null if empty."""
     words = WordHash()
 
-    def points(ids: list, texts: list) -> list:
+    def points(ids: list, versions: list, texts: list) -> list:
         sizes, sids = [], []
         for text in texts:
             words.trim()
             s = shingles(words.of(text.encode().lower().split()), k)
             sizes.append(len(s))
             sids.append(_sid(s) if len(s) else None)
-        return [ids, sizes, sids]
+        return [ids, versions, sizes, sids]
 
-    return id_and_text(docs).mapInArrow(batches(points, ["doc_id", "text"], _POINTS), "doc_id long, n long, sid long")
+    return _versioned(docs).mapInArrow(batches(points, ["doc_id", "version", "text"], _POINTS), "doc_id long, version long, n long, sid long")
 
 
 def _sid(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def _index_blocks(k: int, buckets: int):
-    """Blocks of distinct sets, dealt over hash buckets: 6 bytes a shingle instead of a row each."""
+def _index_blocks(k: int, buckets: int, percent: int | None = None):
+    """Blocks of distinct sets, dealt over hash buckets: few bytes a shingle instead of a row each.
+
+    With ``percent``, only the first shingles of each set in the order of their hashes that two sets within the radius
+    can't do without: 4 bytes each, which is enough to tell where nothing is shared.  Else whole sets, 8 bytes each.
+    """
+    width = 8 if percent is None else 4
 
     def deal(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         sizes = np.fromiter((len(s) for s in sets.values()), dtype=np.uint32, count=len(sets))
         sids = np.fromiter(sets, dtype=np.int64, count=len(sets))
-        grams = np.concatenate(list(sets.values()))
+        # The first of sorted hashes are small numbers: dealt by another hash of theirs.
+        grams = mix(np.concatenate(list(sets.values())))
         owner = np.repeat(np.arange(len(sets)), sizes)
         bucket = ((grams >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")
         bucket, owner = bucket[order].astype(np.int64), owner[order]
-        packed = grams[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        packed = grams[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         out: list[list] = [[], [], [], [], []]
         for b in range(buckets):
@@ -98,8 +114,8 @@ def _index_blocks(k: int, buckets: int):
                 words.trim()
                 s = shingles(words.of(text.encode().lower().split()), k)
                 if len(s) and (sid := _sid(s)) not in sets:
-                    sets[sid] = s
-                    held += len(s)
+                    sets[sid] = s if percent is None else s[: len(s) + 1 - -(-percent * len(s) // 100)]
+                    held += len(sets[sid])
                 if held >= BLOCK:
                     yield deal(sets)
                     sets, held = {}, 0
@@ -109,84 +125,135 @@ def _index_blocks(k: int, buckets: int):
     return run
 
 
-def _shared_grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; of each bucket, the shingles that two or more sets hold."""
+def _entries(cells: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle, set and set size of each entry of a dealt row."""
+    held = np.frombuffer(cells["held"], np.uint32)
+    each = lambda key, kind: np.repeat(np.frombuffer(cells[key], kind), held)
+    return np.frombuffer(cells["grams"], f"<u{width}"), each("sids", np.int64), each("sizes", np.uint32)
 
-    def close(bucket: int, parts: list) -> pa.RecordBatch | None:
-        packed = np.frombuffer(b"".join(p[3] for p in parts), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(packed), 8), np.uint8)
-        wide[:, :6] = packed
-        grams = wide.view("<u8").ravel()
-        order = np.argsort(grams, kind="stable")
-        grams = grams[order]
-        same = grams[1:] == grams[:-1]
-        keep = np.r_[same, False] | np.r_[False, same]
-        if not keep.any():
-            return None
-        grams, order = grams[keep], order[keep]
-        row = np.repeat(np.arange(sum(len(p[2]) // 4 for p in parts)), np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts]))[order]
-        sids = np.concatenate([np.frombuffer(p[0], np.int64) for p in parts])[row]
-        sizes = np.concatenate([np.frombuffer(p[1], np.uint32) for p in parts])[row]
-        order = np.lexsort((sids, grams))  # one set may come from several blocks
-        grams, sids, sizes = grams[order], sids[order], sizes[order]
-        first = np.r_[True, (grams[1:] != grams[:-1]) | (sids[1:] != sids[:-1])]
-        grams, sids, sizes = grams[first], sids[first], sizes[first]
-        _, at, df = np.unique(grams, return_inverse=True, return_counts=True)
-        df = df[at]
-        keep = df > 1
-        if not keep.any():
-            return None
-        ids = (grams[keep] | (np.uint64(bucket & 0xFFFF) << np.uint64(48))).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(sids[keep]), pa.array(sizes[keep].astype(np.int64)), pa.array(ids), pa.array(df[keep].astype(np.int32))], schema=_SHARED)
 
-    now, parts = None, []
-    for batch in it:
-        for bucket, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now and parts:
-                if (out := close(now, parts)) is not None:
-                    yield from _slices(out)
-                parts = []
-            now = bucket
-            parts.append(cells)
-    if parts and (out := close(now, parts)) is not None:
-        yield from _slices(out)
+class _Bucket:
+    """The distinct shingles of a bucket: the first set met with each, and how many sets."""
+
+    def __init__(self) -> None:
+        self.grams, self.first, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, grams: np.ndarray, sids: np.ndarray) -> np.ndarray:
+        """Takes entries in; returns the sets that now share a shingle with another one, as far as they are new."""
+        old = len(self.grams)
+        grams, sids = np.r_[self.grams, grams.astype(np.uint64)], np.r_[self.first, sids]
+        many = np.r_[self.df, np.ones(len(grams) - old, np.int64)]
+        order = np.lexsort((np.arange(len(grams)) >= old, grams))  # what was met before comes first
+        grams, sids, many, fresh = grams[order], sids[order], many[order], order >= old
+        start = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+        lead = np.repeat(start, np.diff(np.r_[start, len(grams)]))
+        other = fresh & (sids != sids[lead])  # one set may come from several blocks
+        shares = other.copy()
+        shares[lead[other]] = True
+        shares &= fresh | (many == 1)
+        self.grams, self.first = grams[start], sids[start]
+        self.df = many[start] + (np.add.reduceat(other, start) if len(start) else 0)
+        return np.unique(sids[shares])
+
 
+def _streams(width: int, close, step=lambda sids: None):
+    """A mapInArrow function over rows sorted by bucket; ``close`` makes a batch of a full bucket, ``step`` of what shares."""
 
-def _slices(batch: pa.RecordBatch, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bucket, waiting, size = None, _Bucket(), [], 0
+
+        def take():
+            grams, sids = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            return step(bucket.add(grams, sids))
+
+        for batch in it:
+            for i in range(batch.num_rows):
+                cells = batch.slice(i, 1).to_pylist()[0]
+                if waiting and (cells["bucket"] != now or size >= BLOCK):
+                    size = 0
+                    if (out := take()) is not None:
+                        yield out
+                if cells["bucket"] != now:
+                    if now is not None and (out := close(now, bucket)) is not None:
+                        yield out
+                    now, bucket = cells["bucket"], _Bucket()
+                waiting.append(_entries(cells, width)[:2])
+                size += len(waiting[-1][0])
+        if waiting and (out := take()) is not None:
+            yield out
+        if now is not None and (out := close(now, bucket)) is not None:
+            yield out
+
+    return run
+
+
+def _deals(texts: DataFrame, k: int, percent: int | None = None) -> DataFrame:
+    return texts.select("text").mapInArrow(_index_blocks(k, 4 * shuffle_partitions(texts.sparkSession), percent), "bucket int, sids binary, sizes binary, held binary, grams binary")
+
+
+def _sorted(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition(shuffle_partitions(dealt.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def possible_texts(docs: DataFrame, points: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """``(text)`` for one document of each set that shares one of its first shingles with another set."""
+    found = lambda sids: pa.RecordBatch.from_arrays([pa.array(sids)], names=["sid"]) if len(sids) else None
+    rows = _sorted(_deals(_versioned(docs), k, percent))
+    sids = rows.mapInArrow(_streams(4, lambda *_: None, found), "sid long").distinct()
+    one = points.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "version")).alias("d"))
+    one = stage_table(one.select(F.col("d.doc_id").alias("one_id"), F.col("d.version").alias("one_version")), "possible")
+    texts = _versioned(docs)
+    return texts.join(one, texts["doc_id"].eqNullSafe(one["one_id"]) & (texts["version"] == one["one_version"]), "left_semi").select("text")
+
+
+def shared_shingles(texts: DataFrame, k: int = 5) -> DataFrame:
+    """``(sid, n, gram)``: of each distinct set the shingles that another set holds too.
+
+    Grams sort by the order of magnitude of the number of sets that hold them, then by hash.
+    """
+
+    def table(bucket: int, b: _Bucket) -> pa.RecordBatch | None:
+        keep = b.df > 1
+        if not keep.any():
+            return None
+        order = np.floor(np.log2(b.df[keep])).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([b.grams[keep].astype("<u8").tobytes()]), pa.array([order.tobytes()])], names=["bucket", "shared", "orders"])
 
+    def look_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(it, 1):
+            cells = batch.to_pylist()[0]
+            grams, sids, sizes = _entries(cells, 8)
+            shared, orders = np.frombuffer(cells["shared"], "<u8"), np.frombuffer(cells["orders"], np.uint8)
+            at = np.minimum(np.searchsorted(shared, grams), len(shared) - 1)
+            hit = np.flatnonzero(shared[at] == grams)
+            ids = (orders[at[hit]].astype(np.uint64) << np.uint64(_GRAM_BITS) | grams[hit] >> np.uint64(64 - _GRAM_BITS)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sids[hit]), pa.array(sizes[hit].astype(np.int64)), pa.array(ids)], names=["sid", "n", "gram"])
 
-def shared_shingles(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``(sid, n, gram, df)``: of each distinct set the shingles that another set holds too, and how many sets do."""
-    parts = shuffle_partitions(docs.sparkSession)
-    names = "bucket int, sids binary, sizes binary, held binary, grams binary"
-    blocks = id_and_text(docs).select("text").mapInArrow(_index_blocks(k, 4 * parts), names)
-    dealt = blocks.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_shared_grams, "sid long, n long, gram long, df int")
+    tables = stage_table(_sorted(_deals(texts, k)).mapInArrow(_streams(8, table), "bucket int, shared binary, orders binary"), "shared-shingles")
+    return _deals(texts, k).join(tables, "bucket").mapInArrow(look_up, "sid long, n long, gram long")
 
 
-def jaccard_links(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+def jaccard_links(docs: DataFrame, points: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """``(a, b)``: links between distinct shingle sets that connect every two sets within the radius.
 
     All pairs are linked directly or through others that are linked; no link joins sets beyond the radius.
     """
-    entries = F.array_sort(F.collect_list(F.struct("df", "gram")))
     sets = (
-        shared_shingles(docs, k)
+        shared_shingles(possible_texts(docs, points, percent, k), k)
         .groupBy("sid", "n")
-        .agg(entries.alias("e"))
+        .agg(F.array_sort(F.collect_set("gram")).alias("grams"))
         # Shingles that no other set holds come first in the order, and their regions have no company.
-        .select("sid", "n", F.expr("n - size(e)").alias("alone"), F.col("e.gram").alias("grams"), F.col("e.df").alias("dfs"))
+        .withColumn("alone", F.expr("n - size(grams)"))
         .withColumn("reach", F.expr(f"cast(n - div({percent} * n + 99, 100) + 1 - alone as int)"))
         .where("reach > 0")
     )
-    sets = stage_table(sets, "shingle-sets")
-    held = sets.select("sid", "n", "alone", F.posexplode(F.slice(F.arrays_zip("dfs", "grams"), F.lit(1), F.col("reach"))).alias("i", "g"))
-    regions = held.select(F.col("g.grams").alias("rid"), F.col("g.dfs").alias("df"), "sid", "n", F.expr("n - alone - i").alias("rest"), F.expr("alone / n").alias("c"))
+    sets = bucketed_table(sets, "shingle_sets", "sid")
+    held = sets.select("sid", "n", "alone", F.posexplode(F.slice("grams", F.lit(1), F.col("reach"))).alias("i", "rid"))
+    regions = held.select("rid", "sid", "n", F.expr("n - alone - i").alias("rest"), F.expr("alone / n").alias("c"))
     # Many shingles have the same points: the first region of each set of points is enough.
-    marks = regions.groupBy("rid", "df").agg(F.count("*").alias("cnt"), F.expr("bit_xor(xxhash64(sid))").alias("x"), F.expr("bit_xor(xxhash64(sid, 1))").alias("y"))
-    first = marks.where("cnt > 1").groupBy("cnt", "x", "y").agg(F.min(F.struct("df", "rid")).alias("f")).select("f.rid")
+    marks = regions.groupBy("rid").agg(F.count("*").alias("cnt"), F.expr("bit_xor(xxhash64(sid))").alias("x"), F.expr("bit_xor(xxhash64(sid, 1))").alias("y"))
+    first = marks.where("cnt > 1").groupBy("cnt", "x", "y").agg(F.min("rid").alias("rid")).select("rid")
     members = stage_table(regions.join(first, "rid", "left_semi").select("rid", "sid", "n", "rest", "c"), "regions")
 
     found = None
@@ -266,7 +333,7 @@ def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: a row for each document with the smallest doc_id that links reach."""
     points = stage_table(shingle_points(docs, k), "points")
-    labels = connected_components(jaccard_links(docs, percent, k))
+    labels = connected_components(jaccard_links(docs, points, percent, k))
     lowest = points.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("low"))
     placed = stage_table(lowest.join(labels.withColumnRenamed("node", "sid"), "sid", "left"), "labels")
     # Most sets are linked with none; a component that holds many of the others is dealt over salts.

@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import fold, id_and_text, small, windows
-from ridgeline.shared import drop_table, scratch_path, shuffle_partitions, stage_table
+from ridgeline.llm.common import bucketed_table, fold, id_and_text, small, windows
+from ridgeline.shared import drop_table, shuffle_partitions, stage_table
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -138,14 +138,6 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "block long, ids array<long>, versions array<long>, ends array<int>, words binary, bag binary, times binary")
 
 
-def _dealt(blocks: DataFrame) -> DataFrame:
-    """Blocks as a table of the shared folder, bucketed by ``block``: joins with them shuffle the other side alone."""
-    spark = blocks.sparkSession
-    name = f"text_blocks_{uuid.uuid4().hex}"
-    blocks.write.bucketBy(shuffle_partitions(spark), "block").option("path", scratch_path(spark, "text-blocks")).saveAsTable(name)
-    return spark.table(name)
-
-
 def _words(cell: bytes) -> list[str]:
     line = _unpack(cell).decode()
     return line.split(" ") if line else []
@@ -371,7 +363,7 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def text_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, version, score)`` for every row of ``docs``; version is a hash of the text."""
-    blocks = _dealt(text_blocks(docs))
+    blocks = bucketed_table(text_blocks(docs), "text_blocks", "block")
     known = labelled(labels)
     counts = stage_table(class_counts(blocks, known), "gram-counts")
     most = counts.agg(*(F.max(c).alias(c) for c in _CLASSES)).first().asDict()
