@@ -2,9 +2,9 @@
 
 Jaccard distance is a metric, and at a radius ``r = 1 - threshold`` the join keeps to small regions of it:
 
-1. Documents with one shingle set are one point of the space.  In the common order of the shingles' hashes, two points
-   within the radius share one of the first ``n - ceil(threshold n) + 1`` of each; points that share none of these
-   with another one are linked with nothing, and only the others' whole sets are looked at.
+1. Documents with one shingle set are one point of the space.  Two points within the radius meet in some of the first
+   shingles of each, in the common order of their hashes (``first_look``); points that meet others in fewer are linked
+   with nothing, and only the others' whole sets are looked at.
 2. Every shingle is a pivot (the set that holds it alone).  A point lies in the Voronoi region of its rarest
    shingle, and the window that the radius allows replicates it into the regions of its next rarest ones: two
    points within ``r`` differ in so few shingles that they meet in one of the first ``n - ceil(threshold n) + 1``
@@ -41,6 +41,8 @@ from ridgeline.llm.common import WordHash, batches, bucketed_table, free_name, i
 from ridgeline.operators.components import connected_components
 from ridgeline.shared import drop_table, shuffle_partitions, stage_table
 
+#: Percentage of a set's shingles, beyond those that a set within the radius may lack, that the first look takes.
+LOOK = 15
 #: Shingles that one block of the index holds before it is dealt over the buckets.
 BLOCK = 1_000_000
 #: Regions with at most this many pairs of points in different components are joined outright.
@@ -78,11 +80,23 @@ def _sid(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
+def first_look(n: int, percent: int) -> tuple[int, int]:
+    """How many of a set's first shingles are looked at, and how many of them others must have been looked at for, too.
+
+    Two sets within the radius share at least ``ceil(percent n / 100)`` shingles, n being the larger size.  If each
+    looks at as many as it may lack of these and ``l`` more, they meet in ``l``: the one whose look ends earlier in
+    the order lacks no more than it may.  ``l`` is a share of n, and the smallest set within the radius has the least.
+    """
+    least = -(-percent * n // 100)
+    more = lambda size: 1 + LOOK * size // 100
+    return min(n, n - least + more(n)), more(least)
+
+
 def _index_blocks(k: int, buckets: int, percent: int | None = None):
     """Blocks of distinct sets, dealt over hash buckets: few bytes a shingle instead of a row each.
 
-    With ``percent``, only the first shingles of each set in the order of their hashes that two sets within the radius
-    can't do without: 4 bytes each, which is enough to tell where nothing is shared.  Else whole sets, 8 bytes each.
+    With ``percent``, only the first shingles of each set in the order of their hashes, 4 bytes each, which is enough to
+    tell where little is shared.  Else whole sets, 8 bytes each.
     """
     width = 8 if percent is None else 4
 
@@ -114,7 +128,7 @@ def _index_blocks(k: int, buckets: int, percent: int | None = None):
                 words.trim()
                 s = shingles(words.of(text.encode().lower().split()), k)
                 if len(s) and (sid := _sid(s)) not in sets:
-                    sets[sid] = s if percent is None else s[: len(s) + 1 - -(-percent * len(s) // 100)]
+                    sets[sid] = s if percent is None else s[: first_look(len(s), percent)[0]]
                     held += len(sets[sid])
                 if held >= BLOCK:
                     yield deal(sets)
@@ -138,8 +152,8 @@ class _Bucket:
     def __init__(self) -> None:
         self.grams, self.first, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, grams: np.ndarray, sids: np.ndarray) -> np.ndarray:
-        """Takes entries in; returns the sets that now share a shingle with another one, as far as they are new."""
+    def add(self, grams: np.ndarray, sids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes entries in; returns the sets of which a shingle is newly known to be in another set, and how many are."""
         old = len(self.grams)
         grams, sids = np.r_[self.grams, grams.astype(np.uint64)], np.r_[self.first, sids]
         many = np.r_[self.df, np.ones(len(grams) - old, np.int64)]
@@ -153,10 +167,10 @@ class _Bucket:
         shares &= fresh | (many == 1)
         self.grams, self.first = grams[start], sids[start]
         self.df = many[start] + (np.add.reduceat(other, start) if len(start) else 0)
-        return np.unique(sids[shares])
+        return np.unique(sids[shares], return_counts=True)
 
 
-def _streams(width: int, close, step=lambda sids: None):
+def _streams(width: int, close, step=lambda found: None):
     """A mapInArrow function over rows sorted by bucket; ``close`` makes a batch of a full bucket, ``step`` of what shares."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +203,7 @@ def _streams(width: int, close, step=lambda sids: None):
 
 
 def _deals(texts: DataFrame, k: int, percent: int | None = None) -> DataFrame:
-    return texts.select("text").mapInArrow(_index_blocks(k, 4 * shuffle_partitions(texts.sparkSession), percent), "bucket int, sids binary, sizes binary, held binary, grams binary")
+    return texts.select("text").mapInArrow(_index_blocks(k, shuffle_partitions(texts.sparkSession), percent), "bucket int, sids binary, sizes binary, held binary, grams binary")
 
 
 def _sorted(dealt: DataFrame) -> DataFrame:
@@ -197,11 +211,11 @@ def _sorted(dealt: DataFrame) -> DataFrame:
 
 
 def possible_texts(docs: DataFrame, points: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
-    """``(text)`` for one document of each set that shares one of its first shingles with another set."""
-    found = lambda sids: pa.RecordBatch.from_arrays([pa.array(sids)], names=["sid"]) if len(sids) else None
+    """``(text)`` for one document of each set that meets others in as many of its first shingles as it must."""
+    found = lambda met: pa.RecordBatch.from_arrays([pa.array(c) for c in met], names=["sid", "met"]) if len(met[0]) else None
     rows = _sorted(_deals(_versioned(docs), k, percent))
-    sids = rows.mapInArrow(_streams(4, lambda *_: None, found), "sid long").distinct()
-    one = points.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "version")).alias("d"))
+    met = rows.mapInArrow(_streams(4, lambda *_: None, found), "sid long, met long").groupBy("sid").agg(F.sum("met").alias("met"))
+    one = points.join(met, "sid").where(f"met > div({LOOK} * div({percent} * n + 99, 100), 100)").groupBy("sid").agg(F.min(F.struct("doc_id", "version")).alias("d"))
     one = stage_table(one.select(F.col("d.doc_id").alias("one_id"), F.col("d.version").alias("one_version")), "possible")
     texts = _versioned(docs)
     return texts.join(one, texts["doc_id"].eqNullSafe(one["one_id"]) & (texts["version"] == one["one_version"]), "left_semi").select("text")

@@ -499,6 +499,36 @@ def test_jaccard_classes(spark, monkeypatch, leaf, seed):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+def test_first_looks_of_sets_within_the_radius_meet():
+    rng = random.Random(8)
+    for _ in range(3000):
+        a = set(rng.sample(range(10_000), rng.choice([1, 2, 3, 5, 8, 40, 130])))
+        b = set(a)
+        for _ in range(rng.randint(0, len(a) // 3)):
+            if rng.random() < 0.6 and len(b) > 1:
+                b.remove(rng.choice(sorted(b)))
+            else:
+                b.add(rng.randrange(10_000))
+        if 100 * len(a & b) >= 75 * len(a | b):
+            (qa, la), (qb, lb) = (ngram_join.first_look(len(x), 75) for x in (a, b))
+            assert len(set(sorted(a)[:qa]) & set(sorted(b)[:qb])) >= max(la, lb)
+
+
+def test_buckets_as_streams():
+    rng = np.random.default_rng(4)
+    grams, sids = rng.integers(0, 60, 900).astype(np.uint64), rng.integers(0, 25, 900)
+    bucket, met = ngram_join._Bucket(), Counter()
+    for i in range(0, 900, 70):
+        for sid, n in zip(*bucket.add(grams[i : i + 70], sids[i : i + 70]), strict=True):
+            met[int(sid)] += int(n)
+    by = defaultdict(set)
+    for g, s in zip(grams.tolist(), sids.tolist()):
+        by[g].add(s)
+    want = Counter(s for held in by.values() if len(held) > 1 for s in held)
+    assert bucket.grams.tolist() == sorted(by) and {s for s in met if met[s]} == set(want) and all(met[s] >= n for s, n in want.items())
+    assert all((d > 1) == (len(by[g]) > 1) and d >= len(by[g]) for g, d in zip(bucket.grams.tolist(), bucket.df.tolist()))
+
+
 def test_points_measured_against_different_pivots_stay_open(spark):
     # Pivots 1 (80 shingles) and 2; 3 (100) holds 1 and lies in 4 (125); 4 and 1 fail the bound by size.  5 is as far from
     # 2 as 4 is, and 6 lies near 2, which rules the pairs of 6 with 4 and 5 out.
