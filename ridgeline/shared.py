@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -13,9 +14,14 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a fresh local one."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a fresh local one.
+
+    On a cluster an unset folder is an error: executors would not see one of the driver's machine.
+    """
     root = spark.conf.get(_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_KEY} to a folder that driver and executors share")
         root = getattr(spark, "_ridgeline_root", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
@@ -66,6 +72,16 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of plans that have been run.
+
+    Spark removes a plan's shuffle files from the executors' disks, and its generated classes, when the driver finds it
+    unreachable; that may be long after the table it made has been staged.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows up to which a staged table is sent to all tasks.
 SMALL_ROWS = 200_000
 
