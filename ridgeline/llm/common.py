@@ -43,6 +43,25 @@ def bucketed_table(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
+#: Bits of the filter that keeps rows without a key from being shuffled or read further.
+FILTER_BITS = 26
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key``, a 64-bit hash, is none of ``keys``.
+
+    The keys set bits in a filter of fixed size, whose words (at most ``2 ** (FILTER_BITS - 6)`` rows) are sent to all
+    tasks.  It loses no row with a key; where the keys outgrow it, it passes more and more others, so it is for uses
+    where these cost time alone.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    bit = keys.select(place(key).alias("_h")).selectExpr("cast(_h div 64 as int) as _word", "shiftleft(1L, cast(_h % 64 as int)) as _bit")
+    words = bit.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    at = rows.withColumn("_h", place(key)).withColumn("_word", F.expr("cast(_h div 64 as int)"))
+    met = at.join(F.broadcast(words), "_word").where(F.expr("shiftrightunsigned(_bits, cast(_h % 64 as int)) & 1 = 1"))
+    return met.select(*rows.columns)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

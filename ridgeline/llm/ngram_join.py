@@ -37,9 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WordHash, batches, bucketed_table, free_name, id_and_text, mix, salted_lookup, shingles, small
+from ridgeline.llm.common import WordHash, batches, bucketed_table, free_name, id_and_text, maybe_among, mix, salted_lookup, shingles, small
 from ridgeline.operators.components import connected_components
-from ridgeline.shared import drop_table, shuffle_partitions, stage_table
+from ridgeline.shared import drop_table, release, shuffle_partitions, stage_table
 
 #: Percentage of a set's shingles, beyond those that a set within the radius may lack, that the first look takes.
 LOOK = 15
@@ -216,9 +216,9 @@ def possible_texts(docs: DataFrame, points: DataFrame, percent: int = 75, k: int
     rows = _sorted(_deals(_versioned(docs), k, percent))
     met = rows.mapInArrow(_streams(4, lambda *_: None, found), "sid long, met long").groupBy("sid").agg(F.sum("met").alias("met"))
     one = points.join(met, "sid").where(f"met > div({LOOK} * div({percent} * n + 99, 100), 100)").groupBy("sid").agg(F.min(F.struct("doc_id", "version")).alias("d"))
-    one = stage_table(one.select(F.col("d.doc_id").alias("one_id"), F.col("d.version").alias("one_version")), "possible")
-    texts = _versioned(docs)
-    return texts.join(one, texts["doc_id"].eqNullSafe(one["one_id"]) & (texts["version"] == one["one_version"]), "left_semi").select("text")
+    one = stage_table(one.select(F.xxhash64("d.doc_id", "d.version").alias("key")), "possible")
+    release(docs.sparkSession)
+    return maybe_among(_versioned(docs).withColumn("key", F.xxhash64("doc_id", "version")), one, "key").select("text")
 
 
 def shared_shingles(texts: DataFrame, k: int = 5) -> DataFrame:
@@ -245,6 +245,7 @@ def shared_shingles(texts: DataFrame, k: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(sids[hit]), pa.array(sizes[hit].astype(np.int64)), pa.array(ids)], names=["sid", "n", "gram"])
 
     tables = stage_table(_sorted(_deals(texts, k)).mapInArrow(_streams(8, table), "bucket int, shared binary, orders binary"), "shared-shingles")
+    release(texts.sparkSession)
     return _deals(texts, k).join(tables, "bucket").mapInArrow(look_up, "sid long, n long, gram long")
 
 
@@ -263,6 +264,7 @@ def jaccard_links(docs: DataFrame, points: DataFrame, percent: int = 75, k: int
         .where("reach > 0")
     )
     sets = bucketed_table(sets, "shingle_sets", "sid")
+    release(docs.sparkSession)
     held = sets.select("sid", "n", "alone", F.posexplode(F.slice("grams", F.lit(1), F.col("reach"))).alias("i", "rid"))
     regions = held.select("rid", "sid", "n", F.expr("n - alone - i").alias("rest"), F.expr("alone / n").alias("c"))
     # Many shingles have the same points: the first region of each set of points is enough.
@@ -290,7 +292,9 @@ def jaccard_links(docs: DataFrame, points: DataFrame, percent: int = 75, k: int
         leaf = stage_table(_measure(pairs, sets), "measured")
         found = _add(found, leaf.where(_linked(percent)).select("a", "b"))
         large = left.where(f"pairs > {LEAF_PAIRS}").select("rid")
+        release(docs.sparkSession)
         if large.isEmpty():
+            drop_table(sets)
             return found
         # Larger regions go on with further pivots, taken outside their largest component.
         members = stage_table(members.join(large, "rid", "left_semi"), "regions")

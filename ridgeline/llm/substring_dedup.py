@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import free_name, id_and_text, small
-from ridgeline.shared import stage_table
+from ridgeline.shared import release, stage_table
 
 MIN_WORDS = 5
 
@@ -130,6 +130,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = stage_table(units(docs, min_words), "units")
     again = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "unit")).alias("kept"), F.max(F.struct("doc_id", "unit")).alias("last"))
     again = stage_table(again.where("kept <> last").select("h1", "h2", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit").alias("kept_unit")), "repeats")
+    release(docs.sparkSession)
     met = found.join(again, ["h1", "h2"]).where("doc_id <> kept_doc_id or unit <> kept_unit")
     return met.select("doc_id", "version", "unit", "start", "stop", "kept_doc_id", "kept_unit").distinct()
 

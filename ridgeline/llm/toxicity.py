@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import bucketed_table, fold, id_and_text, small, windows
-from ridgeline.shared import drop_table, shuffle_partitions, stage_table
+from ridgeline.shared import drop_table, release, shuffle_partitions, stage_table
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -372,6 +372,7 @@ def text_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return flat
     gains = stage_table(differences(probabilities(counts, shared_backoff(counts))), "gram-differences")
     drop_table(counts)
+    release(docs.sparkSession)
     found = blocks.select("block", "words").mapInArrow(_asked, "block long, at int, context long").join(gains, "context")
     found = found.groupBy("block").agg(F.collect_list(F.struct("at", "gaps")).alias("found"))
     empty = F.expr("cast(array() as array<struct<at: int, gaps: array<bigint>>>)")
@@ -380,11 +381,13 @@ def text_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # The logistic function is fitted where the counts of the other part judge.
     halves = bool(most["ho"] and most["ht"])
     sample = judged.join(known.where("part = 1") if halves else known, "doc_id").select("doc_id", "version", "half" if halves else "full", "ordinary", "toxic")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "version").limit(CALIBRATION_ROWS).toPandas()
-    y = (sample["toxic"] > sample["ordinary"]).to_numpy().astype(float)
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "version").limit(CALIBRATION_ROWS).collect()
+    y = np.array([float(r.toxic > r.ordinary) for r in sample])
+    drop_table(blocks)
+    release(docs.sparkSession)
     if len(set(y)) < 2:
-        return flat
-    slope, shift = fit_logistic(np.array(sample.iloc[:, 2].tolist()), y)
+        return judged.select("doc_id", "version", F.lit(0.0).alias("score"))
+    slope, shift = fit_logistic(np.array([r[2] for r in sample]), y)
     line = F.lit(shift)
     for i, s in enumerate(slope):
         line = line + F.col("full")[i] * float(s)
