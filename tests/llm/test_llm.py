@@ -433,6 +433,15 @@ def test_templates_drop_what_all_pages_of_a_host_share(spark):
     assert pages.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<html><body><div>Welcome to the site</div><div>Latest offers</div><div><p>{}</p><p>{}</p></div></body></html>"
+    rng = random.Random(5)
+    body = {c: (words(rng, 12), words(rng, 9)) for c in "abc"}
+    rows = [(i, f"http://h.example/{i}", page.format(*body[c])) for i, c in enumerate("aaaabc")] + [(0, "http://h.example/0", page.format(*body["a"]))]
+    got = pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted((i, "\n\n".join(body["aaaabc"[i]])) for i, *_ in rows)
+
+
 def test_pages_table(spark, tables):
     got = {r.page_id: r.text for r in pages.extract_main_text(tables["pages"]).collect()}
     for r in tables["pages"].collect():
