@@ -93,7 +93,7 @@ class TerrainAnalyzer:
 
     def get_virtual_peaks(self, peaks: PeakFrame, max_link_distance: float | None = None) -> DataFrame:
         c = peaks.context
-        return prom.virtual_peaks(c.tree, peaks.df, c.grid.ndim, max_link_distance)
+        return prom.virtual_prominence(prom.virtual_peaks(c.tree, peaks.df, c.grid.ndim, max_link_distance), c.grid, self.boundary)
 
 
 def benchmark_strategies(grid: Grid, names: list[str] | None = None) -> list[dict[str, Any]]:

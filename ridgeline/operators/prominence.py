@@ -265,11 +265,15 @@ def prominence(grid: Grid, k: int = 1, boundary: str = "infinite_height", cells:
     The highest peaks fall to the lowest face value (``infinite_height``) or the lowest value of all
     (``infinite_depth``).
     """
+    return _above_floor(merge_tree(grid, k, cells) if tree is None else tree, grid, boundary)
+
+
+def _above_floor(rows: DataFrame, grid: Grid, boundary: str) -> DataFrame:
     if boundary not in BOUNDARIES:
         raise ValueError(f"boundary must be one of {BOUNDARIES}")
-    tree = merge_tree(grid, k, cells) if tree is None else tree
+    # One row a grid, so a grid that holds all rows is not dealt to one task.
     floor = boundary_minimum(grid).select("grid_id", F.col("face_min" if boundary == "infinite_height" else "min_all").alias("_floor"))
-    out = tree.join(floor, "grid_id").withColumn("base", F.coalesce("saddle_height", "_floor")).drop("_floor")
+    out = rows.join(floor, "grid_id").withColumn("base", F.coalesce("saddle_height", "_floor")).drop("_floor")
     return out.withColumn("prominence", F.col("height") - F.col("base"))
 
 
@@ -395,6 +399,11 @@ def virtual_peaks(tree: DataFrame, peaks: DataFrame, ndim: int, max_link_distanc
     return out.drop(*(f"_l{d}" for d in range(ndim)))
 
 
+def virtual_prominence(groups: DataFrame, grid: Grid, boundary: str = "infinite_height") -> DataFrame:
+    """``virtual_peaks`` with ``base`` and ``prominence``; the highest groups fall to the grid's floor, as in ``prominence``."""
+    return _above_floor(groups, grid, boundary)
+
+
 def peak_saddles(grid: Grid, k: int = 1, cells: DataFrame | None = None) -> DataFrame:
     """The highest pass between each two neighbouring basins; see ``basin_saddles``."""
     cells = plateau_cells(grid, k) if cells is None else cells

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.analyzer import TerrainAnalyzer
 from ridgeline.features import geometric, morphological, spread, topographic
 from ridgeline.features.registry import Context
 from ridgeline.grid import Grid
@@ -88,7 +89,7 @@ _add(
 )
 _add(
     "a7_enumerate_f",
-    lambda s, f: fx.g_qd(s, f).cells.select("cell_id", (F.col("i1") * 50 + F.col("i0")).alias("position"), "value"),
+    lambda s, f: fx.g_qd(s, f).enumerate("F").select("cell_id", F.monotonically_increasing_id().alias("position"), "value"),
     S.statement(_QD, "SELECT cell_id, CAST(row_number() OVER (ORDER BY i1, i0) - 1 AS BIGINT) AS position, value FROM g"),
 )
 _add(
@@ -176,6 +177,17 @@ _add(
     ),
 )
 
+_add(
+    "b21_pad_edge",
+    lambda s, f: stencil.pad(fx.g_qd(s, f), 2, "edge").cells.select("i0", "i1", "cell_id", "value"),
+    S.statement(_QD, f"SELECT {_b('a.i', 'i0')}, {_b('b.i', 'i1')}, {_b('a.i * 15 + b.i', 'cell_id')}, value FROM range(54) a(i) CROSS JOIN range(15) b(i) JOIN g ON g.i0 = greatest(0, least(49, a.i - 2)) AND g.i1 = greatest(0, least(10, b.i - 2))"),
+)
+_add(
+    "b21_pad_constant",
+    lambda s, f: stencil.pad(fx.g_qd(s, f), 2, "constant", -1.0).cells.select("i0", "i1", "cell_id", F.col("value").cast("double").alias("value")),
+    S.statement(_QD, f"SELECT {_b('a.i', 'i0')}, {_b('b.i', 'i1')}, {_b('a.i * 15 + b.i', 'cell_id')}, {_r('coalesce(value, -1)', 'value')} FROM range(54) a(i) CROSS JOIN range(15) b(i) LEFT JOIN g ON g.i0 = a.i - 2 AND g.i1 = b.i - 2"),
+)
+
 
 # C: filters, order, top-k.
 def _frame(s: SparkSession, f: str, boundary: str = "infinite_depth") -> PeakFrame:
@@ -187,6 +199,7 @@ def _frame(s: SparkSession, f: str, boundary: str = "infinite_depth") -> PeakFra
 
 _BASE = _PEAKS + ",\n" + S.FLOOD + ",\nlow AS (SELECT min(value) AS m FROM g),\npr AS (SELECT peak_id, height, area, c0, c1, on_face, saddle_height, coalesce(saddle_height, m) AS base, height - coalesce(saddle_height, m) AS prominence FROM pk LEFT JOIN sd USING (peak_id) CROSS JOIN low)"
 _add("c1_filter_ops", lambda s, f: _frame(s, f).filter(prominence__gte=10, height__gt=100, area__eq=1, peak_id__nin=[0, 1]).get_features(["prominence"]).drop("grid_id"), S.statement(_BASE, "SELECT peak_id, height, prominence FROM pr WHERE prominence >= 10 AND height > 100 AND area = 1 AND peak_id NOT IN (0, 1)"))
+_add("c2_initial_filters", lambda s, f: TerrainAnalyzer(boundary="infinite_depth", min_boundary_distance=0).find_peaks(fx.g_qd(s, f), prominence__gte=10, height__gt=100).df.select("peak_id", "height"), S.statement(_BASE, "SELECT peak_id, height FROM pr WHERE prominence >= 10 AND height > 100"))
 _add("c3_coordinate_range", lambda s, f: _frame(s, f).filter_by_coordinates(x_range=(10, 30), y_range=(2, 8)).df.select("peak_id", "height"), S.statement(_PEAKS, "SELECT peak_id, height FROM pk WHERE c0 BETWEEN 10 AND 30 AND c1 BETWEEN 2 AND 8"))
 _add("c4_sort", lambda s, f: _frame(s, f).sort_by("height", ascending=False).df.select("peak_id", "height", "area"), S.statement(_PEAKS, f"SELECT peak_id, height, {_b('area', 'area')} FROM pk ORDER BY height DESC, peak_id"))
 _add("c5_topk", lambda s, f: _frame(s, f).top(20).df.select("peak_id", "height"), S.statement(_PEAKS, "SELECT peak_id, height FROM pk ORDER BY height DESC, peak_id LIMIT 20"))
@@ -395,6 +408,23 @@ _add(
         f"SELECT group_id, any_value(height) AS height, count(*) AS members, {_b('sum(area)', 'area')}, {_r('sum(c0 * area) / sum(area)', 'c0')}, {_r('sum(c1 * area) / sum(area)', 'c1')}, max(saddle_height) AS saddle_height FROM gp JOIN pk USING (peak_id) LEFT JOIN sd USING (peak_id) GROUP BY 1 HAVING count(*) > 1",
     ),
 )
+
+
+def _virtual_prominence(s: SparkSession, f: str) -> DataFrame:
+    g = fx.g_ev(s, f)
+    cells = regions.plateau_cells(g)
+    peaks = prom.find_peaks(g, 1, "infinite_depth", cells=cells)
+    return prom.virtual_prominence(prom.virtual_peaks(prom.merge_tree(g, 1, cells), peaks, 2), g, "infinite_depth").select("group_id", "base", "prominence")
+
+
+_add(
+    "f9_virtual_prominence",
+    _virtual_prominence,
+    S.statement(
+        _PEAKS_EV + ",\n" + _GROUP + ",\ngp AS (SELECT pk.peak_id, least(pk.peak_id, coalesce(min(ok.b), pk.peak_id)) AS group_id FROM pk LEFT JOIN ok ON ok.a = pk.peak_id GROUP BY pk.peak_id), vg AS (SELECT group_id, any_value(height) AS height, coalesce(max(saddle_height), (SELECT min(value) FROM g)) AS base FROM gp JOIN pk USING (peak_id) LEFT JOIN sd USING (peak_id) GROUP BY 1 HAVING count(*) > 1)",
+        "SELECT group_id, base, height - base AS prominence FROM vg",
+    ),
+)
 # Steepest ascent from plateau to plateau, ties to the smaller plateau.
 _BASINS = """hp AS (SELECT a.l AS p, arg_max(b.l, e.hv * 100000 - b.l) AS q FROM e JOIN lab a ON a.u = e.u JOIN lab b ON b.u = e.v WHERE e.hv > e.hu GROUP BY 1),
 up(p, q) USING KEY (p) AS (SELECT plateau_id, plateau_id FROM pt UNION SELECT cur.p, hp.q FROM up JOIN recurring.up cur ON cur.p = up.p JOIN hp ON hp.p = cur.q)"""
@@ -524,10 +554,19 @@ _add(
         f"SELECT peak_id, {_r('CASE WHEN count(*) >= 3 THEN count(*) FILTER (a0 * b1 - a1 * b0 < 0) / count(*) ELSE 0 END', 'concavity')} FROM sp GROUP BY 1",
     ),
 )
+def _parts(s: SparkSession, f: str) -> DataFrame:
+    """Masks of many parts: the cells of each remainder of the value."""
+    g = fx.g_ev(s, f)
+    return morphological.connectivity_pattern(g.cells.withColumn("peak_id", F.col("value") % 4), g).drop("grid_id", "component_sizes")
+
+
 _add(
     "i8_connectivity",
-    _on_members(lambda m, g: morphological.connectivity_pattern(m, g).drop("component_sizes"), fx.g_ev),
-    S.statement(_PEAKS_EV, f"SELECT peak_id, 1::BIGINT AS components, 1.0::DOUBLE AS largest_share, 0.0::DOUBLE AS size_variance FROM pk"),
+    _parts,
+    S.statement(
+        f"{_EV}, {S.steps(2, 2)}, {S.edges(2)}, {S.LABELS.replace('e.hu = e.hv', 'e.hu % 4 = e.hv % 4')}, sz AS (SELECT value % 4 AS peak_id, l, count(*) AS s FROM lab JOIN g ON g.cell_id = lab.u GROUP BY 1, 2)",
+        f"SELECT peak_id, count(*) AS components, {_r('max(s) / sum(s)', 'largest_share')}, {_r('var_pop(s)', 'size_variance')} FROM sz GROUP BY 1",
+    ),
 )
 _add("i9_skeleton", _on_members(morphological.skeleton, fx.g_ev))
 _add("i10_watershed", _on_peaks(lambda p, g: morphological.watershed(p, g, 6), fx.g_ev))
@@ -551,6 +590,7 @@ _add(
     _on_peaks(lambda p, g: spread.nearest_neighbours(p, g).drop("knn")),
     S.statement(f"{_PAIRS}, rk AS (SELECT *, row_number() OVER (PARTITION BY peak_id ORDER BY d, other_id) AS r FROM pr WHERE d > 0)", f"SELECT peak_id, {_r('min(d)', 'nearest')}, {_r('avg(d)', 'mean_knn')}, {_r('stddev_pop(d)', 'std_knn')}, {_r('max(d)', 'max_knn')}, count(*) AS k_used FROM rk WHERE r <= 5 GROUP BY 1"),
 )
+_add("j2_pair_distances", _on_peaks(spread.pair_distances, fx.g_ev), S.statement(f"{_PEAKS_EV}", f"SELECT a.peak_id, b.peak_id AS other_id, {_r(_DIST, 'd')}, a.height, b.height AS other_height FROM pk a JOIN pk b ON a.peak_id <> b.peak_id"))
 _PI = f"{math.pi!r}::DOUBLE"
 _add(
     "j4_density",
@@ -611,7 +651,13 @@ _add(
     lambda s, f: statistics.value_profile(fx.g_qdt(s, f).cells).select(statistics.quality_score(True).alias("quality")),
     S.statement(f"{_QDT}, m AS (SELECT avg(value) AS a, var_pop(value) AS v, (max(value) - min(value))::DOUBLE AS r FROM g)", f"SELECT {_r('least(1.0, least(1.0, v / (r * r) * 100) * CASE WHEN sqrt(v) / abs(a) > 0.01 AND sqrt(v) / abs(a) < 10 THEN 1.1 ELSE 1.0 END)', 'quality')} FROM m"),
 )
-_add("l8_completeness", lambda s, f: statistics.completeness(fx.g_rev(s, f).cells).select("coverage"), "SELECT 1.0::DOUBLE AS coverage")
+def _gaps(s: SparkSession, f: str) -> DataFrame:
+    """Values of which some are null and some NaN."""
+    v = F.col("value")
+    return fx.g_qdt(s, f).cells.withColumn("value", F.when(v % 5 == 0, None).when(v % 5 == 1, float("nan")).otherwise(v.cast("double")))
+
+
+_add("l8_completeness", lambda s, f: statistics.completeness(_gaps(s, f)).select("coverage"), S.statement(_QDT, f"SELECT {_r('avg(CASE WHEN value % 5 IN (0, 1) THEN 0.0 ELSE 1.0 END)', 'coverage')} FROM g"))
 _PCT = ", ".join(_r(f"quantile_cont(value, {p / 100})", f"p{p}") for p in statistics.PERCENTILES)
 _M2 = "(count(*) * sum(CAST(value AS DOUBLE) ** 2) - sum(CAST(value AS DOUBLE)) ** 2) / count(*) ** 2"
 _add(
