@@ -1,7 +1,9 @@
 """License scans: an Aho-Corasick automaton finds notice phrases and identifier tags; expressions are parsed.
 
 Notice phrases are found over the words of a text, an identifier tag's expression (and/or/with, brackets) goes
-through a shunting-yard parser and contributes the identifiers that it evaluates to.
+through a shunting-yard parser.  It contributes the licences that it names, and is evaluated: an "or" leaves the
+choice, an "and" and a "with" bind to both sides, so a text is permissive if each of its expressions can be met by
+permissive licences alone.  Names that are no known identifier give no label and are not permissive.
 
 Nulls and ties: a null or empty text has no words and no place.  Overlapping places all count.  Repeated rows are
 returned as often as they come, null ids stay null, extra columns are ignored.  Long texts are scanned whole, in
@@ -11,6 +13,7 @@ time linear in their length.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -41,6 +44,18 @@ MORE = {
     "public domain": "public-domain",
 }
 TAG = "spdx license identifier"
+#: Identifiers of permissive licences, in lower case.
+PERMISSIVE = frozenset(
+    "0bsd afl-3.0 apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause "
+    "bsd-3-clause-clear bsd-4-clause bsl-1.0 cc-by-3.0 cc-by-4.0 cc0-1.0 ecl-2.0 fsfap ftl isc libpng mit mit-0 ms-pl ncsa "
+    "ofl-1.1 openssl php-3.01 postgresql psf-2.0 python-2.0 unicode-3.0 unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1".split()
+)
+#: Identifiers of other licences, in lower case; the versions of the GNU ones also end in -only and -or-later.
+BOUND = frozenset(
+    "agpl-3.0 busl-1.1 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cddl-1.0 "
+    "cddl-1.1 cecill-2.1 cpl-1.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-3.0 lgpl-2.0 lgpl-2.1 lgpl-3.0 "
+    "lppl-1.3c mpl-1.1 mpl-2.0 ms-rl odbl-1.0 osl-3.0 sspl-1.0".split()
+)
 
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
@@ -104,14 +119,54 @@ def parse_expression(text: str) -> list | str | None:
     return out[0] if len(out) == 1 else None
 
 
+def _bottom_up(tree: list | str, leaf: Callable, join: Callable):
+    """The value of a tree from those of its leaves, without recursion: lines of many thousand names are deep trees."""
+    todo: list = [tree]
+    order = []
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        if not isinstance(node, str):
+            todo += node[1:]
+    values: list = []
+    for node in reversed(order):
+        if isinstance(node, str):
+            values.append(leaf(node))
+        else:
+            right, left = values.pop(), values.pop()
+            values.append(join(node[0], left, right))
+    return values[0]
+
+
 def identifiers(tree: list | str | None) -> set[str]:
     """The licences of an expression; an exception after ``with`` belongs to its licence."""
+
+    def join(op: str, left: set, right: set) -> set:
+        if op == "with":
+            return {f"{x} with {y}" for x in left for y in right}
+        big, little = (left, right) if len(left) >= len(right) else (right, left)
+        big |= little
+        return big
+
+    return set() if tree is None else _bottom_up(tree, lambda name: {name}, join)
+
+
+def _licence(name: str) -> str:
+    """The identifier without what says "or later": a plus sign, ``-only`` or ``-or-later``; an exception leaves its licence."""
+    return name.split(" ", 1)[0].removesuffix("+").removesuffix("-only").removesuffix("-or-later")
+
+
+def known(name: str) -> bool:
+    """Whether a name, with its exception if it has one, is an identifier; references to licences of one's own are."""
+    return name.startswith(("licenseref-", "documentref-")) or _licence(name) in PERMISSIVE or _licence(name) in BOUND
+
+
+def permissive(tree: list | str | None) -> bool:
+    """Whether an expression can be met by permissive licences alone; a malformed one can't."""
     if tree is None:
-        return set()
-    if isinstance(tree, str):
-        return {tree}
-    op, left, right = tree
-    return {f"{x} with {y}" for x in identifiers(left) for y in identifiers(right)} if op == "with" else identifiers(left) | identifiers(right)
+        return False
+    join = lambda op, left, right: left or right if op == "or" else left if op == "with" else left and right
+    return _bottom_up(tree, lambda name: _licence(name) in PERMISSIVE, join)
 
 
 @lru_cache(1)
@@ -125,7 +180,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def scan(text: str) -> tuple:
-    """``(n_words, n_base, first_word, last_word, base_labels, labels, score)`` of one text."""
+    """``(n_words, n_base, first_word, last_word, base_labels, labels, score, permissive)`` of one text."""
     words = words_of(text)
     line = f" {b' '.join(words).decode()} " if words else ""
     hits = [(end, *value) for end, value in _automaton().iter(line)]
@@ -139,26 +194,30 @@ def scan(text: str) -> tuple:
             base.add(label)
         if label:
             every.add(label)
+    free = None
     if any(phrase == TAG for _, phrase, _, _ in hits):
         for m in _TAG_LINE.finditer(text):
-            every |= identifiers(parse_expression(m[1]))
+            tree = parse_expression(m[1])
+            every |= set(filter(known, identifiers(tree)))
+            free = permissive(tree) and free is not False
     covered = sum(phrase.count(" ") + 1 for _, phrase, _, _ in hits)
     score = min(1.0, 0.5 * bool(hits) + 0.5 * covered / max(1, len(words))) if hits else 0.0
     join = lambda labels: ",".join(sorted(labels))
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), join(base), join(every), score
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), join(base), join(every), score, free
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("permissive", pa.bool_())])
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: places and labels of the base phrases, all labels, and a score in 0 to 1.
 
-    The score is 0 without any hit, otherwise 0.5 and half the share of words that hits cover.
+    The score is 0 without any hit, otherwise 0.5 and half the share of words that hits cover.  ``permissive`` says
+    whether each expression of a text can be met by permissive licences alone; null without an expression.
     """
 
     def run(ids: list, texts: list) -> list:
         return [ids, *map(list, zip(*map(scan, texts), strict=True))]
 
-    names = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    names = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permissive boolean"
     return id_and_text(docs).mapInArrow(batches(run, ["doc_id", "text"], _SCHEMA), names)

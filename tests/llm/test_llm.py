@@ -603,6 +603,53 @@ def test_licence_precedence_and_tags(spark):
     assert licences.licence_scan(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("MIT", True),
+        ("GPL-3.0-only OR MIT", True),
+        ("GPL-3.0-only AND MIT", False),
+        ("(GPL-3.0-or-later OR MIT) AND (Apache-2.0 OR MPL-2.0)", True),
+        ("GPL-2.0+ OR MIT AND EPL-2.0", False),
+        ("Apache-2.0 WITH LLVM-exception", True),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", False),
+        ("Nonesuch", False),
+        ("(MIT OR", False),
+    ],
+)
+def test_licence_evaluation(text, want):
+    assert licences.permissive(licences.parse_expression(text)) is want
+
+
+def test_licence_evaluation_against_all_choices():
+    rng = random.Random(9)
+    names = ["mit", "isc", "gpl-3.0", "mpl-2.0"]
+
+    def build(depth):
+        """An expression as text, and the sets of licences that it lets one choose from."""
+        if depth == 0 or rng.random() < 0.2:
+            name = rng.choice(names)
+            return name, [{name}]
+        (a, left), (b, right) = build(depth - 1), build(depth - 1)
+        if rng.random() < 0.5:
+            return f"({a} OR {b})", left + right
+        return f"({a} AND {b})", [x | y for x in left for y in right]
+
+    for _ in range(300):
+        text, choices = build(3)
+        tree = licences.parse_expression(text)
+        assert licences.permissive(tree) == any(c <= licences.PERMISSIVE for c in choices)
+        assert licences.identifiers(tree) == set().union(*choices)
+
+
+def test_licence_scan_of_deep_and_unknown_expressions():
+    tag = "SPDX-License-Identifier: "
+    assert licences.scan(tag + " OR ".join(["GPL-3.0-only"] * 20_000 + ["MIT"]))[5::2] == ("gpl-3.0-only,mit", True)
+    assert licences.scan(tag + "(" * 5_000 + "MIT" + ")" * 5_000)[5::2] == ("mit", True)
+    assert licences.scan(tag + "whatever\n" + tag + "LicenseRef-Own AND MIT")[5::2] == ("licenseref-own,mit", False)
+    assert licences.scan("no tag here")[7] is None and licences.scan(tag)[7] is False
+
+
 # --- 9. substring dedup
 
 def brute_repeats(rows):
