@@ -442,6 +442,79 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert sorted((r.page_id, r.text) for r in got) == sorted((i, "\n\n".join(body["aaaabc"[i]])) for i, *_ in rows)
 
 
+def extracted(spark, rows):
+    got = pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in got}
+
+
+def test_templates_decide_inside_articles(spark):
+    rng = random.Random(11)
+    page = "<html><body><nav>{}</nav><article><h2>Story</h2><p>{}</p><p>Share this story</p>{}</article></body></html>"
+    rows, want = [], {}
+    for i in range(6):
+        body, more = words(rng, 30), [words(rng, 20) for _ in range(i % 3)]
+        rows.append((i, f"http://a.example/{i}", page.format(i, body, "".join(f"<p>{m}</p>" for m in more))))
+        want[i] = "\n\n".join(["Story", body, *more])
+    # Two articles don't tell a template, near copies of one article keep what they share, and so does one article under many menus.
+    shared = [words(rng, 30) for _ in range(4)]
+    for i in range(10, 12):
+        body = words(rng, 30)
+        rows.append((i, f"http://b.example/{i}", page.format(i, body, "")))
+        want[i] = f"Story\n\n{body}\n\nShare this story"
+    for i in range(20, 25):
+        body = [words(rng, 30), *shared]
+        rows.append((i, f"http://c.example/{i}", "<html><body><article>" + "".join(f"<p>{b}</p>" for b in body) + "</article>"))
+        want[i] = "\n\n".join(body)
+    for i in range(30, 35):
+        rows.append((i, f"http://d.example/{i}", page.format(i, shared[0], "")))
+        want[i] = f"Story\n\n{shared[0]}\n\nShare this story"
+    assert extracted(spark, rows) == want
+
+
+def test_tokens_have_roles_by_slot(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(6):
+        body = [words(rng, 8) for _ in range(2 + i % 3)] + ["More"] * (i % 3)
+        rows.append((i, f"http://a.example/{i}", "<html><body>" + "".join(f"<div>{t}</div>" for t in ["Head", "More", "Start", *body, "End"]) + "</body></html>"))
+        want[i] = "\n\n".join(body)
+    assert extracted(spark, rows) == want
+
+
+def test_classes_are_ordered_and_nested():
+    root = [0, 1, 2, 3]
+    owner, slot = pages.follow([root, [0, 7, 8]], [1, 7, 9, 8, 7, 8, 2, 5, 3])
+    assert owner == [0, 1, -1, 1, 1, 1, 0, -1, 0] and slot == [-1, 0, 1, 0, 0, 0, -1, 6, -1]
+    assert pages.follow([root, [0, 7, 8]], [1, 7, 2, 8, 3])[0] == [0, -1, 0, -1, 0]  # cut by a token of the class around it
+    assert pages.follow([root, [0, 7, 8]], [7, 1, 2, 8, 3])[0] == [-1, 0, 0, -1, 0]
+    assert pages.follow([[0, 7, 8], root], [7, 1, 2, 3, 8])[0] == [0, 1, 1, 1, 0]
+    assert pages.follow([root], [1, 3, 2])[0] == [-1] * 3 and pages.follow([root], [1, 2])[0] == [-1] * 2
+    assert pages.follow([[0, 7, 8]], [7, 7, 8, 8])[0] == [-1] * 4
+
+
+def test_classes_of_the_first_round_against_a_plain_count(spark, monkeypatch):
+    monkeypatch.setattr(pages, "ROUNDS", 1)
+    rng = random.Random(13)
+    made = []
+    for i in range(40):
+        parts = ["<p>fixed</p>"] * (i % 4 != 0) + [f"<div class=x{i % 3}><p>{rng.choice('abcd')}</p></div>" for _ in range(rng.randrange(4))] + [f"<ul>{'<li>go</li>' * rng.randrange(1, 4)}</ul>", f"<p>{i // 2}</p>"]
+        made.append((f"http://h{i % 5}.example/", f"<html><body>{''.join(parts)}</body></html>"))
+    got = {r.host: r.template[0] for r in pages.host_templates(spark.createDataFrame([(i, *p) for i, p in enumerate(made)], "page_id long, url string, html string")).collect()}
+    for host in {pages.host_of(u) for u, _ in made}:
+        seen = {}
+        for url, page in made:
+            if pages.host_of(url) == host:
+                blocks, marks = pages.read_page(page)
+                tokens = pages.page_tokens(blocks, marks)
+                seen[pages.main_text(blocks, [], tokens)] = tokens
+        vectors = {}
+        for t in set().union(*seen.values()):
+            vector = tuple(s.count(t) for s in seen.values())
+            if sum(map(bool, vector)) >= max(2, len(seen) / 2):
+                vectors.setdefault(vector, set()).add(t)
+        assert sorted(sorted(c[1:]) for c in got[host]) == sorted(sorted(v) for v in vectors.values() if len(v) > 1)
+
+
 def test_pages_table(spark, tables):
     got = {r.page_id: r.text for r in pages.extract_main_text(tables["pages"]).collect()}
     for r in tables["pages"].collect():
